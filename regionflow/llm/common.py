@@ -16,13 +16,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: A settled table has at most so many files for each core, unless they would grow beyond so many bytes of input.
+FILES_PER_CORE, FILE_BYTES = 8, 64 << 20
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that the session names, so that a lost executor costs no recomputation of long
-    texts. A folder of our own is set only where the session names none."""
+    texts. A folder of our own is set only where the session names none. Many small partitions are written as fewer files."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="regionflow-"))
-    return df.checkpoint()
+    read = sum(int(str(leaf.stats().sizeInBytes())) for leaf in _files(df))
+    return df.coalesce(max(FILES_PER_CORE * context.defaultParallelism, read // FILE_BYTES)).checkpoint()
+
+
+def _files(df: DataFrame) -> list:
+    """The plan's leaves that read files; what was settled before is small against them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return [x for x in (leaves.apply(i) for i in range(leaves.size())) if x.getClass().getSimpleName() == "LogicalRelation"]
 
 
 def whole(text: str | Column = "text") -> Column:
