@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 
 
+#: Rows that Spark's Parquet reader decodes at a time: whole texts are long, and a batch is held in memory twice over.
+READER_ROWS = 256
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the corpus, by a path that any of Spark's readers can open."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
