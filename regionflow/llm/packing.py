@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import settle, shuffle_width, whole
-from .pretokens import KNOWN_MOST, Splitter, TokenizerFile, groups
+from .pretokens import PATTERN, Splitter, TokenizerFile, byte_letters
 
 CAPACITY, END_ID = 1024, 2
 #: Ranks are dealt out over so many times the session's shuffle partitions, so that a frequent length is no hot key.
@@ -121,29 +121,28 @@ def slots(patterns: Iterable[tuple[Counter, int]]) -> pd.DataFrame:
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes; those of pre-tokens that were met are kept between batches."""
+    """Token ids of texts as little-endian bytes. The file's merges are run by tiktoken, whose ids are the same and which is faster;
+    tests hold it against the tokenizers library, which encodes where a file's ids don't follow its merges."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        file = TokenizerFile(path)
-        self.library, self.split = Tokenizer.from_file(path), Splitter(file.specials)
-        self.specials = {t: np.uint32(i).astype("<u4").tobytes() for t, i in file.specials.items()}
-        self.known: dict[str, bytes] = dict(self.specials)
+        file, value = TokenizerFile(path), {c: b for b, c in enumerate(byte_letters())}
+        self.library, self.fast = Tokenizer.from_file(path), None
+        made = [file.vocab[a + b] for a, b in file.merges]
+        if made == list(range(made[0], made[0] + len(made))) and made[0] == 256:
+            ranks = {bytes(value[c] for c in t): i for t, i in file.vocab.items() if t not in file.specials}
+            self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=file.specials)
+        self.windows = Splitter(file.specials).windows
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
-        for group in groups(texts):
-            split = [self.split(t) for t in group]
-            if len(self.known) > KNOWN_MOST:
-                self.known = dict(self.specials)
-            new = list(set().union(*split).difference(self.known))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                self.known.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True))
-            known = self.known.__getitem__
-            for t in split:
-                yield b"".join(map(known, t))
+        for t in texts:
+            if self.fast:
+                yield b"".join(self.fast.encode_to_numpy(w, allowed_special="all").astype("<u4").tobytes() for w in self.windows(t))
+            else:
+                yield np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
