@@ -50,6 +50,7 @@ class Lattice:
         for s in self.ids:
             if len(s) > 1 and len(halves := self.merged(s, s)) == 2:
                 self.stable[s] = (order[s], *halves)
+        self.begun = {s[:k] for s in self.stable for k in range(1, len(s))}
 
     def merged(self, text: str, short_of: str = "") -> list[str]:
         """What the merges give for a short text: the best-scored adjacent pair first, the leftmost of equals. Those of a piece can be
@@ -89,24 +90,24 @@ class Lattice:
         """For each end of a piece that starts in [begin, end) and that the path can have, its start. ``entry`` is the piece that
         reaches to or over ``begin``, or None at a text's start. From one entry, each end has one piece at most."""
         last = {entry[1]: entry[0]} if entry else {begin: -1}
-        stable, alone, n, longest = self.stable, self.alone, len(text), self.longest
+        stable, alone, begun, n = self.stable, self.alone, self.begun, len(text)
         if len(alone) > PAIRS_MOST:
             alone.clear()
         for at in range(entry[1] if entry else begin, end):
             if (before := last.get(at)) is None:
                 continue
-            left = text[before:at] if before >= 0 else None
-            for to in range(at + 1, min(at + longest, n) + 1):
+            left, to = text[before:at] if before >= 0 else "", at + 1
+            s = text[at:to]
+            while True:
+                if to not in last and (to == at + 1 or s in stable):
+                    if (fine := not left or alone.get((left, s))) is None:
+                        fine = alone[left, s] = self.neighbours(left, s)
+                    if fine:
+                        last[to] = at
+                if to == n or s not in begun:
+                    break
+                to += 1
                 s = text[at:to]
-                if s not in stable and to > at + 1:
-                    continue
-                if left is None:
-                    last[to] = at
-                    continue
-                if (fine := alone.get((left, s))) is None:
-                    fine = alone[left, s] = self.neighbours(left, s)
-                if fine:
-                    last[to] = at
         return last
 
     def crossing(self, text: str, cut: int) -> list[State]:
