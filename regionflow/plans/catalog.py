@@ -13,6 +13,7 @@ from ..operators import boxes as B
 from ..operators import coverage as C
 from ..operators import tracks as T
 from ..params import ROAD, VEHICLE_CLASSES, Params
+from ..sources import sidecar
 from . import fixtures as X
 from .fixtures import HEIGHT, WIDTH
 
@@ -466,6 +467,12 @@ def active_boxes_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("clip_id", "frame_idx", "n", F.coalesce(F.array_join(F.transform("boxes", lambda b: b["ord"].cast("string")), ","), F.lit("")).alias("ords"))
 
 
+@query(f"SELECT clip_id, frame_idx, CAST(row_number() OVER (PARTITION BY clip_id, frame_idx ORDER BY ord) - 1 AS INTEGER) AS nth, x, y, w, h FROM {_TIMELINE}")
+def sidecar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timelines as JSON and back."""
+    return sidecar.from_json(sidecar.to_json(T.timeline(_confirmed(spark, sf_dir), 8, WIDTH, HEIGHT)))
+
+
 _RECT = f"greatest(0, x) AS x1, greatest(0, y) AS y1, least({WIDTH}, x+w+1) AS x2, least({HEIGHT}, y+h+1) AS y2"
 
 

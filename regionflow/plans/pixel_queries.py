@@ -1,2 +1,81 @@
-def queries():
-    return {}
+"""Queries on drawn frames; they have no SQL counterpart."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import drawn
+from ..operators import detectors, pixels, tracker, tracks
+from ..operators.detectors import FixedDetector
+from ..params import BARE, Params
+from ..schema import FRAMES
+
+Query = Callable[[SparkSession, str], DataFrame]
+CLIPS, LENGTH, WIDTH, HEIGHT = 3, 12, 240, 136
+
+
+def _frames(spark: SparkSession) -> DataFrame:
+    rows = []
+    for c in range(CLIPS):
+        for k, image in enumerate(drawn.clip(LENGTH, 30 + 10 * c, 4 + c, 40, width=WIDTH, height=HEIGHT)):
+            rows.append((f"clip{c}", k, k / 12.0, WIDTH, HEIGHT, 1, bytearray(image.tobytes())))
+    return spark.createDataFrame(rows, FRAMES)
+
+
+def _detections(spark: SparkSession) -> DataFrame:
+    rows = [(f"clip{c}", k, "plate", 0, 30 + 10 * c + (4 + c) * k, 40, 48, 48, 0.9) for c in range(CLIPS) for k in range(0, LENGTH, 6)]
+    return spark.createDataFrame(rows, "clip_id string, frame_idx int, cls string, det_ord int, x int, y int, w int, h int, score float")
+
+
+def track_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracker.track_clips(_frames(spark), _detections(spark), BARE)
+
+
+def _timeline(spark: SparkSession) -> DataFrame:
+    found = tracker.track_clips(_frames(spark), _detections(spark), BARE)
+    return tracks.timeline(found.withColumn("ord", F.col("track_id")), 4, WIDTH, HEIGHT)
+
+
+def render_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = pixels.render_masks(_frames(spark), _timeline(spark), 4)
+    return masks.select("clip_id", "frame_idx", F.sha2("mask", 256).alias("mask_sha256"))
+
+
+def blur_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _frames(spark)
+    out = pixels.blur_frames(frames, pixels.render_masks(frames, _timeline(spark), 4))
+    return out.select("clip_id", "frame_idx", F.sha2("pixels", 256).alias("pixels_sha256"))
+
+
+def detect_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stills: each frame by itself, through the detectors' protocol, in tiles."""
+    found = {"face": FixedDetector((((10, 20, 12, 12), 0.9),)), "plate": FixedDetector((((5, 5, 20, 8), 0.5), ((0, 0, 90, 60), 0.8)))}
+    return detectors.detect(_frames(spark).where("frame_idx = 0"), found, Params.of(tile_px=80, plate_max_area_frac=0.05))
+
+
+def detect_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.detect_and_track(_frames(spark), {"plate": detectors.BrightDetector()}, Params.of(BARE, plate_max_area_frac=0.0), 12.0)
+
+
+def track_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker over a stream that is read to its end."""
+    from ..streaming.tracker import track_stream as tracked
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    lists = _detections(spark).groupBy("clip_id", "frame_idx").agg(F.collect_list("cls").alias("cls"), F.collect_list(F.array("x", "y", "w", "h")).alias("boxes"))
+    frames = _frames(spark).drop("ts").join(lists, ["clip_id", "frame_idx"], "left").withColumn("last", F.col("frame_idx") == LENGTH - 1)
+    place = tempfile.mkdtemp(prefix="regionflow-stream-", dir=os.environ.get("REGIONFLOW_SHARED"))
+    frames.write.mode("overwrite").parquet(f"{place}/in")
+    stream = spark.readStream.schema(frames.schema).parquet(f"{place}/in")
+    run = tracked(stream).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(tracker.TRACK_ROWS).parquet(f"{place}/out")
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (track_clip, render_mask, blur_composite, detect_image, detect_track, track_stream)}
