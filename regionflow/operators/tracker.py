@@ -255,10 +255,9 @@ class ClipTracker:
 
 
 def next_run(run: int, speed: float, threshold: float, most: int, seen: bool = False) -> int:
-    """Frames still to be looked at: one less each frame, anew when something is fast or was seen; off without a threshold."""
-    if threshold <= 0:
-        return 0
-    return most if speed >= threshold or seen else max(0, run - 1)
+    """Frames still to be looked at: anew when something is fast or was seen, else one less each frame. Without a threshold it only
+    falls."""
+    return most if threshold > 0 and (speed >= threshold or seen) else max(0, run - 1)
 
 
 TRACK_ROWS = "clip_id string, track_id int, cls string, frame_idx int, x int, y int, w int, h int, anchor int, has_plate boolean"
