@@ -93,6 +93,54 @@ def plain_components(prints):
     return {i: find(i) for i in ids}
 
 
+def shingles(text, words=5):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def alike(texts, least=0.8):
+    """Smallest document of each one's component, of links by resemblance; by trying all pairs."""
+    ids = sorted(texts)
+    sets, root = {i: shingles(texts[i]) for i in ids}, {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_similar_documents(spark, docs, nothing):
+    """A crowd of near copies of one text, a chain, and texts of their own."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(200)], {}
+    for k in range(60):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 6, 15])):
+            copy[rng.randrange(200)] = word()
+        texts[k] = " ".join(copy)
+    chain = [word() for _ in range(150)]
+    for k in range(100, 112):
+        chain = chain[3:] + [word() for _ in range(3)]
+        texts[k] = " ".join(chain)
+    texts |= {k: " ".join(word() for _ in range(rng.randint(1, 60))) for k in range(200, 260)}
+    got = {r["doc_id"]: r["component_id"] for r in H.similar_documents(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    want = alike(texts)
+    assert all(got[k] >= want[k] and want[got[k]] == want[k] for k in texts)  # nothing is linked that isn't alike
+    linked = [k for k in texts if want[k] != k]
+    assert len(linked) > 40 and sum(got[k] == want[k] for k in linked) >= 0.95 * len(linked)
+    assert H.similar_documents(nothing).count() == 0 and H.similar_documents(docs).count() == docs.count()
+
+
 def test_simhash(corpus):
     got = {r["doc_id"]: r for r in H.near_duplicates(corpus).collect()}
     prints = {r["doc_id"]: plain_print(r["text"]) for r in corpus.collect()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from regionflow.llm import language as L
 from tokenizers import Tokenizer
 
-from .test_dedup import plain_components, plain_print
+from .test_dedup import alike
 from .test_scans import plain
 
 PLACE = "/root/testdata/sf0.001"
@@ -21,7 +21,7 @@ def brute(spark):
     for k, t in rows.items():
         best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), k))
     rows = {k: rows[k] for k in (min(g)[1] for g in best.values())}
-    part = plain_components({k: plain_print(t, 5) for k, t in rows.items()})
+    part = alike(rows)
     rows = {k: t for k, t in rows.items() if part[k] == k}
     for k, t in rows.items():
         spans, out, at = [], [], 0
