@@ -38,10 +38,12 @@ WIDE_FROM = 1 << 24
 BLOCK = 1 << 16
 #: By similarity: words of a shingle, the least resemblance (shared distinct shingles over all), bits, sets of three positional bytes, least
 #: tally of shared bytes, and the bits that may differ before texts are compared. Shingles with a resemblance of 0.8 have a cosine of 0.89
-#: and differ in 0.15 of the bits, give or take 0.016; 0.2 of them leaves three of these on top.
-SIMILAR_WORDS, RESEMBLANCE, WIDE_BITS, WIDE_SETS, WIDE_TALLY, WIDE_DISTANCE = 5, 0.8, 512, 128, 4, 102
+#: and differ in 0.15 of the bits, give or take 0.016; 0.18 of them is the most that texts are compared for.
+SIMILAR_WORDS, RESEMBLANCE, WIDE_BITS, WIDE_SETS, WIDE_TALLY, WIDE_DISTANCE = 5, 0.8, 512, 128, 4, 92
 #: Documents to be compared that are looked up by broadcast; more are joined by a shuffle.
 LOOKED_UP_MOST = 100_000
+#: Of the first members of its lists, each document is compared with so many in the first step; the second step has no such bound.
+FIRST_COMPARED = 4
 
 
 def sets_of_positions(width: int, shared: int = POSITIONS - DISTANCE) -> list[tuple[int, ...]]:
@@ -208,8 +210,9 @@ def link_similar(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     met = settle(posted.join(shared, "key"))
     known = met.groupBy("node").agg(F.sum("size").alias("meets")).join(prints, "node")
     ranked = settle(met.select("key", "node").join(known.select("node", F.struct("n", "meets", "node").alias("rank")), "node"))
-    heads = ranked.groupBy("key").agg(F.max("rank").alias("head")).select("key", F.col("head.node").alias("head"))
-    pairs = ranked.join(heads, "key").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    heads = ranked.groupBy("key").agg(F.max("rank").alias("head"))
+    best = ranked.join(heads, "key").where("node <> head.node").groupBy("node").agg(F.sort_array(F.collect_set("head"), False).alias("heads"))
+    pairs = best.select(F.col("node").alias("u"), F.explode(F.slice("heads", 1, FIRST_COMPARED)).alias("head")).select("u", F.col("head.node").alias("v"))
     print_of = lambda name: prints.select(F.col("node").alias(name), F.col("print").alias(f"p{name}"))
     close = pairs.join(print_of("u"), "u").join(print_of("v"), "v").where(_similar(F.col("pu"), F.col("pv"))).select("u", "v")
     stars = settle(resembling(close, prints, docs, words))
@@ -219,8 +222,9 @@ def link_similar(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.part").alias("main"))
     member = settle(member.join(mixed, "key").join(prints.select("node", "print"), "node"))
     small = member.where("part <> main").select(F.col("key").alias("k"), F.col("node").alias("u"), F.col("part").alias("part_u"), F.col("print").alias("pu"))
-    other = member.select("key", F.col("node").alias("v"), F.col("part").alias("part_v"), F.col("print").alias("pv"))
-    crossing = small.join(other, (F.col("k") == F.col("key")) & (F.col("part_u") != F.col("part_v")) & _similar(F.col("pu"), F.col("pv")))
+    other = member.select("key", F.col("node").alias("v"), F.col("part").alias("part_v"), F.col("print").alias("pv"), (F.col("part") == F.col("main")).alias("in_main"))
+    once = F.col("in_main") | (F.col("u") < F.col("v"))  # members of two small parts meet from either side
+    crossing = small.join(other, (F.col("k") == F.col("key")) & (F.col("part_u") != F.col("part_v")) & once & _similar(F.col("pu"), F.col("pv")))
     crossing = crossing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(close, ["u", "v"], "left_anti")
     crossing = settle(resembling(crossing, prints, docs, words))
     return first if crossing.isEmpty() else components(stars.unionByName(crossing))
