@@ -31,8 +31,15 @@ def settle(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="regionflow-"))
-    read = sum(int(str(leaf.stats().sizeInBytes())) for leaf in _files(df))
-    return df.coalesce(max(FILES_PER_CORE * context.defaultParallelism, read // FILE_BYTES)).checkpoint()
+    # constraints that a checkpoint takes along name columns it no longer has; a later self-join fails on them
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        read = sum(int(str(leaf.stats().sizeInBytes())) for leaf in _files(df))
+        return df.coalesce(max(FILES_PER_CORE * context.defaultParallelism, read // FILE_BYTES)).checkpoint()
+    finally:
+        conf.set(name, before)
 
 
 def _files(df: DataFrame) -> list:

@@ -42,8 +42,11 @@ BLOCK = 1 << 16
 SIMILAR_WORDS, RESEMBLANCE, WIDE_BITS, WIDE_SETS, WIDE_TALLY, WIDE_DISTANCE = 5, 0.8, 512, 128, 4, 92
 #: Documents to be compared that are looked up by broadcast; more are joined by a shuffle.
 LOOKED_UP_MOST = 100_000
-#: Of the first members of its lists, each document is compared with so many in the first step; the second step has no such bound.
-FIRST_COMPARED = 4
+#: Of the first members of its lists, each document is compared with so many in the first step; the second step has no such bound. Which
+#: member is first is told by how many others documents meet under so many of the sets.
+FIRST_COMPARED, RANKING_SETS = 4, 16
+#: A node's number: its rank in steps of a doubling's 256th above, a running number below.
+RANK_STEPS, RANK_SHIFT = 256, 50
 
 
 def sets_of_positions(width: int, shared: int = POSITIONS - DISTANCE) -> list[tuple[int, ...]]:
@@ -152,14 +155,15 @@ def wide_sets() -> np.ndarray:
     return np.array([rng.choice(WIDE_BITS // 8, 3, replace=False) for _ in range(WIDE_SETS)])
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets = wide_sets()
+def _post(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The keys of the first n sets."""
+    sets = wide_sets()[:n]
     for b in batches:
         if not b.num_rows:
             continue
         raw = np.array(b.column("print").to_pylist(), np.int64).view(np.uint8)[:, sets].astype(np.int32)
-        keys = np.arange(WIDE_SETS, dtype=np.int32) << 24 | raw[:, :, 0] << 16 | raw[:, :, 1] << 8 | raw[:, :, 2]
-        nodes = np.repeat(b.column("node").to_numpy(), WIDE_SETS)
+        keys = np.arange(n, dtype=np.int32) << 24 | raw[:, :, 0] << 16 | raw[:, :, 1] << 8 | raw[:, :, 2]
+        nodes = np.repeat(b.column("node").to_numpy(), n)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys.ravel(), pa.int32())], ["node", "key"])
 
 
@@ -202,28 +206,38 @@ def resembling(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int)
     return pairs.join(side("u"), "u").join(side("v"), "v").where(both >= RESEMBLANCE * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
+def posted(prints: DataFrame, n: int = WIDE_SETS) -> DataFrame:
+    return prints.select("node", "print").mapInArrow(partial(_post, n=n), "node long, key int")
+
+
+def ranked(prints: DataFrame) -> DataFrame:
+    """``prints`` with nodes numbered anew, so that a greater number meets more others."""
+    rows = posted(prints, RANKING_SETS)
+    met = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key").groupBy("node").agg(F.sum("size").alias("meets"))
+    rank = F.floor(RANK_STEPS * F.log2(1 + F.coalesce("meets", F.lit(0)))).cast("long")
+    numbered = prints.join(met, "node", "left").withColumn("node", F.shiftleft(rank, RANK_SHIFT).bitwiseOR(F.col("node")))
+    return settle(numbered.drop("meets"))
+
+
 def link_similar(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, component) of wide fingerprints that have links; ``prints`` has node, print, n and least_id. In two steps, as
+    """(node, component) of wide fingerprints that have links; ``prints`` has node (by rank), print and least_id. In two steps, as
     ``link_prints``."""
-    posted = prints.select("node", "print").mapInArrow(_post, "node long, key int")
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = settle(posted.join(shared, "key"))
-    known = met.groupBy("node").agg(F.sum("size").alias("meets")).join(prints, "node")
-    ranked = settle(met.select("key", "node").join(known.select("node", F.struct("n", "meets", "node").alias("rank")), "node"))
-    heads = ranked.groupBy("key").agg(F.max("rank").alias("head"))
-    best = ranked.join(heads, "key").where("node <> head.node").groupBy("node").agg(F.sort_array(F.collect_set("head"), False).alias("heads"))
-    pairs = best.select(F.col("node").alias("u"), F.explode(F.slice("heads", 1, FIRST_COMPARED)).alias("head")).select("u", F.col("head.node").alias("v"))
+    rows = posted(prints)
+    lists = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("node").alias("head")).where("size > 1").select("key", "head")
+    met = settle(rows.join(lists, "key").select("key", "node", "head"))
+    best = met.where("node <> head").groupBy("node").agg(F.sort_array(F.collect_set("head"), False).alias("heads"))
+    pairs = best.select(F.col("node").alias("u"), F.explode(F.slice("heads", 1, FIRST_COMPARED)).alias("v"))
     print_of = lambda name: prints.select(F.col("node").alias(name), F.col("print").alias(f"p{name}"))
-    close = pairs.join(print_of("u"), "u").join(print_of("v"), "v").where(_similar(F.col("pu"), F.col("pv"))).select("u", "v")
+    close = settle(pairs.join(print_of("u"), "u").join(print_of("v"), "v").where(_similar(F.col("pu"), F.col("pv"))).select("u", "v"))
     stars = settle(resembling(close, prints, docs, words))
     first = settle(components(stars))
-    member = ranked.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    parts = member.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.part").alias("main"))
-    member = settle(member.join(mixed, "key").join(prints.select("node", "print"), "node"))
-    small = member.where("part <> main").select(F.col("key").alias("k"), F.col("node").alias("u"), F.col("part").alias("part_u"), F.col("print").alias("pu"))
-    other = member.select("key", F.col("node").alias("v"), F.col("part").alias("part_v"), F.col("print").alias("pv"), (F.col("part") == F.col("main")).alias("in_main"))
-    once = F.col("in_main") | (F.col("u") < F.col("v"))  # members of two small parts meet from either side
+    of_head = first.select(F.col("node").alias("head"), F.col("component").alias("head_part"))
+    member = met.join(first, "node", "left").join(of_head, "head", "left")
+    member = settle(member.select("key", "node", F.coalesce("component", "node").alias("part"), F.coalesce("head_part", "head").alias("head_part")))
+    apart = member.where("part <> head_part")  # at least one of any two members in different components
+    small = apart.select(F.col("key").alias("k"), F.col("node").alias("u"), F.col("part").alias("part_u")).join(print_of("u"), "u")
+    other = member.join(apart.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("v"), F.col("part").alias("part_v"), (F.col("part") == F.col("head_part")).alias("with_head")).join(print_of("v"), "v")
+    once = F.col("with_head") | (F.col("u") < F.col("v"))  # others meet from either side
     crossing = small.join(other, (F.col("k") == F.col("key")) & (F.col("part_u") != F.col("part_v")) & once & _similar(F.col("pu"), F.col("pv")))
     crossing = crossing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(close, ["u", "v"], "left_anti")
     crossing = settle(resembling(crossing, prints, docs, words))
@@ -234,7 +248,7 @@ def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
     """doc_id and component_id of every row, linked by the resemblance of their word shingles instead of by a few bits. Odd rows are as in
     ``near_duplicates``; documents without words have equal fingerprints and are linked."""
     rows = settle(fingerprints(docs, words, WIDE_BITS))
-    prints = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    prints = ranked(settle(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.monotonically_increasing_id())))
     part = link_similar(prints, docs, words)
     named = prints.join(part, "node", "left").select("print", "least_id", F.coalesce("component", "node").alias("part"))
     ids = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
