@@ -3,7 +3,8 @@
 Candidates are grouped by length into buckets, and buckets into blocks of bounded size. A pilot gives every query a score that its
 k-th best reaches at least. Against a bucket's greatest length this is a cosine that a result needs there: over 1, the bucket is
 skipped; high, candidates are pruned by the ranges that it leaves for the query's largest coordinates; else by length alone. What is
-left is verified by products. Queries travel to the blocks, which are a hundredth of the rows; candidates are shuffled once.
+left is verified by products. Queries, a hundredth of the rows, travel to the blocks in shares of bounded size, so that a task holds one
+block and one share however many there are; candidates are shuffled once for each share.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from .common import settle
 
 SCALE, K, EVERY = 1024, 10, 100
-#: Rows of a block, of the pilot, and queries handled at a time.
-BLOCK_ROWS, PILOT_ROWS, QUERIES_AT_ONCE = 8192, 4096, 512
+#: Rows of a block, of a share of the queries, of the pilot, and queries handled at a time. Queries move once for each block and candidates
+#: once for each share.
+BLOCK_ROWS, SHARE_ROWS, PILOT_ROWS, QUERIES_AT_ONCE = 32_768, 32_768, 4096, 128
+#: Buckets that are looked up by broadcast; more are joined by a shuffle.
+LOOKED_UP_MOST = 100_000
 #: Lengths of a bucket differ by this factor at most; local cosines from which coordinates are pruned, and how many are.
 STEP, COORDINATES_FROM, COORDINATES = 1.05, 0.8, 4
 #: Products of doubles are exact below this.
@@ -92,7 +96,7 @@ def _kept(q: np.ndarray, q_norm: float, need: float, c: np.ndarray, norms: np.nd
 
 def _block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best of a block for each query that came to it."""
-    out = []
+    out = [(np.empty(0, np.int64),) * 3]
     if len(queries) and len(block):
         block = block.sort_values(["norm", "vec_id"], ascending=[False, True])
         c, ids, norms = matrix(block["v"]), block["vec_id"].to_numpy(), block["norm"].to_numpy()
@@ -103,11 +107,11 @@ def _block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
             for i, (vec_id, norm, bound) in enumerate(zip(part["vec_id"], part["norm"], part["bound"], strict=True)):
                 places = np.arange(len(c)) if local[i] < COORDINATES_FROM else _kept(q[i], norm, float(bound), c, norms)
                 scores = whole[i] if local[i] < COORDINATES_FROM else products(q[i : i + 1], c[places])[0]
-                places = places[(scores >= bound) & (ids[places] != vec_id)] if len(places) else places
-                scores = whole[i][places] if local[i] < COORDINATES_FROM else products(q[i : i + 1], c[places])[0] if len(places) else np.empty(0, np.int64)
+                keep = (scores >= bound) & (ids[places] != vec_id)
+                places, scores = places[keep], scores[keep]
                 top = best(scores, ids[places], k)
-                out.append(pd.DataFrame({"query_id": vec_id, "vec_id": ids[places][top], "score": scores[top]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+                out.append((np.full(len(top), vec_id, np.int64), ids[places][top], scores[top]))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
@@ -122,20 +126,26 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(STEP))).otherwise(-1)
     rows = rows.withColumn("bucket", bucket)
     stats = rows.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest"))
-    stats = stats.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
-    dealt = rows.join(stats.select("dim", "bucket", "blocks"), ["dim", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    stats = settle(stats.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")))
     queries = rows.where(F.col("vec_id") % every == 0)
+    shares = settle(queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARE_ROWS).cast("int").alias("shares")))
+    small = F.broadcast if stats.count() <= LOOKED_UP_MOST else (lambda df: df)  # there are no more shares than buckets
+    # by vector too: one vec_id may stand before many vectors
+    turn = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+    dealt = rows.join(small(stats.select("dim", "bucket", "blocks")), ["dim", "bucket"]).withColumn("block", turn("blocks"))
+    dealt = dealt.join(small(shares), "dim").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     pilot = rows.orderBy(F.desc("norm"), F.xxhash64("vec_id"), "vec_id").limit(PILOT_ROWS).toPandas()  # PILOT_ROWS at most
     pilot = pilot[pilot["dim"] == pilot["dim"].mode().iloc[0]].drop_duplicates("vec_id") if len(pilot) else pilot
     sample = matrix(pilot["v"]) if len(pilot) else np.empty((0, 0), np.int64)
-    kinds = "vec_id long, v array<long>, dim int, norm double, bucket long"
-    bounded = queries.select(*[c.split(" ")[0] for c in kinds.split(", ")]).mapInPandas(partial(_pilot, ids=pilot["vec_id"].to_numpy(), sample=sample, k=k), kinds + ", bound long")
-    reach = stats.select(F.col("dim"), F.col("bucket").alias("to_bucket"), "longest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    kinds = "vec_id long, v array<long>, dim int, norm double, share int"
+    asked = queries.join(small(shares), "dim").withColumn("share", turn("shares")).select(*[c.split(" ")[0] for c in kinds.split(", ")])
+    bounded = asked.mapInPandas(partial(_pilot, ids=pilot["vec_id"].to_numpy(), sample=sample, k=k), kinds + ", bound long")
     possible = (F.col("bound") <= 0) | (F.col("norm") * F.col("longest") * (1 + 1e-9) >= F.col("bound"))
-    sent = bounded.join(reach, "dim").where(possible).select("dim", F.col("to_bucket").alias("bucket"), "block", "vec_id", "v", "norm", "bound")
-    near = sent.groupBy("dim", "bucket", "block").cogroup(dealt.select("dim", "bucket", "block", "vec_id", "v", "norm").groupBy("dim", "bucket", "block"))
-    found = near.applyInPandas(partial(_cogrouped, k=k), RESULT)
-    return ranked(found, k)
+    sent = bounded.join(small(stats.select("dim", "bucket", "longest", "blocks")), "dim").where(possible)
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = ["dim", "bucket", "block", "share"]
+    near = sent.select(*place, "vec_id", "v", "norm", "bound").groupBy(*place).cogroup(dealt.select(*place, "vec_id", "v", "norm").groupBy(*place))
+    return ranked(near.applyInPandas(partial(_cogrouped, k=k), RESULT), k)
 
 
 def _cogrouped(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:

@@ -35,6 +35,32 @@ def test_exact(spark, kind, monkeypatch):
     check(spark, [(i, x.tolist()) for i, x in enumerate(v)], every=20)
 
 
+def test_blocks_and_shares(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(K, "SHARE_ROWS", 7)
+    monkeypatch.setattr(K, "PILOT_ROWS", 50)
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)) * rng.choice([1, 3], (400, 1)))]
+    check(spark, [*rows, *[(1000 + i, v[:4]) for i, v in rows[:90]]], every=4)
+    for limit in (0, 100):
+        monkeypatch.setattr(K, "LOOKED_UP_MOST", limit)
+        check(spark, rows[:150], every=4)
+
+
+def test_a_vec_id_of_many_vectors_is_dealt_out(spark, monkeypatch):
+    """One vec_id holds most rows; its vectors are candidates of every other query, and its blocks are not one block."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 6)).astype(np.float32).tolist()
+    rows = [(7 if i % 3 else i * 100, x) for i, x in enumerate(v)]
+    got = K.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    whole = [(i, np.floor(1024 * np.array(x, float)).astype(int)) for i, x in rows]
+    for i, q in whole:
+        if i % 100 == 0:
+            best = sorted((-int(q @ c), j) for j, c in whole if j != i)[:10]
+            assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i] == [(j, -s) for s, j in best]
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (100, [0.0, 0.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (None, [1.0, 1.0]), (6, [-3.0, 4.0]), (7, [1.0, 2.0, 3.0]), (200, [5.0, 1.0, 1.0]), (8, [-1e9, 2e9])]
     check(spark, rows)
