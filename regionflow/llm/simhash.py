@@ -21,6 +21,7 @@ from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -244,15 +245,20 @@ def link_similar(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return first if crossing.isEmpty() else components(stars.unionByName(crossing))
 
 
-def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
-    """doc_id and component_id of every row, linked by the resemblance of their word shingles instead of by a few bits. Odd rows are as in
-    ``near_duplicates``; documents without words have equal fingerprints and are linked."""
+def similar_rows(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
+    """doc_id, print (the wide fingerprint) and component_id of every row, as ``similar_documents`` links them."""
     rows = settle(fingerprints(docs, words, WIDE_BITS))
     prints = ranked(settle(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.monotonically_increasing_id())))
     part = link_similar(prints, docs, words)
     named = prints.join(part, "node", "left").select("print", "least_id", F.coalesce("component", "node").alias("part"))
     ids = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
-    return rows.join(named.join(ids, "part").select("print", "component_id"), "print").select("doc_id", "component_id")
+    return rows.join(named.join(ids, "part").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+
+
+def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
+    """doc_id and component_id of every row, linked by the resemblance of their word shingles instead of by a few bits. Odd rows are as in
+    ``near_duplicates``; documents without words have equal fingerprints and are linked."""
+    return similar_rows(docs, words).select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -272,6 +278,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
-    """``docs`` without those that are not the first of their component by similarity; their columns stay as they are."""
-    drop = settle(similar_documents(docs, words).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without those that are not the first of their component by similarity; their columns stay as they are.
+
+    Rows are told apart by doc_id; where one stands before several rows, by their fingerprints too: each component keeps one row of its
+    first doc_id, and a row that goes takes no other with it. Rows without doc_id stay. An empty table gives an empty result.
+    """
+    found = settle(similar_rows(docs, words))
+    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
+    shared = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if shared.isEmpty():
+        return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    shared = settle(shared)
+    single = docs.join(shared, "doc_id", "left_anti").join(drop, "doc_id", "left_anti").select(*docs.columns)
+
+    @F.pandas_udf("array<long>")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint_longs(t, words, WIDE_BITS))
+
+    own = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    first = found.where("doc_id = component_id").select("doc_id", F.col("print").alias(own)).distinct()
+    kept = docs.join(shared, "doc_id", "left_semi").withColumn(own, print_of(whole())).join(first, ["doc_id", own], "left_semi")
+    return single.unionByName(kept.dropDuplicates(["doc_id"]).select(*docs.columns))

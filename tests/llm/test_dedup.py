@@ -161,6 +161,17 @@ def test_simhash_on_odd_rows(docs, nothing):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} >= {4, 7, 13} and not {5, 6, 8} & {r["doc_id"] for r in out.collect()}
 
 
+def test_dropping_rows_that_share_a_doc_id(spark):
+    text = lambda a: " ".join(f"w{a}x{k}" for k in range(300))
+    near = text(1) + " more"
+    rows = [(1, text(1)), (5, near), (5, text(2)), (5, text(2) + " end"), (6, text(2)), (7, text(3)), (7, text(3)), (None, text(1)), (None, text(1)), (8, text(4))]
+    out = H.drop_near_duplicates(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _first int").repartition(3))
+    assert out.columns == ["doc_id", "text", "_first"]
+    got = [(r["doc_id"], r["text"].split()[0]) for r in out.collect()]
+    assert sorted(g for g in got if g[0]) == [(1, "w1x0"), (5, "w2x0"), (7, "w3x0"), (8, "w4x0")]
+    assert sum(g[0] is None for g in got) == 2
+
+
 def test_links_in_crowded_lists(spark):
     """Chains and crowds in which most pairs share many bytes: no link is lost."""
     rng = random.Random(5)
