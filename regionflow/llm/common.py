@@ -15,9 +15,14 @@ BLANK = r"[\x20\x09-\x0D]"
 READER_ROWS = 256
 
 
+def decode_few(spark: SparkSession) -> None:
+    """Has what this session plans from now on decode ``READER_ROWS`` rows at a time."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the corpus, by a path that any of Spark's readers can open."""
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
+    decode_few(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
