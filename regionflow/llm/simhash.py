@@ -5,17 +5,18 @@ are posted under sets of positional bytes chosen so that any four shared positio
 shared positional bytes are tallied, pairs under the guaranteed minimum go, and the rest is verified bit by bit. Postings of single
 bytes would meet in a 256th of all pairs at every size; sets of three meet in a 2**24th.
 
-For a similarity instead of a number of bits, fingerprints are wide, and pairs that agree in enough bits are verified by their shingles.
-Pairs of the least similarity differ in more bits than there are bytes, so that no byte is guaranteed to be shared; lists then hold many
-sets of three bytes, of which similar pairs share several on average, and recall is measured instead of proven.
+For a similarity instead of a number of bits, texts are posted under their first shingles in an order that holds for all texts, the rarest
+first. Two texts of enough resemblance share one of them, as many first ones are posted as that takes; pairs whose places there rule it out
+go, and the rest is verified by the shingles. No pair is lost whatever the order is; that rare ones come first keeps lists short.
 
 A list of postings is linked in two steps so that a large group never emits its pairs. First every member is compared with the list's
-most frequent fingerprint, of wide ones with that which meets most others. Then only members that this left in different components are compared, and never two members of the
+most frequent fingerprint, of texts with that which meets most others. Then only members that this left in different components are compared, and never two members of the
 list's largest component. No link between components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial, reduce
 from itertools import combinations
@@ -37,15 +38,16 @@ POSITIONS = 8
 WIDE_FROM = 1 << 24
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 16
-#: By similarity: words of a shingle, the least resemblance (shared distinct shingles over all), bits, sets of three positional bytes, least
-#: tally of shared bytes, and the bits that may differ before texts are compared. Shingles with a resemblance of 0.8 have a cosine of 0.89
-#: and differ in 0.15 of the bits, give or take 0.016; 0.18 of them is the most that texts are compared for.
-SIMILAR_WORDS, RESEMBLANCE, WIDE_BITS, WIDE_SETS, WIDE_TALLY, WIDE_DISTANCE = 5, 0.8, 512, 128, 4, 92
+#: By similarity: words of a shingle, the least resemblance (shared distinct shingles over all), and bits of the fingerprint that tells texts
+#: apart.
+SIMILAR_WORDS, RESEMBLANCE, WIDE_BITS = 5, 0.8, 512
+#: Documents that tell how common shingles are, in how many of them a common one is at least, and common ones that are ordered by it at most.
+#: They decide how long lists get, not what is found.
+SAMPLED, COMMON_FROM, COMMON_MOST = 10_000, 3, 200_000
 #: Documents to be compared that are looked up by broadcast; more are joined by a shuffle.
 LOOKED_UP_MOST = 100_000
-#: Of the first members of its lists, each document is compared with so many in the first step; the second step has no such bound. Which
-#: member is first is told by how many others documents meet under so many of the sets.
-FIRST_COMPARED, RANKING_SETS = 4, 16
+#: Of the first members of its lists, each document is compared with so many in the first step; the second step has no such bound.
+FIRST_COMPARED = 4
 #: A node's number: its rank in steps of a doubling's 256th above, a running number below.
 RANK_STEPS, RANK_SHIFT = 256, 50
 
@@ -150,38 +152,55 @@ def link_prints(prints: DataFrame) -> DataFrame:
     return first if crossing.isEmpty() else components(stars.unionByName(crossing))
 
 
-def wide_sets() -> np.ndarray:
-    """The sets of three positional bytes that wide fingerprints are posted under; drawn once and for all."""
-    rng = np.random.default_rng(SEED)
-    return np.array([rng.choice(WIDE_BITS // 8, 3, replace=False) for _ in range(WIDE_SETS)])
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    w = min(words, len(parts))
+    hashed = (xxhash.xxh64_intdigest(b" ".join(parts[k : k + w]), SEED) for k in range(len(parts) - w + 1 if parts else 0))
+    return np.unique(np.fromiter(hashed, np.uint64)).view(np.int64)
+
+
+def prefix_size(n: int) -> int:
+    """Of n shingles in an order that holds for all texts, how many first ones hold one that a text of enough resemblance has among its own."""
+    return n - math.ceil(RESEMBLANCE * n - 1e-6) + 1 if n else 0
 
 
-def _post(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The keys of the first n sets."""
-    sets = wide_sets()[:n]
+def _prefixes(batches: Iterator[pa.RecordBatch], words: int, common: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each text's first shingles, the rarest first; ``common`` is sorted."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        raw = np.array(b.column("print").to_pylist(), np.int64).view(np.uint8)[:, sets].astype(np.int32)
-        keys = np.arange(n, dtype=np.int32) << 24 | raw[:, :, 0] << 16 | raw[:, :, 1] << 8 | raw[:, :, 2]
-        nodes = np.repeat(b.column("node").to_numpy(), n)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys.ravel(), pa.int32())], ["node", "key"])
+        prints, sizes, firsts = [], [], []
+        for text in (x.as_py() for x in b.column("text")):
+            h = shingle_hashes(text, words)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                h = h[np.lexsort((h, np.where(common[at] == h, count[at], 0)))]
+            prints.append(fingerprint_longs(text, words, WIDE_BITS))
+            sizes.append(len(h))
+            firsts.append(h[: prefix_size(len(h))])
+        cols = [pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "print", "size", "first"])
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for text in b.column("text"):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py(), words))], ["key"])
 
 
-def _similar(a: Column, b: Column) -> Column:
-    """Wide fingerprints: the tally of shared positional bytes reaches its minimum, and few enough bits differ."""
-    differ = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
-    shared = F.aggregate(differ, F.lit(0), lambda n, d: n + reduce(lambda x, y: x + y, [F.when(_byte(d, p) == 0, 1).otherwise(0) for p in range(POSITIONS)]))
-    bits = F.aggregate(differ, F.lit(0), lambda n, d: n + F.bit_count(d))
-    return (bits <= WIDE_DISTANCE) & (shared >= WIDE_TALLY)
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of some documents have, sorted, and how many have them. The driver gets ``COMMON_MOST`` at most."""
+    some = docs.select(whole().alias("text")).where(F.rand(SEED) < SAMPLED / max(1, docs.count()))
+    n = some.mapInArrow(partial(_sampled, words=words), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = n.where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "key").limit(COMMON_MOST).toPandas().sort_values("key")
+    return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """Distinct hashes of a text's shingles."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    w = min(words, len(parts))
-    hashed = (xxhash.xxh64_intdigest(b" ".join(parts[k : k + w]), SEED) for k in range(len(parts) - w + 1 if parts else 0))
-    return np.unique(np.fromiter(hashed, np.uint64)).view(np.int64)
+def prefixes(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, print, size (distinct shingles) and first: enough of them, in one order for all rows, that any two texts of enough resemblance
+    share one of their first."""
+    common, count = common_shingles(docs, words)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
+    return rows.mapInArrow(partial(_prefixes, words=words, common=common, count=count), "doc_id long, print array<long>, size int, first array<long>")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -197,7 +216,9 @@ def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 def resembling(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Those pairs of nodes (u, v) whose documents share enough of their distinct shingles."""
     pairs = settle(pairs)
-    wanted = settle(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(prints.select("node", "least_id", "print"), "node"))
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    of_rank = ends.select("node", F.col("node").bitwiseAND(F.lit((1 << RANK_SHIFT) - 1)).alias("plain"))
+    wanted = settle(of_rank.join(prints.select(F.col("node").alias("plain"), "least_id", "print"), "plain").drop("plain"))
     wanted = F.broadcast(wanted) if wanted.count() <= LOOKED_UP_MOST else wanted
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     texts = rows.join(wanted, rows.doc_id.eqNullSafe(F.col("least_id"))).select("node", "text", "print")
@@ -207,52 +228,59 @@ def resembling(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int)
     return pairs.join(side("u"), "u").join(side("v"), "v").where(both >= RESEMBLANCE * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
-def posted(prints: DataFrame, n: int = WIDE_SETS) -> DataFrame:
-    return prints.select("node", "print").mapInArrow(partial(_post, n=n), "node long, key int")
+def posted(prints: DataFrame) -> DataFrame:
+    """(key, node, size, at) of the shingles that several nodes have among their first; ``at`` is the place there. Nodes are numbered anew, so
+    that a greater number meets more others."""
+    rows = prints.select("node", "size", F.posexplode("first").alias("at", "key"))
+    lists = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = settle(rows.join(lists, "key"))
+    rank = F.floor(RANK_STEPS * F.log2(1 + F.sum("members"))).cast("long")
+    ranks = met.groupBy("node").agg(rank.alias("rank"))
+    return settle(met.join(ranks, "node").select("key", F.shiftleft("rank", RANK_SHIFT).bitwiseOR(F.col("node")).alias("node"), "size", "at"))
 
 
-def ranked(prints: DataFrame) -> DataFrame:
-    """``prints`` with nodes numbered anew, so that a greater number meets more others."""
-    rows = posted(prints, RANKING_SETS)
-    met = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key").groupBy("node").agg(F.sum("size").alias("meets"))
-    rank = F.floor(RANK_STEPS * F.log2(1 + F.coalesce("meets", F.lit(0)))).cast("long")
-    numbered = prints.join(met, "node", "left").withColumn("node", F.shiftleft(rank, RANK_SHIFT).bitwiseOR(F.col("node")))
-    return settle(numbered.drop("meets"))
+def _possible(size_u: str, at_u: str, size_v: str, at_v: str) -> Column:
+    """Whether texts that share the shingles at these places can be alike: others are shared on the same side of them in either text."""
+    most = F.least(at_u, at_v) + 1 + F.least(F.col(size_u) - F.col(at_u), F.col(size_v) - F.col(at_v)) - 1
+    return most * (1 + RESEMBLANCE) >= RESEMBLANCE * (F.col(size_u) + F.col(size_v)) - 1e-6
 
 
 def link_similar(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, component) of wide fingerprints that have links; ``prints`` has node (by rank), print and least_id. In two steps, as
-    ``link_prints``."""
-    rows = posted(prints)
-    lists = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("node").alias("head")).where("size > 1").select("key", "head")
-    met = settle(rows.join(lists, "key").select("key", "node", "head"))
-    best = met.where("node <> head").groupBy("node").agg(F.sort_array(F.collect_set("head"), False).alias("heads"))
-    pairs = best.select(F.col("node").alias("u"), F.explode(F.slice("heads", 1, FIRST_COMPARED)).alias("v"))
-    print_of = lambda name: prints.select(F.col("node").alias(name), F.col("print").alias(f"p{name}"))
-    close = settle(pairs.join(print_of("u"), "u").join(print_of("v"), "v").where(_similar(F.col("pu"), F.col("pv"))).select("u", "v"))
+    """(node, component) of nodes that have links; ``prints`` has node, print, least_id, size and first. In two steps, as ``link_prints``."""
+    member = posted(prints)
+    heads = member.groupBy("key").agg(F.max(F.struct("node", "size", "at")).alias("h"))
+    heads = heads.select("key", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"), F.col("h.at").alias("head_at"))
+    met = settle(member.join(heads, "key"))
+    best = met.where((F.col("node") != F.col("head")) & _possible("size", "at", "head_size", "head_at")).groupBy("node")
+    best = best.agg(F.sort_array(F.collect_set("head"), False).alias("heads"))
+    close = settle(best.select(F.col("node").alias("u"), F.explode(F.slice("heads", 1, FIRST_COMPARED)).alias("v")))
     stars = settle(resembling(close, prints, docs, words))
     first = settle(components(stars))
     of_head = first.select(F.col("node").alias("head"), F.col("component").alias("head_part"))
     member = met.join(first, "node", "left").join(of_head, "head", "left")
-    member = settle(member.select("key", "node", F.coalesce("component", "node").alias("part"), F.coalesce("head_part", "head").alias("head_part")))
+    member = settle(member.select("key", "node", "size", "at", F.coalesce("component", "node").alias("part"), F.coalesce("head_part", "head").alias("head_part")))
     apart = member.where("part <> head_part")  # at least one of any two members in different components
-    small = apart.select(F.col("key").alias("k"), F.col("node").alias("u"), F.col("part").alias("part_u")).join(print_of("u"), "u")
-    other = member.join(apart.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("v"), F.col("part").alias("part_v"), (F.col("part") == F.col("head_part")).alias("with_head")).join(print_of("v"), "v")
+    small = apart.select(F.col("key").alias("k"), F.col("node").alias("u"), F.col("part").alias("part_u"), F.col("size").alias("size_u"), F.col("at").alias("at_u"))
+    other = member.join(apart.select("key").distinct(), "key", "left_semi")
+    other = other.select("key", F.col("node").alias("v"), F.col("part").alias("part_v"), F.col("size").alias("size_v"), F.col("at").alias("at_v"), (F.col("part") == F.col("head_part")).alias("with_head"))
     once = F.col("with_head") | (F.col("u") < F.col("v"))  # others meet from either side
-    crossing = small.join(other, (F.col("k") == F.col("key")) & (F.col("part_u") != F.col("part_v")) & once & _similar(F.col("pu"), F.col("pv")))
-    crossing = crossing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(close, ["u", "v"], "left_anti")
+    crossing = small.join(other, (F.col("k") == F.col("key")) & (F.col("part_u") != F.col("part_v")) & once & _possible("size_u", "at_u", "size_v", "at_v"))
+    crossing = crossing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    crossing = crossing.join(close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     crossing = settle(resembling(crossing, prints, docs, words))
     return first if crossing.isEmpty() else components(stars.unionByName(crossing))
 
 
 def similar_rows(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
     """doc_id, print (the wide fingerprint) and component_id of every row, as ``similar_documents`` links them."""
-    rows = settle(fingerprints(docs, words, WIDE_BITS))
-    prints = ranked(settle(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.monotonically_increasing_id())))
-    part = link_similar(prints, docs, words)
+    rows = settle(prefixes(docs, words))
+    prints = rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("first").alias("first"))
+    prints = settle(prints.withColumn("node", F.monotonically_increasing_id()))
+    unranked = F.col("node").bitwiseAND(F.lit((1 << RANK_SHIFT) - 1))
+    part = link_similar(prints, docs, words).select(unranked.alias("node"), "component")
     named = prints.join(part, "node", "left").select("print", "least_id", F.coalesce("component", "node").alias("part"))
     ids = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
-    return rows.join(named.join(ids, "part").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+    return rows.select("doc_id", "print").join(named.join(ids, "part").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
 def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:

@@ -141,6 +141,23 @@ def test_similar_documents(spark, docs, nothing):
     assert H.similar_documents(nothing).count() == 0 and H.similar_documents(docs).count() == docs.count()
 
 
+def test_no_similar_pair_is_lost(spark):
+    """Pairs a little over the least resemblance, each of texts of their own with one line that all have."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line, texts = " ".join(word() for _ in range(12)), {}
+    for k in range(0, 400, 2):
+        text, copy = [word() for _ in range(rng.randint(60, 300))], None
+        while copy is None or not 0.8 <= len(a & b) / len(a | b) < 0.83:
+            copy = list(text)
+            for _ in range(rng.randint(1, len(text) // 30 + 1)):
+                copy[rng.randrange(len(text))] = word()
+            a, b = shingles(" ".join([*text, line])), shingles(" ".join([*copy, line]))
+        texts |= {k: " ".join([*text, line]), k + 1: " ".join([*copy, line])}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: r["component_id"] for r in H.similar_documents(df).collect()} == {k: k - k % 2 for k in texts}
+
+
 def test_simhash(corpus):
     got = {r["doc_id"]: r for r in H.near_duplicates(corpus).collect()}
     prints = {r["doc_id"]: plain_print(r["text"]) for r in corpus.collect()}
