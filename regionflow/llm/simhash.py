@@ -7,7 +7,7 @@ bytes would meet in a 256th of all pairs at every size; sets of three meet in a
 
 For a similarity instead of a number of bits, texts are posted under their first shingles in an order that holds for all texts, the rarest
 first. Two texts of enough resemblance share one of them, as many first ones are posted as that takes; pairs whose places there rule it out
-go, and the rest is verified by the shingles. No pair is lost whatever the order is; that rare ones come first keeps lists short.
+go, as do those of which too many parities differ, and the rest is verified by the shingles. Texts with the same set of shingles, however often each is repeated, are one node. No pair is lost whatever the order is; that rare ones come first keeps lists short.
 
 A list of postings is linked in two steps so that a large group never emits its pairs. First every member is compared with the list's
 most frequent fingerprint, of texts with that which meets most others. Then only members that this left in different components are compared, and never two members of the
@@ -16,6 +16,7 @@ list's largest component. No link between components is lost.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import partial, reduce
@@ -38,9 +39,10 @@ POSITIONS = 8
 WIDE_FROM = 1 << 24
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 16
-#: By similarity: words of a shingle, the least resemblance (shared distinct shingles over all), and bits of the fingerprint that tells texts
-#: apart.
-SIMILAR_WORDS, RESEMBLANCE, WIDE_BITS = 5, 0.8, 512
+#: By similarity: words of a shingle, and the least resemblance (shared distinct shingles over all).
+SIMILAR_WORDS, RESEMBLANCE = 5, 0.8
+#: Bits of the parities that rule pairs out before their texts are read.
+PARITY_BITS = 2048
 #: Documents that tell how common shingles are, in how many of them a common one is at least, and common ones that are ordered by it at most.
 #: They decide how long lists get, not what is found.
 SAMPLED, COMMON_FROM, COMMON_MOST = 10_000, 3, 200_000
@@ -67,52 +69,32 @@ def sets_of_positions(width: int, shared: int = POSITIONS - DISTANCE) -> list[tu
     return [s for s in combinations(range(POSITIONS), width) if chosen(s)]
 
 
-def spread(h: np.ndarray, longs: int) -> np.ndarray:
-    """Further hashes of each hash, one for each long of a wide fingerprint; the first is the hash itself."""
-    steps = np.arange(longs, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        z = h[:, None] + steps
-        mixed = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(31)
-    mixed[:, 0] = h
-    return mixed
-
-
-def fingerprint_longs(text: str, words: int = WORDS, bits: int = 64) -> np.ndarray:
-    """The fingerprint as signed longs. A bit is 1 if more than half of the shingles' hashes have it; no words give zeros."""
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """The signed 64-bit fingerprint. A bit is 1 if more than half of the shingles' hashes have it; no words give 0."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: lower() is A-Z alone, split() is at [\x20\x09-\x0D]
     if not parts:
-        return np.zeros(bits // 64, np.int64)
+        return 0
     joined, sizes = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts, w = ends - sizes, min(words, len(parts))
-    n, ones, hashed = len(parts) - w + 1, np.zeros(bits, np.int64), xxhash.xxh64_intdigest
-    block = BLOCK * 64 // bits
-    for at in range(0, n, block):
-        till = min(n, at + block)
+    n, ones, hashed = len(parts) - w + 1, np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    for at in range(0, n, BLOCK):
+        till = min(n, at + BLOCK)
         h = np.array([hashed(joined[a:z], SEED) for a, z in zip(starts[at:till].tolist(), ends[at + w - 1 : till + w - 1].tolist(), strict=True)], np.uint64)
-        h = spread(h, bits // 64) if bits > 64 else h
         ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > n, bitorder="little").view(np.int64)
-
-
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """The signed 64-bit fingerprint."""
-    return int(fingerprint_longs(text, words)[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [fingerprint_longs(x.as_py(), words, bits) for x in b.column("text")]
-        prints = pa.array([f[0] for f in found], pa.int64()) if bits == 64 else pa.array(found, pa.list_(pa.int64()))
+        prints = pa.array([fingerprint(x.as_py(), words) for x in b.column("text")], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), prints], ["doc_id", "print"])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, bits: int = 64) -> DataFrame:
-    """doc_id and print: a long, or an array of longs for wide ones."""
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id and print."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    return rows.mapInArrow(partial(_fingerprints, words=words, bits=bits), f"doc_id long, print {'long' if bits == 64 else 'array<long>'}")
+    return rows.mapInArrow(partial(_fingerprints, words=words), "doc_id long, print long")
 
 
 def _byte(x: Column, p: int) -> Column:
@@ -160,6 +142,18 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.unique(np.fromiter(hashed, np.uint64)).view(np.int64)
 
 
+def set_print(shingles: np.ndarray) -> bytes:
+    """Equal for equal sets of distinct shingles alone."""
+    return hashlib.sha256(np.sort(shingles).tobytes()).digest()[:16]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of shingles falls to it, as longs. Each shingle that only one of two texts has changes one bit, so
+    that at least as many shingles as bits differ."""
+    odd = np.bincount(shingles.view(np.uint64) % np.uint64(PARITY_BITS), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix_size(n: int) -> int:
     """Of n shingles in an order that holds for all texts, how many first ones hold one that a text of enough resemblance has among its own."""
     return n - math.ceil(RESEMBLANCE * n - 1e-6) + 1 if n else 0
@@ -168,17 +162,18 @@ def prefix_size(n: int) -> int:
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, common: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each text's first shingles, the rarest first; ``common`` is sorted."""
     for b in batches:
-        prints, sizes, firsts = [], [], []
+        prints, odds, sizes, firsts = [], [], [], []
         for text in (x.as_py() for x in b.column("text")):
             h = shingle_hashes(text, words)
+            prints.append(set_print(h))
+            odds.append(parities(h))
             if len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 h = h[np.lexsort((h, np.where(common[at] == h, count[at], 0)))]
-            prints.append(fingerprint_longs(text, words, WIDE_BITS))
             sizes.append(len(h))
             firsts.append(h[: prefix_size(len(h))])
-        cols = [pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "print", "size", "first"])
+        cols = [pa.array(prints, pa.binary()), pa.array(odds, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "print", "odd", "size", "first"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -196,28 +191,37 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, print, size (distinct shingles) and first: enough of them, in one order for all rows, that any two texts of enough resemblance
+    """doc_id, print, odd (parities), size (distinct shingles) and first: enough of them, in one order for all rows, that any two texts of enough resemblance
     share one of their first."""
     common, count = common_shingles(docs, words)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    return rows.mapInArrow(partial(_prefixes, words=words, common=common, count=count), "doc_id long, print array<long>, size int, first array<long>")
+    return rows.mapInArrow(partial(_prefixes, words=words, common=common, count=count), "doc_id long, print binary, odd array<long>, size int, first array<long>")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for node, text, print_ in zip(b.column("node").to_pylist(), b.column("text"), b.column("print").to_pylist(), strict=True):
-            text = text.as_py()
-            if fingerprint_longs(text, words, WIDE_BITS).tolist() == print_:  # of rows that share a doc_id, the one that was meant
-                rows.append((node, shingle_hashes(text, words)))
+            shingles = shingle_hashes(text.as_py(), words)
+            if set_print(shingles) == print_:  # of rows that share a doc_id, the one that was meant
+                rows.append((node, shingles))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
+def _plain(node: str) -> Column:
+    """A node's number without its rank."""
+    return F.col(node).bitwiseAND(F.lit((1 << RANK_SHIFT) - 1))
+
+
 def resembling(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Those pairs of nodes (u, v) whose documents share enough of their distinct shingles."""
-    pairs = settle(pairs)
+    side = lambda n: prints.select(F.col("node").alias(f"n{n}"), F.col("odd").alias(f"o{n}"), F.col("size").alias(f"z{n}"))
+    plain = pairs.withColumn("nu", _plain("u")).withColumn("nv", _plain("v"))
+    differ = F.aggregate(F.zip_with("ou", "ov", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    alike = differ * (1 + RESEMBLANCE) <= (1 - RESEMBLANCE) * (F.col("zu") + F.col("zv")) + 1e-6
+    pairs = settle(plain.join(side("u"), "nu").join(side("v"), "nv").where(alike).select("u", "v"))
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    of_rank = ends.select("node", F.col("node").bitwiseAND(F.lit((1 << RANK_SHIFT) - 1)).alias("plain"))
+    of_rank = ends.select("node", _plain("node").alias("plain"))
     wanted = settle(of_rank.join(prints.select(F.col("node").alias("plain"), "least_id", "print"), "plain").drop("plain"))
     wanted = F.broadcast(wanted) if wanted.count() <= LOOKED_UP_MOST else wanted
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
@@ -246,7 +250,7 @@ def _possible(size_u: str, at_u: str, size_v: str, at_v: str) -> Column:
 
 
 def link_similar(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, component) of nodes that have links; ``prints`` has node, print, least_id, size and first. In two steps, as ``link_prints``."""
+    """(node, component) of nodes that have links; ``prints`` has node, print, least_id, odd, size and first. In two steps, as ``link_prints``."""
     member = posted(prints)
     heads = member.groupBy("key").agg(F.max(F.struct("node", "size", "at")).alias("h"))
     heads = heads.select("key", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"), F.col("h.at").alias("head_at"))
@@ -272,12 +276,11 @@ def link_similar(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
 
 def similar_rows(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
-    """doc_id, print (the wide fingerprint) and component_id of every row, as ``similar_documents`` links them."""
+    """doc_id, print (of the set of shingles) and component_id of every row, as ``similar_documents`` links them."""
     rows = settle(prefixes(docs, words))
-    prints = rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("first").alias("first"))
+    prints = rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.first("odd").alias("odd"), F.first("size").alias("size"), F.first("first").alias("first"))
     prints = settle(prints.withColumn("node", F.monotonically_increasing_id()))
-    unranked = F.col("node").bitwiseAND(F.lit((1 << RANK_SHIFT) - 1))
-    part = link_similar(prints, docs, words).select(unranked.alias("node"), "component")
+    part = link_similar(prints, docs, words).select(_plain("node").alias("node"), _plain("component").alias("component"))
     named = prints.join(part, "node", "left").select("print", "least_id", F.coalesce("component", "node").alias("part"))
     ids = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
     return rows.select("doc_id", "print").join(named.join(ids, "part").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
@@ -285,7 +288,7 @@ def similar_rows(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
 
 def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
     """doc_id and component_id of every row, linked by the resemblance of their word shingles instead of by a few bits. Odd rows are as in
-    ``near_duplicates``; documents without words have equal fingerprints and are linked."""
+    ``near_duplicates``; documents without words have equal sets and are linked."""
     return similar_rows(docs, words).select("doc_id", "component_id")
 
 
@@ -308,7 +311,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
     """``docs`` without those that are not the first of their component by similarity; their columns stay as they are.
 
-    Rows are told apart by doc_id; where one stands before several rows, by their fingerprints too: each component keeps one row of its
+    Rows are told apart by doc_id; where one stands before several rows, by their shingles too: each component keeps one row of its
     first doc_id, and a row that goes takes no other with it. Rows without doc_id stay. An empty table gives an empty result.
     """
     found = settle(similar_rows(docs, words))
@@ -319,9 +322,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFra
     shared = settle(shared)
     single = docs.join(shared, "doc_id", "left_anti").join(drop, "doc_id", "left_anti").select(*docs.columns)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def print_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: fingerprint_longs(t, words, WIDE_BITS))
+        return texts.map(lambda t: set_print(shingle_hashes(t, words)))
 
     own = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
     first = found.where("doc_id = component_id").select("doc_id", F.col("print").alias(own)).distinct()

@@ -158,6 +158,18 @@ def test_no_similar_pair_is_lost(spark):
     assert {r["doc_id"]: r["component_id"] for r in H.similar_documents(df).collect()} == {k: k - k % 2 for k in texts}
 
 
+def test_repeated_lines_neither_link_nor_part(spark):
+    """Texts are as alike as their distinct shingles are, however often a line is repeated."""
+    own = lambda a, n: " ".join(f"w{a}x{k}" for k in range(n))
+    line = " " + own("line", 11)
+    texts = {1: own(1, 300) + 100 * line, 2: own(2, 300) + 100 * line, 3: own(1, 300) + 2 * line, 4: own(4, 1000) + 8 * line, 5: own(4, 1000) + line, 6: own(6, 9)}
+    want = alike(texts)
+    assert want == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in H.similar_documents(df).collect()} == want
+    assert sorted(r["doc_id"] for r in H.drop_near_duplicates(df).collect()) == [1, 2, 4, 6]
+
+
 def test_simhash(corpus):
     got = {r["doc_id"]: r for r in H.near_duplicates(corpus).collect()}
     prints = {r["doc_id"]: plain_print(r["text"]) for r in corpus.collect()}
