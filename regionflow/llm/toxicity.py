@@ -93,8 +93,7 @@ def _words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 n = total.setdefault(w, [0, 0])
                 n[0] += 1
                 n[1] += int(toxic)
-    kept = {w: n for w, n in total.items() if n[1]}
-    yield pd.DataFrame({"word": pd.Series(list(kept), dtype=object), "n": pd.Series([n[0] for n in kept.values()], dtype="int64"), "bad": pd.Series([n[1] for n in kept.values()], dtype="int64")})
+    yield pd.DataFrame({"word": pd.Series(list(total), dtype=object), "n": pd.Series([n[0] for n in total.values()], dtype="int64"), "bad": pd.Series([n[1] for n in total.values()], dtype="int64")})
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_MOST) -> Model:
@@ -104,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_MOST) -> Model:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows are broadcast
     some = docs.select("doc_id", "text").join(F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(most, WORDS_FROM))), "doc_id")
-    # a word counted in every partition it is in: those without a toxic text there say nothing against it, so shares are bounds
+    # every word of every partition is counted, so that shares don't depend on how rows are dealt out
     found = some.select("text", "toxic").mapInPandas(_words, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     found = found.where((F.col("bad") >= WORD_TEXTS) & (F.col("bad") >= WORD_SHARE * F.col("n"))).orderBy(F.desc("bad"), "word").limit(WORDS_MOST)
     lexicon = frozenset(r["word"] for r in found.collect())

@@ -50,6 +50,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_the_lexicon_does_not_depend_on_partitions(spark):
+    """Ordinary words are in many clean texts that no toxic one shares a partition with."""
+    rows = [(k, f"plain words of every day {'blarg' if k % 10 == 0 else 'calm'}", int(k % 10 == 0)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = [X.learn(df.select("doc_id", "text").repartitionByRange(n, "doc_id"), df.select("doc_id", "toxic")).lexicon for n in (1, 200)]
+    assert found == [{"blarg"}] * 2
+
+
 def test_toxicity_on_odd_rows(spark, docs, labels, nothing):
     none = labels.where("false")
     assert X.score(nothing, labels).count() == 0 and X.score(docs, none).count() == docs.count()
