@@ -90,7 +90,11 @@ def _kept(q: np.ndarray, q_norm: float, need: float, c: np.ndarray, norms: np.nd
     for f in np.argsort(-np.abs(unit))[:COORDINATES]:
         spread = math.sqrt(max(0.0, (1 - unit[f] ** 2) * (1 - local**2))) + 1e-9
         x = c[at, f] / np.maximum(norms[at], 1e-300)
-        at = at[(x >= unit[f] * local - spread) & ((x <= unit[f] * local + spread) | (np.abs(unit[f]) <= np.abs(x)) & (np.sign(x) == np.sign(unit[f])))]
+        # within the cone, x lies in this range; where the axis itself does, on the query's side it may be anything up to one
+        low, high = unit[f] * local - spread, unit[f] * local + spread
+        if abs(unit[f]) >= local - 1e-6:
+            low, high = (low, np.inf) if unit[f] > 0 else (-np.inf, high)
+        at = at[(x >= low) & (x <= high)]
     return at
 
 

@@ -88,3 +88,29 @@ def test_pruning_by_coordinates_loses_nothing():
     need = 0.97 * np.linalg.norm(q) * n[0]
     kept = K._kept(q, float(np.linalg.norm(q)), float(need), close, n)
     assert len(kept) < len(close) and set(np.flatnonzero(close @ q >= need).tolist()) <= set(kept.tolist())
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_pruning_keeps_what_is_nearer_the_axis(sign):
+    """Queries and candidates that one coordinate dominates, on either side of it."""
+    rng = np.random.default_rng(8)
+    for tilt in (0.0, 0.1, 0.3, 0.5):
+        side = rng.normal(size=(400, 5)) * rng.choice([0.0, 0.1, 0.4], (400, 1))
+        c = np.c_[np.full(400, float(sign)), side]
+        c = np.rint(1024 * c / np.linalg.norm(c, axis=1, keepdims=True)).astype(np.int64)
+        norms = np.linalg.norm(c, axis=1)
+        order = np.argsort(-norms)
+        c, norms = c[order], norms[order]
+        q = np.rint(1024 * np.array([sign, tilt, 0, 0, 0, 0]) / np.hypot(1, tilt)).astype(np.int64)
+        for local in (0.8, 0.85, 0.9, 0.95, 0.99):
+            need = local * np.linalg.norm(q) * norms[0]
+            kept = K._kept(q, float(np.linalg.norm(q)), float(need), c, norms)
+            assert set(np.flatnonzero(c @ q >= need).tolist()) <= set(kept.tolist())
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_dominated_vectors(spark, sign, monkeypatch):
+    monkeypatch.setattr(K, "PILOT_ROWS", 60)
+    rng = np.random.default_rng(9)
+    v = np.c_[np.full(300, float(sign)), rng.normal(size=(300, 4)) * rng.choice([0.0, 0.2, 0.6], (300, 1))]
+    check(spark, [(i, x.tolist()) for i, x in enumerate(v / np.linalg.norm(v, axis=1, keepdims=True))], every=10)
