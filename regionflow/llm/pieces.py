@@ -232,22 +232,58 @@ def encoder(path: str) -> Encoder:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     code = encoder(path)
-    piece = [code.lattice.library.id_to_piece(i).encode() for i in range(code.lattice.library.vocab_size())]
-    for k, b in enumerate(code.lattice.bytes):
-        piece[b] = bytes([k])
     for b in batches:
-        rows = []
-        for text, ids in zip(b.column("text"), code(x.as_py() for x in b.column("text")), strict=True):
-            t, numbers = text.as_py(), np.frombuffer(ids, "<u4")
-            joined = b"".join(map(piece.__getitem__, numbers.tolist())).decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
-            rows.append((len(numbers), zlib.crc32(ids), joined == t))
-        cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_ids", "ids_crc32", "same"])
+        found = list(code(x.as_py() for x in b.column("text")))
+        ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), ids], ["doc_id", "text", "ids"])
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids) and same (whether decoding gives the text again) of every row.
-    Null texts count as empty, which have no ids. A null doc_id stays null; repeated rows each get a row; an empty table gives an empty
-    result; further columns are ignored. Texts that hold the mark itself decode to a space there, so ``same`` is false."""
+def encode_ids(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, text and ids of every row. Null texts count as empty, which have no ids. A null doc_id stays null; repeated rows each get a
+    row; an empty table gives an empty result; further columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    return rows.mapInArrow(partial(_encode, path=path), "doc_id long, n_ids long, ids_crc32 long, same boolean")
+    return rows.mapInArrow(partial(_encode, path=path), "doc_id long, text string, ids array<int>")
+
+
+#: The bytes of each id, by worker process and model.
+_PIECES: dict[str, list[bytes]] = {}
+
+
+def piece_bytes(path: str) -> list[bytes]:
+    if path not in _PIECES:
+        import sentencepiece
+
+        p = sentencepiece.SentencePieceProcessor(model_file=path)
+        found = [p.id_to_piece(i).encode() for i in range(p.vocab_size())]
+        for k in range(256):
+            found[p.piece_to_id(f"<0x{k:02X}>")] = bytes([k])
+        _PIECES[path] = found
+    return _PIECES[path]
+
+
+def _decode(path: str):
+    def decoded(ids: pa.Array) -> pa.Array:
+        piece = piece_bytes(path).__getitem__
+        joined = (b"".join(map(piece, r.values.to_numpy().tolist())) if r.is_valid else None for r in ids)
+        return pa.array([None if x is None else x.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for x in joined], pa.string())
+
+    return decoded
+
+
+def decode(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with a column ``decoded``: the text of their ``ids``, pieces joined, byte pieces as UTF-8, marks as spaces but for the one
+    added in front. Null ids have no text."""
+    return rows.withColumn("decoded", F.arrow_udf(_decode(path), "string")(F.col("ids")))
+
+
+def _crc32(ids: pa.Array) -> pa.Array:
+    return pa.array([zlib.crc32(r.values.to_numpy().astype("<i4").tobytes()) if r.is_valid else None for r in ids], pa.int64())
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids) and same (whether decoding gives the text again) of every row: digests
+    of what ``encode_ids`` and ``decode`` give. Texts that hold the mark itself decode to a space there, so ``same`` is false."""
+    rows = decode(encode_ids(docs, path), path)
+    crc = F.arrow_udf(_crc32, "long")(F.col("ids"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), crc.alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("same"))

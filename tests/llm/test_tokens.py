@@ -138,6 +138,15 @@ def test_pieces(docs, nothing):
     assert P.encode(nothing, MODEL).count() == 0
 
 
+def test_pieces_give_ids_and_texts(spark, docs, nothing):
+    rows = P.decode(P.encode_ids(docs, MODEL), MODEL)
+    assert dict(rows.dtypes)["ids"] == "array<int>" and rows.count() == docs.count() and P.decode(P.encode_ids(nothing, MODEL), MODEL).count() == 0
+    for r in rows.collect():
+        assert r["ids"] == SP.encode(r["text"]) and r["decoded"] == r["text"]
+    some = spark.createDataFrame([(SP.encode("a text"),), ([],), (None,)], "ids array<int>")
+    assert [r["decoded"] for r in P.decode(some, MODEL).collect()] == ["a text", "", None]
+
+
 def test_other_tokenizer_files_are_refused():
     with pytest.raises(ValueError):
         C.Counter(public_tokenizers.path("word_bpe_49k.json"))
