@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, whole
@@ -135,32 +135,65 @@ def _templates(docs: DataFrame, model: Model) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows, "feature string, pick int, template int, part double")
 
 
+#: Words of the longest template: a notice that a line belongs to lies within so many words on either side of it.
+REACH = max(len(re.findall(TOKEN, t.lower())) for ts in TEMPLATES.values() for t in ts)
+#: Words before and after a line that it is read with, besides alone.
+SIDES = [(b * n, a * n) for n in (REACH, REACH // 2, REACH // 4) for b, a in ((0, 1), (1, 0), (1, 1))]
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """uid, doc_id and the paragraphs that pass the gate."""
-    gated = F.when(whole().rlike(GATE), F.filter(F.split(whole(), "\n"), lambda x: x.rlike(GATE))).otherwise(F.expr("CAST(array() AS array<string>)"))
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), gated.alias("parts"))
+    """uid, doc_id and the lines that pass the gate, each with the lines around it up to blank ones: more can't belong to one notice."""
+    lines = F.split(whole(), "\n")
+    blank = lambda x: x.rlike(r"^\s*$")
+    # of the lines up to REACH away, those that no blank one parts from the line; each has a word as a rule
+    since = lambda some: F.aggregate(some, F.lit(""), lambda t, x: F.when(blank(x), "").otherwise(F.concat_ws(" ", t, x)))
+    near = lambda i: since(F.slice("lines", F.greatest(i + 1 - REACH, F.lit(1)), F.least(i, F.lit(REACH))))
+    later = lambda i: since(F.transform(F.reverse(F.slice("lines", i + 2, REACH)), F.reverse))  # noqa: E731 - backwards, as far as letters
+    part = lambda x, i: F.when(x.rlike(GATE), F.struct(x.alias("part"), near(i).alias("before"), F.reverse(later(i)).alias("after")))
+    gated = F.filter(F.transform("lines", part), lambda x: x.isNotNull())
+    kept = F.when(whole().rlike(GATE), lines).otherwise(F.expr("CAST(array() AS array<string>)"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), kept.alias("lines"))
+    return rows.select("uid", "doc_id", gated.alias("parts"))
+
+
+def _features(words: Column) -> Column:
+    two = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+    return F.when(F.size(words) > 1, F.concat(words, two)).otherwise(words)
 
 
 def classify(rows: DataFrame, model: Model) -> DataFrame:
-    """Every gated paragraph: uid, nth, family, p and shared, the largest share that it has of a template of its family."""
-    words = F.regexp_extract_all(F.lower("part"), F.lit(TOKEN), F.lit(0))
-    parts = rows.select("uid", F.posexplode("parts").alias("nth", "part")).select("uid", "nth", words.alias("words"))
-    two = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
-    both = F.when(F.size("words") > 1, F.concat("words", two)).otherwise(F.col("words"))
-    found = parts.select("uid", "nth", F.explode(F.array_distinct(F.concat(both, F.array(F.lit(""))))).alias("feature"))
-    sums = found.join(F.broadcast(_weights(rows, model)), "feature").groupBy("uid", "nth", "pick").agg((F.sum("w") / model.heat).alias("z"))
-    top = sums.groupBy("uid", "nth").agg(F.max(F.struct("z", "pick")).alias("top"), F.sum(F.exp("z")).alias("total"))
-    named = top.select("uid", "nth", F.col("top.pick").alias("pick"), (F.exp("top.z") / F.col("total")).alias("p"))
-    share = found.join(F.broadcast(_templates(rows, model)), "feature").groupBy("uid", "nth", "pick", "template").agg(F.sum("part").alias("part"))
-    named = named.join(share.groupBy("uid", "nth", "pick").agg(F.max("part").alias("shared")), ["uid", "nth", "pick"], "left")
+    """Every gated line: uid, nth, family, p and shared, the largest share that it has of a template of its family. A line that isn't sure
+    alone is read with the words around it; there a template counts only if the line adds to what its neighbours share of it."""
+    parts = rows.select("uid", F.posexplode("parts").alias("nth", "x")).select("uid", "nth", _words(F.col("x.part")).alias("words"), _words(F.col("x.before")).alias("before"), _words(F.col("x.after")).alias("after"))
+    last = lambda n: F.slice("before", F.greatest(F.size("before") - n + 1, F.lit(1)), n)
+    units = [F.struct(F.lit(0).alias("kind"), _features(F.col("words")).alias("features"))]
+    for kind, (b, a) in enumerate(SIDES, 1):
+        units.append(F.struct(F.lit(kind).alias("kind"), _features(F.concat(last(b), "words", F.slice("after", 1, a))).alias("features")))
+        units.append(F.struct(F.lit(-kind).alias("kind"), F.concat(_features(last(b)), _features(F.slice("after", 1, a))).alias("features")))
+    parts = parts.select("uid", "nth", F.explode(F.array(*units)).alias("unit")).select("uid", "nth", "unit.*")
+    found = parts.select("uid", "nth", "kind", F.explode(F.array_distinct(F.concat("features", F.array(F.lit(""))))).alias("feature"))
+    each = ["uid", "nth", "kind"]
+    sums = found.where("kind >= 0").join(F.broadcast(_weights(rows, model)), "feature").groupBy(*each, "pick").agg((F.sum("w") / model.heat).alias("z"))
+    top = sums.groupBy(*each).agg(F.max(F.struct("z", "pick")).alias("top"), F.sum(F.exp("z")).alias("total"))
+    named = top.select(*each, F.col("top.pick").alias("pick"), (F.exp("top.z") / F.col("total")).alias("p"))
+    share = found.withColumn("side", F.abs("kind")).join(F.broadcast(_templates(rows, model)), "feature").groupBy("uid", "nth", "side", "pick", "template")
+    share = share.agg(F.sum(F.when(F.col("kind") >= 0, F.col("part")).otherwise(0.0)).alias("part"), F.sum(F.when(F.col("kind") < 0, F.col("part")).otherwise(0.0)).alias("rest"))
+    share = share.where("part > rest + 1e-9").withColumnRenamed("side", "kind")
+    named = named.join(share.groupBy(*each, "pick").agg(F.max("part").alias("shared")), [*each, "pick"], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
     none, unknown = model.classes.index("none"), model.classes.index("unknown")
-    sure = (F.col("pick") != unknown) & (F.col("p") >= model.least) & (F.coalesce("shared", F.lit(0.0)) >= CONFIRM)
+    sure = ~F.col("pick").isin(none, unknown) & (F.col("p") >= model.least) & (F.col("shared") >= CONFIRM)
     family = F.when(F.col("pick") == none, "none").when(sure, F.element_at(F.array(*map(F.lit, model.classes)), F.col("pick") + 1)).otherwise("unknown")
-    return named.select("uid", "nth", family.alias("family"), "p", F.coalesce("shared", F.lit(0.0)).alias("shared"))
+    rank = F.when(sure & (F.col("kind") == 0), 3).when(sure, 2).when(F.col("kind") == 0, 1).otherwise(0)
+    best = named.groupBy("uid", "nth").agg(F.max(F.struct(rank.alias("rank"), "shared", "p", family.alias("family"))).alias("best"))
+    return best.select("uid", "nth", "best.family", "best.p", "best.shared")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, families (comma-joined by name; ``unknown`` among them), n_licensed (paragraphs), score (the greatest probability) of
+    """doc_id, families (comma-joined by name; ``unknown`` among them), n_licensed (lines), score (the greatest probability) of
     every row. Null and empty texts have no families and score 0, as have documents without licence paragraphs. Repeated rows each get
     a row; a null doc_id stays null; an empty table gives an empty result; further columns are ignored."""
     rows = settle(paragraphs(docs))

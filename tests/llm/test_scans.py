@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import duckdb
 from regionflow.llm import licenses as Z
@@ -61,6 +62,21 @@ def test_licences(spark, docs, nothing):
     assert Z.scan_licenses(docs).count() == docs.count() and Z.scan_licenses(nothing).count() == 0
 
 
+def test_wrapped_notices(spark):
+    texts = {
+        "mit": "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    }
+    rows = [(f"{c} {width} {mark}", "Some words before.\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n\nother words", c) for c, t in texts.items() for width in (40, 72) for mark in ("", " * ")]
+    rows.append(("apart", "Released under the MIT License.\nSee the LICENSE file for the terms.", "mit,unknown"))
+    df = spark.createDataFrame([(k, t) for k, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in Z.scan_licenses(df).collect()}
+    wrong = [(name, got[k]) for k, (name, _, c) in enumerate(rows) if (set(got[k].split(",")) - {"unknown"} != {c} if name != "apart" else got[k] != c)]
+    assert not wrong, wrong
+
+
 def test_sql(spark):
     con, place = duckdb.connect(), "/root/testdata/sf0.001"
     for t in ("documents", "embeddings"):
