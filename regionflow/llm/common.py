@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +33,13 @@ FILES_PER_CORE, FILE_BYTES = 8, 64 << 20
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that the session names, so that a lost executor costs no recomputation of long
-    texts. A folder of our own is set only where the session names none. Many small partitions are written as fewer files."""
+    texts. A folder of our own is set only where the session names none and all tasks run in the driver's process. Many small partitions are written as fewer files."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="regionflow-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="regionflow-"))
     # constraints that a checkpoint takes along name columns it no longer has; a later self-join fails on them
     conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
     before = conf.get(name)
@@ -47,6 +51,26 @@ def settle(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+#: Rows that are looked up by broadcast at most, where they are short; more are joined by a shuffle.
+LOOKED_UP_MOST = 500_000
+#: Groups that each hold more than the inverse share of all rows. There are fewer of them than this, or their rows would be more than all.
+HOT_MOST = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row for each key, with its number of rows. Groups with more than a
+    ``HOT_MOST``-th of all rows are broadcast, so that no key sends more than that to one task."""
+    hot = F.col(size) * HOT_MOST > rows.count()
+    large, rest = F.broadcast(groups.where(hot)), groups.where(~hot)
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(rest, key))
+
+
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``df`` has."""
+    longest = max(map(len, df.columns), default=0)
+    return ["_" * (longest + 1 + k) for k in range(n)]
+
+
 def _files(df: DataFrame) -> list:
     """The plan's leaves that read files; what was settled before is small against them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

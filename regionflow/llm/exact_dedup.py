@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, settle, whole
+from .common import BLANK, LOOKED_UP_MOST, join_groups, settle, unused, whole
 
 #: Code points a chunk has at least (but for a text's last chunk) and at most.
 CHUNK_LEAST, CHUNK_MOST = 512, 4096
-#: A chunk ends behind one of these, or at its greatest length.
-CUT_BEHIND = r"[.!?;:|।。！？]"
+#: A chunk ends behind one of these; in a text without them behind one of the others, which are rare in many scripts; or at its greatest length.
+CUT_BEHIND, ELSE_BEHIND = r"[.!?;:|।。！？]", r"[0-9jqxzJQXZßñёэщьالظغ的了是のはを이는다]"
 
 
 def normalised(text: str = "text") -> Column:
@@ -24,7 +24,8 @@ def normalised(text: str = "text") -> Column:
 
 def chunks(text: Column, least: int = CHUNK_LEAST, most: int = CHUNK_MOST) -> Column:
     """The chunks of a text in order; joined they give the text. An empty text has none."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?:.{{{least},{most - 1}}}?{CUT_BEHIND}|.{{1,{most}}})"), F.lit(0))
+    behind = (f".{{{least},{most - 1}}}?{c}" for c in (CUT_BEHIND, ELSE_BEHIND))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?:{'|'.join(behind)}|.{{1,{most}}})"), F.lit(0))
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,21 +61,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     recipe = F.col("ids") if clash.isEmpty() else F.col("digests")
     rows = rows.select("uid", "doc_id", "n_points", "text_sha256", F.size("ids").alias("n_chunks"), recipe.alias("recipe"))
     best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id"), (-F.col("uid")).alias("minus_uid")))
-    groups = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    return rows.join(groups, "recipe").select(
+    groups = settle(rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")))
+    return join_groups(rows, groups, "recipe", "group_size").select(
         "uid", "doc_id", (-F.col("best.minus_id")).alias("keep_id"), "group_size",
         (F.col("uid") == -F.col("best.minus_uid")).alias("kept"), "text_sha256", "n_chunks",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. Rows are found again by doc_id and digest, so a doc_id that stands
-    before different texts keeps each of them; where one stands before the same text again, one row is kept."""
-    decided = settle(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
-    marked = docs.withColumn("_sha256", F.sha2(normalised(), 256)).withColumn("_points", F.length(whole()))
-    out = marked.join(decided, marked.doc_id.eqNullSafe(decided._id) & (marked._sha256 == decided._sha), "left_semi")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        best = out.groupBy("doc_id", "_sha256").agg(F.max("_points").alias("_most"))
-        out = out.join(best.select(F.col("doc_id").alias("_id"), F.col("_sha256").alias("_sha"), "_most"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")) & (F.col("_points") == F.col("_most")))
-        out = out.dropDuplicates(["doc_id", "_sha256"])
-    return out.select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns. Rows are told apart by doc_id, and where one stands before several rows by the
+    digest of the text too: each of its texts is decided on by itself, and of the same text before the same doc_id one row is kept."""
+    found = settle(exact_dedup(docs).select("doc_id", "text_sha256", "kept", "group_size"))
+    gone = settle(found.where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT kept"))
+    small = F.broadcast if gone.count() <= LOOKED_UP_MOST else (lambda df: df)
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        lost = gone.select(F.col("doc_id").alias("lost"))
+        return docs.join(small(lost), F.col("doc_id").eqNullSafe(F.col("lost")), "left_anti").select(*docs.columns)
+    sha, points, lost, lost_sha = unused(docs, 4)
+    marked = docs.withColumn(sha, F.sha2(normalised(), 256)).withColumn(points, F.length(whole()))
+    by = lambda df: small(df.select(F.col("doc_id").alias(lost), F.col("text_sha256").alias(lost_sha)))
+    same = F.col("doc_id").eqNullSafe(F.col(lost)) & (F.col(sha) == F.col(lost_sha))
+    single = marked.join(by(gone), same, "left_anti").select(*docs.columns)
+    again = marked.join(by(gone.where("kept")), same, "left_semi")
+    best = again.groupBy(F.col("doc_id").alias(lost), F.col(sha).alias(lost_sha)).agg(F.max(points).alias("most"))
+    longest = again.join(best.withColumnRenamed("most", (most := unused(docs, 5)[4])), same & (F.col(points) == F.col(most)))
+    return single.unionByName(longest.dropDuplicates(["doc_id", sha]).select(*docs.columns))
