@@ -6,12 +6,14 @@ shared positional bytes are tallied, pairs under the guaranteed minimum go, and
 bytes would meet in a 256th of all pairs at every size; sets of three meet in a 2**24th.
 
 For a similarity instead of a number of bits, texts are posted under their first shingles in an order that holds for all texts, the rarest
-first. Two texts of enough resemblance share one of them, as many first ones are posted as that takes; pairs whose places there rule it out
-go, as do those of which too many parities differ, and the rest is verified by the shingles. Texts with the same set of shingles, however often each is repeated, are one node. No pair is lost whatever the order is; that rare ones come first keeps lists short.
-
-A list of postings is linked in two steps so that a large group never emits its pairs. First every member is compared with the list's
-most frequent fingerprint, of texts with that which meets most others. Then only members that this left in different components are compared, and never two members of the
-list's largest component. No link between components is lost.
+first: two texts of enough resemblance share one of them, as many first ones are posted as that takes. Count filtering tallies for each pair
+the postings that it shares; pairs under the guaranteed minimum go, as do those whose places rule it out, and the rest is verified by all
+shingles. Texts with the same set of shingles, however often each is repeated, are one node. No pair is lost whatever the order is; that rare
+ones come first keeps lists short.
+
+A list of postings is linked in two steps so that a large group never emits its pairs. First every member is compared with the head of one
+of its lists. Then only members that this left in different components are compared, and never two members of the list's largest
+component. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, whole
+from .common import LOOKED_UP_MOST, settle, shuffle_width, unused, whole
 from .components import components
 
 #: Words of a shingle, differing bits of a link, and the seed of the shingles' XXH64.
@@ -41,17 +43,12 @@ WIDE_FROM = 1 << 24
 BLOCK = 1 << 16
 #: By similarity: words of a shingle, and the least resemblance (shared distinct shingles over all).
 SIMILAR_WORDS, RESEMBLANCE = 5, 0.8
-#: Bits of the parities that rule pairs out before their texts are read.
-PARITY_BITS = 2048
-#: Documents that tell how common shingles are, in how many of them a common one is at least, and common ones that are ordered by it at most.
+#: Shingles that are counted together, and the count from which and the number up to which common ones are ordered by their counts.
 #: They decide how long lists get, not what is found.
-SAMPLED, COMMON_FROM, COMMON_MOST = 10_000, 3, 200_000
-#: Documents to be compared that are looked up by broadcast; more are joined by a shuffle.
-LOOKED_UP_MOST = 100_000
-#: Of the first members of its lists, each document is compared with so many in the first step; the second step has no such bound.
-FIRST_COMPARED = 4
-#: A node's number: its rank in steps of a doubling's 256th above, a running number below.
-RANK_STEPS, RANK_SHIFT = 256, 50
+COUNTED, COMMON_FROM, COMMON_MOST = 1 << 22, 3, 200_000
+#: Documents that are compared with one in a task, turns of comparing members with the head of their list, and pairs for each posting
+#: that may be left for all pairs to be compared after fewer turns.
+SHARE_ROWS, STAR_TURNS, PAIRS_EACH = 256, 3, 8
 
 
 def sets_of_positions(width: int, shared: int = POSITIONS - DISTANCE) -> list[tuple[int, ...]]:
@@ -69,18 +66,25 @@ def sets_of_positions(width: int, shared: int = POSITIONS - DISTANCE) -> list[tu
     return [s for s in combinations(range(POSITIONS), width) if chosen(s)]
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """The signed 64-bit fingerprint. A bit is 1 if more than half of the shingles' hashes have it; no words give 0."""
+def _hashed(text: str, words: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, block by block."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: lower() is A-Z alone, split() is at [\x20\x09-\x0D]
     if not parts:
-        return 0
+        return
     joined, sizes = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts, w = ends - sizes, min(words, len(parts))
-    n, ones, hashed = len(parts) - w + 1, np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    n, hashed = len(parts) - w + 1, xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
         till = min(n, at + BLOCK)
-        h = np.array([hashed(joined[a:z], SEED) for a, z in zip(starts[at:till].tolist(), ends[at + w - 1 : till + w - 1].tolist(), strict=True)], np.uint64)
+        yield np.array([hashed(joined[a:z], SEED) for a, z in zip(starts[at:till].tolist(), ends[at + w - 1 : till + w - 1].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """The signed 64-bit fingerprint. A bit is 1 if more than half of the shingles' hashes have it; no words give 0."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in _hashed(text, words):
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
@@ -135,11 +139,8 @@ def link_prints(prints: DataFrame) -> DataFrame:
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """Distinct hashes of a text's shingles."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    w = min(words, len(parts))
-    hashed = (xxhash.xxh64_intdigest(b" ".join(parts[k : k + w]), SEED) for k in range(len(parts) - w + 1 if parts else 0))
-    return np.unique(np.fromiter(hashed, np.uint64)).view(np.int64)
+    """Distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_hashed(text, words)])).view(np.int64)
 
 
 def set_print(shingles: np.ndarray) -> bytes:
@@ -147,141 +148,193 @@ def set_print(shingles: np.ndarray) -> bytes:
     return hashlib.sha256(np.sort(shingles).tobytes()).digest()[:16]
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """For each bit, whether an odd number of shingles falls to it, as longs. Each shingle that only one of two texts has changes one bit, so
-    that at least as many shingles as bits differ."""
-    odd = np.bincount(shingles.view(np.uint64) % np.uint64(PARITY_BITS), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
 def prefix_size(n: int) -> int:
     """Of n shingles in an order that holds for all texts, how many first ones hold one that a text of enough resemblance has among its own."""
     return n - math.ceil(RESEMBLANCE * n - 1e-6) + 1 if n else 0
 
 
+def _counted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Shingles that several of some thousand neighbouring texts have, and how many do."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
+
+    held, size = [], 0
+    for b in batches:
+        for text in b.column("text"):
+            held.append(shingle_hashes(text.as_py(), words))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield counted(held)
+                held, size = [], 0
+    if held:
+        yield counted(held)
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most of all documents have, sorted, and how many have them, as far as neighbours share them. The driver gets
+    ``COMMON_MOST`` at most: those of a count that would be more than that aren't ordered by it."""
+    n = docs.select(whole().alias("text")).mapInArrow(partial(_counted, words=words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    n = settle(n.where(F.col("n") >= COMMON_FROM))
+    step = F.floor(8 * F.log2("n")).cast("int")
+    least, found = None, 0
+    for r in n.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # one row for each step of the counts' logarithm
+        if (found := found + r["count"]) > COMMON_MOST:
+            break
+        least = r["step"]
+    rows = n.where(step >= least).toPandas().sort_values("key") if least is not None else pd.DataFrame({"key": [], "n": []})
+    return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, common: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each text's first shingles, the rarest first; ``common`` is sorted."""
     for b in batches:
-        prints, odds, sizes, firsts = [], [], [], []
+        prints, sizes, firsts = [], [], []
         for text in (x.as_py() for x in b.column("text")):
             h = shingle_hashes(text, words)
             prints.append(set_print(h))
-            odds.append(parities(h))
             if len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 h = h[np.lexsort((h, np.where(common[at] == h, count[at], 0)))]
             sizes.append(len(h))
             firsts.append(h[: prefix_size(len(h))])
-        cols = [pa.array(prints, pa.binary()), pa.array(odds, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "print", "odd", "size", "first"])
-
-
-def _sampled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for text in b.column("text"):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py(), words))], ["key"])
+        cols = [pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), *cols], ["doc_id", "mark", "print", "size", "first"])
 
 
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of some documents have, sorted, and how many have them. The driver gets ``COMMON_MOST`` at most."""
-    some = docs.select(whole().alias("text")).where(F.rand(SEED) < SAMPLED / max(1, docs.count()))
-    n = some.mapInArrow(partial(_sampled, words=words), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    found = n.where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "key").limit(COMMON_MOST).toPandas().sort_values("key")
-    return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a mark of the text by which it is found again."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("mark"), whole().alias("text"))
 
 
 def prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, print, odd (parities), size (distinct shingles) and first: enough of them, in one order for all rows, that any two texts of enough resemblance
-    share one of their first."""
+    """doc_id, mark, print, size (distinct shingles) and first: enough of them, in one order for all rows, that any two texts of enough
+    resemblance share one of their first."""
     common, count = common_shingles(docs, words)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    return rows.mapInArrow(partial(_prefixes, words=words, common=common, count=count), "doc_id long, print binary, odd array<long>, size int, first array<long>")
+    found = partial(_prefixes, words=words, common=common, count=count)
+    return _marked(docs).mapInArrow(found, "doc_id long, mark long, print binary, size long, first array<long>")
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted: a group's first document, then those that are compared with it; of repeated rows the first counts."""
+    head, own, before = None, np.empty(0, np.int64), None
     for b in batches:
-        rows = []
-        for node, text, print_ in zip(b.column("node").to_pylist(), b.column("text"), b.column("print").to_pylist(), strict=True):
-            shingles = shingle_hashes(text.as_py(), words)
-            if set_print(shingles) == print_:  # of rows that share a doc_id, the one that was meant
-                rows.append((node, shingles))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["node", "shingles"])
-
-
-def _plain(node: str) -> Column:
-    """A node's number without its rank."""
-    return F.col(node).bitwiseAND(F.lit((1 << RANK_SHIFT) - 1))
-
-
-def resembling(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Those pairs of nodes (u, v) whose documents share enough of their distinct shingles."""
-    side = lambda n: prints.select(F.col("node").alias(f"n{n}"), F.col("odd").alias(f"o{n}"), F.col("size").alias(f"z{n}"))
-    plain = pairs.withColumn("nu", _plain("u")).withColumn("nv", _plain("v"))
-    differ = F.aggregate(F.zip_with("ou", "ov", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    alike = differ * (1 + RESEMBLANCE) <= (1 - RESEMBLANCE) * (F.col("zu") + F.col("zv")) + 1e-6
-    pairs = settle(plain.join(side("u"), "nu").join(side("v"), "nv").where(alike).select("u", "v"))
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    of_rank = ends.select("node", _plain("node").alias("plain"))
-    wanted = settle(of_rank.join(prints.select(F.col("node").alias("plain"), "least_id", "print"), "plain").drop("plain"))
+        us, vs = [], []
+        for v, share, node, text in zip(b.column("v").to_pylist(), b.column("share").to_pylist(), b.column("node").to_pylist(), b.column("text"), strict=True):
+            if (v, share, node) == before:
+                continue
+            before, h = (v, share, node), shingle_hashes(text.as_py(), words)
+            if node == v:
+                head, own = (v, share), h
+            elif head == (v, share):
+                both = len(np.intersect1d(own, h, assume_unique=True))
+                if both >= RESEMBLANCE * (len(own) + len(h) - both):
+                    us.append(node)
+                    vs.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
+def resembling(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Those pairs of nodes (u, v) whose documents share enough of their distinct shingles. Texts move, which are shorter than their
+    shingles: that of u once for each pair, that of v once for each ``SHARE_ROWS`` of its pairs."""
+    shares = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SHARE_ROWS).alias("shares"))
+    dealt = settle(pairs.join(shares, "v").select("u", "v", F.pmod(F.xxhash64("u"), "shares").alias("share")))
+    ends = dealt.select("v", "share", F.col("u").alias("node")).unionByName(dealt.select("v", "share", F.col("v").alias("node")).distinct())
+    wanted = settle(ends.join(nodes.select("node", "least_id", F.col("mark").alias("least_mark")), "node"))
     wanted = F.broadcast(wanted) if wanted.count() <= LOOKED_UP_MOST else wanted
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    texts = rows.join(wanted, rows.doc_id.eqNullSafe(F.col("least_id"))).select("node", "text", "print")
-    sets = settle(texts.mapInArrow(partial(_shingles, words=words), "node long, shingles array<long>").dropDuplicates(["node"]))
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
-    both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(both >= RESEMBLANCE * (F.size("su") + F.size("sv") - both)).select("u", "v")
-
-
-def posted(prints: DataFrame) -> DataFrame:
-    """(key, node, size, at) of the shingles that several nodes have among their first; ``at`` is the place there. Nodes are numbered anew, so
-    that a greater number meets more others."""
-    rows = prints.select("node", "size", F.posexplode("first").alias("at", "key"))
-    lists = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = settle(rows.join(lists, "key"))
-    rank = F.floor(RANK_STEPS * F.log2(1 + F.sum("members"))).cast("long")
-    ranks = met.groupBy("node").agg(rank.alias("rank"))
-    return settle(met.join(ranks, "node").select("key", F.shiftleft("rank", RANK_SHIFT).bitwiseOR(F.col("node")).alias("node"), "size", "at"))
-
-
-def _possible(size_u: str, at_u: str, size_v: str, at_v: str) -> Column:
-    """Whether texts that share the shingles at these places can be alike: others are shared on the same side of them in either text."""
-    most = F.least(at_u, at_v) + 1 + F.least(F.col(size_u) - F.col(at_u), F.col(size_v) - F.col(at_v)) - 1
-    return most * (1 + RESEMBLANCE) >= RESEMBLANCE * (F.col(size_u) + F.col(size_v)) - 1e-6
-
-
-def link_similar(prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, component) of nodes that have links; ``prints`` has node, print, least_id, odd, size and first. In two steps, as ``link_prints``."""
-    member = posted(prints)
-    heads = member.groupBy("key").agg(F.max(F.struct("node", "size", "at")).alias("h"))
-    heads = heads.select("key", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"), F.col("h.at").alias("head_at"))
-    met = settle(member.join(heads, "key"))
-    best = met.where((F.col("node") != F.col("head")) & _possible("size", "at", "head_size", "head_at")).groupBy("node")
-    best = best.agg(F.sort_array(F.collect_set("head"), False).alias("heads"))
-    close = settle(best.select(F.col("node").alias("u"), F.explode(F.slice("heads", 1, FIRST_COMPARED)).alias("v")))
-    stars = settle(resembling(close, prints, docs, words))
-    first = settle(components(stars))
-    of_head = first.select(F.col("node").alias("head"), F.col("component").alias("head_part"))
-    member = met.join(first, "node", "left").join(of_head, "head", "left")
-    member = settle(member.select("key", "node", "size", "at", F.coalesce("component", "node").alias("part"), F.coalesce("head_part", "head").alias("head_part")))
-    apart = member.where("part <> head_part")  # at least one of any two members in different components
-    small = apart.select(F.col("key").alias("k"), F.col("node").alias("u"), F.col("part").alias("part_u"), F.col("size").alias("size_u"), F.col("at").alias("at_u"))
-    other = member.join(apart.select("key").distinct(), "key", "left_semi")
-    other = other.select("key", F.col("node").alias("v"), F.col("part").alias("part_v"), F.col("size").alias("size_v"), F.col("at").alias("at_v"), (F.col("part") == F.col("head_part")).alias("with_head"))
-    once = F.col("with_head") | (F.col("u") < F.col("v"))  # others meet from either side
-    crossing = small.join(other, (F.col("k") == F.col("key")) & (F.col("part_u") != F.col("part_v")) & once & _possible("size_u", "at_u", "size_v", "at_v"))
-    crossing = crossing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    crossing = crossing.join(close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    crossing = settle(resembling(crossing, prints, docs, words))
-    return first if crossing.isEmpty() else components(stars.unionByName(crossing))
+    rows = _marked(docs)
+    texts = rows.join(wanted, rows.doc_id.eqNullSafe(F.col("least_id")) & (F.col("mark") == F.col("least_mark"))).select("v", "share", "node", "text")
+    grouped = texts.repartition(shuffle_width(docs.sparkSession), "v", "share").sortWithinPartitions("v", "share", F.col("node") != F.col("v"), "node")
+    return grouped.mapInArrow(partial(_verified, words=words), "u long, v long")
+
+
+def _size(place: str) -> Column:
+    return F.shiftrightunsigned(place, 32)
+
+
+def _least_shared(x: Column, y: Column) -> Column:
+    """Shingles that texts with x and y distinct ones share at least, if they are alike."""
+    return F.ceil(RESEMBLANCE / (1 + RESEMBLANCE) * (x + y) - 1e-6)
+
+
+def _possible(u: str, v: str) -> Column:
+    """Whether texts that share the shingle at these places can be alike: others are shared on the same side of it in either text."""
+    at = lambda p: F.col(p).bitwiseAND(F.lit((1 << 32) - 1))
+    return F.least(at(u), at(v)) + F.least(_size(u) - at(u), _size(v) - at(v)) >= _least_shared(_size(u), _size(v))
+
+
+def tallied(meetings: DataFrame) -> DataFrame:
+    """Count filtering: pairs (u, v) that meet often enough, with their number of meetings; ``meetings`` has u, v, size_u and size_v for each
+    shared posting. What two alike texts don't share among their first shingles must be among the rest of one of them."""
+    rest = lambda n: F.ceil(RESEMBLANCE * F.col(n) - 1e-6) - 1  # noqa: E731 - the size less that of the prefix
+    least = _least_shared(F.col("size_u"), F.col("size_v")) - F.greatest(rest("size_u"), rest("size_v"))
+    met = meetings.groupBy("u", "v").agg(F.count(F.lit(1)).alias("tally"), F.max("size_u").alias("size_u"), F.max("size_v").alias("size_v"))
+    return met.where(F.col("tally") >= least).select("u", "v", "tally")
+
+
+def _starred(member: DataFrame, turn: int) -> DataFrame:
+    """Of each list one head; each member that isn't in its head's component, with the head that it meets most often."""
+    mask = F.lit(int(np.random.default_rng(turn).integers(1 << 62)) if turn else 0)
+    heads = member.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).bitwiseXOR(mask).alias("head"))
+    with_head = member.join(heads, "key")
+    of_head = with_head.where("node = head").select("key", F.col("place").alias("head_place"), F.col("part").alias("head_part"))
+    met = with_head.where("node <> head").join(of_head, "key").where((F.col("part") != F.col("head_part")) & _possible("place", "head_place"))
+    met = tallied(met.select(F.col("node").alias("u"), F.col("head").alias("v"), _size("place").alias("size_u"), _size("head_place").alias("size_v")))
+    return met.groupBy("u").agg(F.max(F.struct("tally", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+
+
+def _mixed(member: DataFrame) -> tuple[DataFrame, int]:
+    """Members of lists that hold several components, with each list's largest component, and how many pairs are left there to compare."""
+    parts = member.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    lists = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    lists = settle(lists.select("key", F.col("main.part").alias("main"), ((F.col("members") - F.col("main.n")) * F.col("members")).alias("pairs")))
+    return settle(member.join(lists.select("key", "main"), "key")), lists.agg(F.sum("pairs")).first()[0] or 0
+
+
+def link_similar(reps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, component) of nodes that have links; ``reps`` has node, size and first, ``nodes`` node, least_id and mark."""
+    place = F.shiftleft(F.col("size"), 32).bitwiseOR(F.col("at").cast("long"))
+    rows = reps.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", place.alias("place"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    met = settle(rows.join(shared, "key"))
+    postings, links, part = met.count(), None, None
+    member = met.withColumn("part", F.col("node"))
+    for turn in range(STAR_TURNS):
+        found = settle(resembling(_starred(member, turn), nodes, docs, words))
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        part = settle(components(links))
+        member = met.join(part, "node", "left").select("key", "node", "place", F.coalesce("component", "node").alias("part"))
+        mixed, pairs = _mixed(member)
+        if pairs <= PAIRS_EACH * postings:
+            break
+        member = mixed.drop("main")
+    mixed, _ = _mixed(member) if part is None else (mixed, 0)
+    small = mixed.where("part <> main").select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("place").alias("place_a"))
+    once = (F.col("part") == F.col("main")) | (F.col("a") < F.col("node"))  # those outside the largest component meet from either side
+    crossing = small.join(mixed, (F.col("k") == F.col("key")) & (F.col("part_a") != F.col("part")) & once & _possible("place_a", "place"))
+    crossing = tallied(crossing.select(F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v"), _size("place_a").alias("size_u"), _size("place").alias("size_v")))
+    crossing = settle(resembling(crossing.select("u", "v"), nodes, docs, words))
+    if not crossing.isEmpty():
+        return components(crossing if links is None else links.unionByName(crossing))
+    return part if part is not None else crossing.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def similar_rows(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
     """doc_id, print (of the set of shingles) and component_id of every row, as ``similar_documents`` links them."""
-    rows = settle(prefixes(docs, words))
-    prints = rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.first("odd").alias("odd"), F.first("size").alias("size"), F.first("first").alias("first"))
-    prints = settle(prints.withColumn("node", F.monotonically_increasing_id()))
-    part = link_similar(prints, docs, words).select(_plain("node").alias("node"), _plain("component").alias("component"))
-    named = prints.join(part, "node", "left").select("print", "least_id", F.coalesce("component", "node").alias("part"))
+    rows = settle(prefixes(docs, words).withColumn("uid", F.monotonically_increasing_id()))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("least")
+    nodes = rows.groupBy("print").agg(F.min("uid").alias("node"), least).select("print", "node", F.col("least.doc_id").alias("least_id"), F.col("least.mark").alias("mark"))
+    nodes = settle(nodes)
+    reps = rows.withColumnRenamed("uid", "node")
+    copies = rows.select("print", "uid").join(nodes.select("print", "node"), "print").where("uid <> node").select(F.col("uid").alias("node"))
+    n = copies.count()
+    if n:
+        reps = reps.join(F.broadcast(copies), "node", "left_anti") if n <= LOOKED_UP_MOST else reps.join(nodes.select("node"), "node", "left_semi")
+    part = link_similar(reps.select("node", "size", "first"), nodes.select("node", "least_id", "mark"), docs, words)
+    named = nodes.join(part, "node", "left").select("print", "least_id", F.coalesce("component", "node").alias("part"))
     ids = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
     return rows.select("doc_id", "print").join(named.join(ids, "part").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
@@ -316,6 +369,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFra
     """
     found = settle(similar_rows(docs, words))
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
+    drop = F.broadcast(drop) if drop.count() <= LOOKED_UP_MOST else drop
     shared = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if shared.isEmpty():
         return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
@@ -326,7 +380,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFra
     def print_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: set_print(shingle_hashes(t, words)))
 
-    own = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    (own,) = unused(docs, 1)
     first = found.where("doc_id = component_id").select("doc_id", F.col("print").alias(own)).distinct()
     kept = docs.join(shared, "doc_id", "left_semi").withColumn(own, print_of(whole())).join(first, ["doc_id", own], "left_semi")
     return single.unionByName(kept.dropDuplicates(["doc_id"]).select(*docs.columns))
