@@ -1,9 +1,9 @@
 """SimHash near-dedup through an inverted index on byte positions.
 
 Two 64-bit fingerprints that differ in at most four bits share at least four of their eight positional bytes. Distinct fingerprints
-are posted under sets of positional bytes chosen so that any four shared positions contain a whole set; for each pair that meets, the
-shared positional bytes are tallied, pairs under the guaranteed minimum go, and the rest is verified bit by bit. Postings of single
-bytes would meet in a 256th of all pairs at every size; sets of three meet in a 2**24th.
+are posted under every set of three positional bytes: who shares four bytes meets under four sets, who shares only three under one. The
+meetings of each pair are tallied, pairs under the guaranteed four go, and the rest is verified bit by bit. Postings of single bytes would
+meet in a 256th of all pairs at every size; sets of three meet in a 2**24th. Crowded lists are posted anew under one byte more.
 
 For a similarity instead of a number of bits, texts are posted under their first shingles in an order that holds for all texts, the rarest
 first: two texts of enough resemblance share one of them, as many first ones are posted as that takes. Count filtering tallies for each pair
@@ -37,8 +37,8 @@ from .components import components
 #: Words of a shingle, differing bits of a link, and the seed of the shingles' XXH64.
 WORDS, DISTANCE, SEED = 4, 4, 42
 POSITIONS = 8
-#: Fingerprints beyond which postings hold four bytes instead of three.
-WIDE_FROM = 1 << 24
+#: Fingerprints beyond which postings hold four bytes instead of three, and members beyond which a list is posted anew with one byte more.
+WIDE_FROM, CROWDED = 1 << 24, 512
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 16
 #: By similarity: words of a shingle, and the least resemblance (shared distinct shingles over all).
@@ -51,19 +51,14 @@ COUNTED, COMMON_FROM, COMMON_MOST = 1 << 22, 3, 200_000
 SHARE_ROWS, STAR_TURNS, PAIRS_EACH = 256, 3, 8
 
 
-def sets_of_positions(width: int, shared: int = POSITIONS - DISTANCE) -> list[tuple[int, ...]]:
-    """Sets of ``width`` positions of which any ``shared`` positions contain one. For three of four, Turan's rule on three groups of
-    positions gives the 20 that are needed."""
-    if width == shared:
-        return list(combinations(range(POSITIONS), width))
-    assert (width, shared) == (3, 4)
-    group = [p % 3 for p in range(POSITIONS)]
+def sets_of_positions(width: int) -> list[tuple[int, ...]]:
+    """All sets of so many positions. Fingerprints that share m positional bytes meet under as many of them as m holds."""
+    return list(combinations(range(POSITIONS), width))
 
-    def chosen(s: tuple[int, ...]) -> bool:
-        n = [sum(group[p] == g for p in s) for g in range(3)]
-        return 3 in n or any(n[g] == 2 and n[(g + 1) % 3] == 1 for g in range(3))
 
-    return [s for s in combinations(range(POSITIONS), width) if chosen(s)]
+def least_meetings(width: int, distance: int = DISTANCE) -> int:
+    """Under how many sets of positions two fingerprints meet at least that differ in at most so many bits, each in a byte of its own."""
+    return math.comb(POSITIONS - distance, width)
 
 
 def _hashed(text: str, words: int) -> Iterator[np.ndarray]:
@@ -105,35 +100,64 @@ def _byte(x: Column, p: int) -> Column:
     return F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255))
 
 
-def _posted_under(x: Column, sets: list[tuple[int, ...]]) -> Column:
+def _key(x: str | Column, k: int, positions: tuple[int, ...]) -> Column:
     """The number of a set of positions, and the bytes there, as one long."""
-    key = lambda k, s: reduce(lambda a, p: F.shiftleft(a, 8).bitwiseOR(_byte(x, p)), s, F.lit(k).cast("long"))
-    return F.explode(F.array(*[key(k, s) for k, s in enumerate(sets)]))
+    column = F.col(x) if isinstance(x, str) else x
+    return reduce(lambda a, p: F.shiftleft(a, 8).bitwiseOR(_byte(column, p)), positions, F.lit(k).cast("long"))
+
+
+def _posted_under(x: Column, sets: list[tuple[int, ...]]) -> Column:
+    return F.explode(F.array(*[_key(x, k, s) for k, s in enumerate(sets)]))
 
 
 def _linked(a: Column, b: Column, distance: int = DISTANCE) -> Column:
-    """The tally of shared positional bytes reaches its minimum, and the bits agree."""
-    differ = a.bitwiseXOR(b)
-    tally = reduce(lambda x, y: x + y, [F.when(_byte(differ, p) == 0, 1).otherwise(0) for p in range(POSITIONS)])
-    return (tally >= POSITIONS - distance) & (F.bit_count(differ) <= distance)
-
-
-def link_prints(prints: DataFrame) -> DataFrame:
-    """(print, component) of distinct fingerprints that have links; ``prints`` has print and n, its documents."""
-    sets = sets_of_positions(3 if prints.count() <= WIDE_FROM else 4)
-    posted = prints.select("print", "n", _posted_under(F.col("print"), sets).alias("key"))
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n", "print")).alias("head")).where("size > 1").select("key", F.col("head.print").alias("head"))
-    met = settle(posted.join(lists, "key").select("key", "print", "head"))
-    stars = met.where((F.col("print") != F.col("head")) & _linked(F.col("print"), F.col("head"))).select(F.col("print").alias("u"), F.col("head").alias("v")).distinct()
+    return F.bit_count(a.bitwiseXOR(b)) <= distance
+
+
+def _mixed(member: DataFrame) -> DataFrame:
+    """Members of lists that hold several components, with the list's members and its largest component; settled."""
+    parts = member.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    lists = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return settle(member.join(lists.select("key", F.col("main.part").alias("main"), F.col("main.n").alias("in_main"), "members"), "key"))
+
+
+def _apart(mixed: DataFrame, *more: str) -> DataFrame:
+    """Once for each list, all pairs of its members in different components; one side's columns are named with _a."""
+    small = mixed.where("part <> main").select(*[F.col(c).alias(f"{c}_a") for c in ("key", "node", "part", *more)])
+    once = (F.col("part") == F.col("main")) | (F.col("node_a") < F.col("node"))  # those outside the largest component meet from either side
+    return small.join(mixed, (F.col("key_a") == F.col("key")) & (F.col("part_a") != F.col("part")) & once)
+
+
+def counted(meetings: DataFrame, least: int) -> DataFrame:
+    """Count filtering: the pairs (u, v) that meet often enough; ``meetings`` has a row for each list that two fingerprints share."""
+    return meetings.groupBy("u", "v").agg(F.count(F.lit(1)).alias("tally")).where(F.col("tally") >= least).select("u", "v")
+
+
+def _finer(crowded: DataFrame, width: int) -> DataFrame:
+    """Members of crowded lists, posted anew under their list and one more byte: who shares enough bytes shares one of the others too."""
+    others = [F.array(*[F.lit(p) for p in range(POSITIONS) if p not in s]) for s in sets_of_positions(width)]
+    own = F.element_at(F.array(*others), F.shiftrightunsigned("key", 8 * width).cast("int") + 1)
+    byte = lambda p: F.expr("shiftrightunsigned(node, 8 * p)").bitwiseAND(F.lit(255))
+    placed = crowded.select("node", "part", "key", F.explode(own).alias("p"))
+    return placed.select("node", "part", F.xxhash64("key", "p", byte("p")).alias("key"))
+
+
+def link_prints(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(node, component) of distinct fingerprints that have links; ``prints`` has print."""
+    width = 3 if prints.count() <= WIDE_FROM else 4
+    posted = prints.select(F.col("print").alias("node"), _posted_under(F.col("print"), sets_of_positions(width)).alias("key"))
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1").select("key", "head")
+    met = settle(posted.join(lists, "key"))
+    stars = met.where((F.col("node") != F.col("head")) & _linked(F.col("node"), F.col("head"))).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     stars = settle(stars)
     first = settle(components(stars))
-    member = met.join(first.withColumnRenamed("node", "print"), "print", "left").select("key", "print", F.coalesce("component", "print").alias("part"))
-    parts = member.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.part").alias("main"))
-    member = settle(member.join(mixed, "key"))
-    small = member.where("part <> main").select("key", F.col("print").alias("u"), F.col("part").alias("part_u"))
-    other = member.select("key", F.col("print").alias("v"), F.col("part").alias("part_v"))
-    crossing = small.join(other, (small.key == other.key) & (F.col("part_u") != F.col("part_v")) & _linked(F.col("u"), F.col("v"))).select("u", "v").distinct()
+    mixed = _mixed(met.drop("head").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
+    pair = (F.greatest("node_a", "node").alias("u"), F.least("node_a", "node").alias("v"))
+    few = counted(_apart(mixed.where(F.col("members") <= crowded)).select(*pair), least_meetings(width))
+    many = mixed.where(F.col("members") > crowded)
+    if width < POSITIONS - DISTANCE and not many.isEmpty():  # with one byte more they share enough, without being counted
+        many = _mixed(_finer(many, width))
+    crossing = few.unionByName(_apart(many).select(*pair).distinct()).where(_linked(F.col("u"), F.col("v"))).distinct()
     crossing = settle(crossing)
     return first if crossing.isEmpty() else components(stars.unionByName(crossing))
 
@@ -284,14 +308,6 @@ def _starred(member: DataFrame, turn: int) -> DataFrame:
     return met.groupBy("u").agg(F.max(F.struct("tally", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
 
 
-def _mixed(member: DataFrame) -> tuple[DataFrame, int]:
-    """Members of lists that hold several components, with each list's largest component, and how many pairs are left there to compare."""
-    parts = member.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    lists = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    lists = settle(lists.select("key", F.col("main.part").alias("main"), ((F.col("members") - F.col("main.n")) * F.col("members")).alias("pairs")))
-    return settle(member.join(lists.select("key", "main"), "key")), lists.agg(F.sum("pairs")).first()[0] or 0
-
-
 def link_similar(reps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(node, component) of nodes that have links; ``reps`` has node, size and first, ``nodes`` node, least_id and mark."""
     place = F.shiftleft(F.col("size"), 32).bitwiseOR(F.col("at").cast("long"))
@@ -307,15 +323,16 @@ def link_similar(reps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
         links = found if links is None else links.unionByName(found)
         part = settle(components(links))
         member = met.join(part, "node", "left").select("key", "node", "place", F.coalesce("component", "node").alias("part"))
-        mixed, pairs = _mixed(member)
-        if pairs <= PAIRS_EACH * postings:
+        mixed = _mixed(member)
+        lists = mixed.groupBy("key", "members", "in_main").agg(F.lit(1))
+        left = lists.agg(F.sum((F.col("members") - F.col("in_main")) * F.col("members"))).first()[0] or 0
+        if left <= PAIRS_EACH * postings:
             break
-        member = mixed.drop("main")
-    mixed, _ = _mixed(member) if part is None else (mixed, 0)
-    small = mixed.where("part <> main").select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("place").alias("place_a"))
-    once = (F.col("part") == F.col("main")) | (F.col("a") < F.col("node"))  # those outside the largest component meet from either side
-    crossing = small.join(mixed, (F.col("k") == F.col("key")) & (F.col("part_a") != F.col("part")) & once & _possible("place_a", "place"))
-    crossing = tallied(crossing.select(F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v"), _size("place_a").alias("size_u"), _size("place").alias("size_v")))
+        member = mixed.drop("main", "in_main", "members")
+    mixed = _mixed(member) if part is None else mixed
+    crossing = _apart(mixed, "place").where(_possible("place_a", "place"))
+    pair = (F.greatest("node_a", "node").alias("u"), F.least("node_a", "node").alias("v"))
+    crossing = tallied(crossing.select(*pair, _size("place_a").alias("size_u"), _size("place").alias("size_v")))
     crossing = settle(resembling(crossing.select("u", "v"), nodes, docs, words))
     if not crossing.isEmpty():
         return components(crossing if links is None else links.unionByName(crossing))
@@ -353,8 +370,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     an empty table gives an empty result; further columns are ignored.
     """
     rows = settle(fingerprints(docs, words))
-    prints = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
-    part = link_prints(prints.select("print", "n")).withColumnRenamed("node", "print")
+    prints = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")))
+    part = link_prints(prints.select("print")).withColumnRenamed("node", "print")
     named = prints.join(part, "print", "left").select("print", "least_id", F.coalesce("component", "print").alias("part"))
     ids = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
     named = named.select("print", "part").join(ids, "part").select("print", "component_id")

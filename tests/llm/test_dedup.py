@@ -213,23 +213,30 @@ def test_links_in_crowded_lists(spark):
                 p ^= 1 << rng.choice([0, 1, 2, 3, 17, 18, 40, 63])
     prints |= {rng.getrandbits(64) for _ in range(200)} | {0, 15, 31}
     signed = sorted(int(np.uint64(p).astype(np.int64)) for p in prints)
-    df = spark.createDataFrame([(p, 1) for p in signed], "print long, n long")
-    part = {r["node"]: r["component"] for r in H.link_prints(df).collect()}
-    got = {}
-    for p in signed:
-        got.setdefault(part.get(p, p), set()).add(p)
+    df = spark.createDataFrame([(p,) for p in signed], "print long")
     want = {}
     for p, c in plain_components({s: s & (2**64 - 1) for s in signed}).items():
         want.setdefault(c, set()).add(p)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
-
-
-def test_every_four_positions_hold_a_set():
-    from itertools import combinations
-
-    for width, n in ((3, 20), (4, 70)):
-        sets = H.sets_of_positions(width)
-        assert len(sets) == n and all(any(set(s) <= set(four) for s in sets) for four in combinations(range(8), 4))
+    for crowded in (H.CROWDED, 4):
+        part = {r["node"]: r["component"] for r in H.link_prints(df, crowded).collect()}
+        got = {}
+        for p in signed:
+            got.setdefault(part.get(p, p), set()).add(p)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_count_filter_goes_by_meetings(spark):
+    """Of pairs that meet, those alone are verified that share four bytes: the others meet once."""
+    rng = random.Random(6)
+    a = rng.getrandbits(64)
+    other = lambda n: a ^ sum(rng.randrange(1, 256) << 8 * p for p in rng.sample(range(8), n))  # noqa: E731 - other in n bytes
+    signed = lambda p: int(np.uint64(p).astype(np.int64))
+    sharing = {signed(other(n)): 8 - n for n in (5, 5, 5, 4, 4, 3, 1)}
+    rows = spark.createDataFrame([(signed(a), p) for p in sharing], "a long, b long")
+    met = rows.select("a", "b", H.F.explode(H.F.arrays_zip(*[H.F.array(*[H._key("a", k, s) == H._key("b", k, s) for k, s in enumerate(H.sets_of_positions(3))]).alias("same")])).alias("m")).where("m.same")
+    met = met.select(H.F.col("a").alias("u"), H.F.col("b").alias("v"))
+    assert {r["v"] for r in met.distinct().collect()} == set(sharing)
+    assert {r["v"] for r in H.counted(met, H.least_meetings(3)).collect()} == {p for p, n in sharing.items() if n >= 4}
 
 
 def test_components(spark):
