@@ -29,7 +29,7 @@ def test_as_the_libraries(text):
     got = next(P.encoder(MODEL)([text]))
     assert np.frombuffer(got, "<u4").tolist() == SP.encode(text)
     if "▁" not in text:
-        assert P.encoder(MODEL).decode(got) == text
+        assert P.text_of(np.frombuffer(got, "<u4").tolist(), P.piece_bytes(MODEL)) == text
 
 
 def test_long_texts():
@@ -38,18 +38,61 @@ def test_long_texts():
         assert np.frombuffer(next(K.encoder(JSON)([text])), "<u4").tolist() == ids(text)
 
 
-def test_giant_stretches_in_chunks():
-    lattice, rng = P.encoder(MODEL).lattice, random.Random(2)
+def used_matrices(monkeypatch):
+    steps = []
+    whole = P.settle_path
+    monkeypatch.setattr(P, "settle_path", lambda s: steps.extend(s) or whole(s))
+    return steps
+
+
+def test_giant_documents_in_chunks(corpus, monkeypatch):
+    """Ordinary texts of 100,000 characters go through transfer matrices, wherever the cuts fall."""
+    steps = used_matrices(monkeypatch)
+    text = " ".join(r["text"] for r in corpus.where("text is not null").limit(60).collect())[:100_000]
+    assert len(text) == 100_000
+    for chunk in (P.CHUNK, 997, 61):
+        steps.clear()
+        assert np.frombuffer(next(P.encoder(MODEL)([text], chunk)), "<u4").tolist() == SP.encode(text)
+        assert len(steps) in (len(text) // chunk, len(text) // chunk + 1) and max(len(s) for s in steps) > 3  # cuts inside words have several states
+
+
+def test_stretches_without_a_word_in_chunks():
+    rng = random.Random(2)
     for n, chunk in ((200, 17), (2_000, 64), (2_000, 301)):
-        text = P.MARK + "".join(rng.choice(["the", "ing", "a", "b", "er", "ou", "é", "中", "x"]) for _ in range(n))
-        assert [text[a:b] for a, b in lattice.scan(text, chunk)] == lattice.merged(text)
+        text = "".join(rng.choice(["the", "ing", "a", "b", "er", "ou", "é", "中", "x"]) for _ in range(n))
+        assert np.frombuffer(next(P.encoder(MODEL)([text], chunk)), "<u4").tolist() == SP.encode(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(ODD, st.integers(17, 40))
+def test_any_chunk_gives_the_same(text, chunk):
+    assert np.frombuffer(next(P.encoder(MODEL)([text], chunk)), "<u4").tolist() == SP.encode(text)
 
 
 def test_neighbours_are_what_merges_leave_alone():
     lattice, rng = P.encoder(MODEL).lattice, random.Random(3)
-    some = rng.sample(sorted(lattice.stable), 300)
+    some = rng.sample(sorted(s for s in lattice.numbers if len(s) > 1), 300)
     for a, b in zip(some, some[1:], strict=False):
-        assert lattice.neighbours(a, b) == (lattice.merged(a + b) == [a, b])
+        assert lattice.neighbours(lattice.numbers[a], lattice.numbers[b]) == (lattice.merged(a + b) == [a, b])
+
+
+def test_other_models_are_refused(tmp_path):
+    data = open(MODEL, "rb").read()
+    assert P.checked(MODEL) == MODEL
+    for trainer, normalizer in ((b"\x18\x01", b""), (b"", b"\x12\x03abc"), (b"", b"\x18\x00"), (b"", b"\x20\x01")):  # unigram, a charsmap, no mark in front, spaces removed
+        (tmp_path / "m").write_bytes(data)
+        model = P.fields(data)
+        out = b"".join(b"\x12" + varint(len(x)) + x for x in [model[2][0] + trainer]) + b"".join(b"\x1a" + varint(len(x)) + x for x in [model[3][0] + normalizer])
+        (tmp_path / "m").write_bytes(b"".join(b"\x0a" + varint(len(x)) + x for x in model[1]) + out)
+        with pytest.raises(ValueError):
+            P.checked(str(tmp_path / "m"))
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
 
 
 def test_counts(docs, nothing):
