@@ -57,12 +57,19 @@ LOOKED_UP_MOST = 500_000
 HOT_MOST = 10_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """``rows`` with the columns of their group; ``groups`` has one row for each key, with its number of rows. Groups with more than a
-    ``HOT_MOST``-th of all rows are broadcast, so that no key sends more than that to one task."""
-    hot = F.col(size) * HOT_MOST > rows.count()
-    large, rest = F.broadcast(groups.where(hot)), groups.where(~hot)
-    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(rest, key))
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row for each key, and may have the number of its rows. Groups with
+    more than a ``HOT_MOST``-th of all rows are broadcast, so that no key sends more than that to one task. ``rows`` are read more than once."""
+    n = rows.count()
+    if size is None:
+        sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        hot = F.broadcast(sizes.where(F.col("n") * HOT_MOST > n).select(key))
+        large = F.broadcast(groups.join(hot, key, "left_semi"))
+    else:
+        large = F.broadcast(groups.where(F.col(size) * HOT_MOST > n))
+        hot = F.broadcast(large.select(key))
+    of_large = rows.join(hot, key, "left_semi").join(large, key, how)
+    return of_large.unionByName(rows.join(hot, key, "left_anti").join(groups, key, how))
 
 
 def unused(df: DataFrame, n: int) -> list[str]:

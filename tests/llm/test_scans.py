@@ -35,11 +35,33 @@ def test_ledger_scans_only_what_is_new(spark):
     new = spark.createDataFrame([("c.py", 1, "token=abcdefghijklmnop"), ("a.py", 2, "clean"), ("a.py", 3, "passwd = 'zzzzzzzzzzzz'")], old.schema)
     added = S.extend_ledger(new, ledger)
     assert added.count() == 1  # one blob of three was never seen
-    assert S.extend_ledger(new, ledger, rule_version="next").count() == 3  # new rules see all again
+    changed = (*S.RULES[:2], S.Rule("hex", r"[0-9a-f]{20,}", 0, 20))
+    assert S.extend_ledger(new, ledger, changed).count() == 3  # changed rules see all again, whatever they are called
     found = S.findings(new, ledger.unionByName(added), ["path", "version"])
     assert {(r["path"], r["version"]): len(r["spans"]) for r in found.collect()} == {("c.py", 1): 1, ("a.py", 2): 0, ("a.py", 3): 1}
 
 
+def test_a_second_scan_reads_nothing_again(spark, docs, tmp_path, monkeypatch):
+    """The ledger is kept as a table; what it has isn't scanned again, and findings are those of one scan."""
+    path, scanned = str(tmp_path / "ledger"), []
+    whole = S.scan_blobs
+    monkeypatch.setattr(S, "scan_blobs", lambda blobs, rules: scanned.append(blobs.count()) or whole(blobs, rules))
+    first = S.update_ledger(docs.where("doc_id < 9"), path)
+    kept = first.count()
+    both = S.update_ledger(docs, path)
+    again = S.update_ledger(docs, path)
+    blobs = docs.select(S.blob_id().alias("b")).distinct().count()
+    assert scanned == [kept, blobs - kept, 0] and both.count() == again.count() == blobs and kept < blobs
+    spans = lambda df: sorted((str(r["doc_id"]), str(r["spans"])) for r in df.collect())
+    assert spans(S.findings(docs, again, ["doc_id"])) == spans(S.scan_documents(docs)) == spans(S.scan_documents(docs, first))
+
+
+def test_one_blob_before_most_rows(spark):
+    rows = [(k, "token=abcdefghijklmnop" if k % 3 else f"clean {k}") for k in range(900)]
+    got = S.scan_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: len(r["spans"]) for r in got} == {k: int(k % 3 > 0) for k, _ in rows}
+
+
 def test_redaction(docs, nothing):
     out = S.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and S.redact(nothing).count() == 0
