@@ -6,9 +6,9 @@ meetings of each pair are tallied, pairs under the guaranteed four go, and the r
 meet in a 256th of all pairs at every size; sets of three meet in a 2**24th. Crowded lists are posted anew under one byte more.
 
 For a similarity instead of a number of bits, texts are posted under their first shingles in an order that holds for all texts, the rarest
-first: two texts of enough resemblance share one of them, as many first ones are posted as that takes. Count filtering tallies for each pair
-the postings that it shares; pairs under the guaranteed minimum go, as do those whose places rule it out, and the rest is verified by all
-shingles. Texts with the same set of shingles, however often each is repeated, are one node. No pair is lost whatever the order is; that rare
+first: two texts of enough resemblance share three of them, as many first ones are posted as that takes. Count filtering tallies for each pair
+the postings that it shares at places where alike texts of their sizes do; pairs under the guaranteed three go, and the rest is verified by
+all shingles. Texts with the same set of shingles, however often each is repeated, are one node. No pair is lost whatever the order is; that rare
 ones come first keeps lists short.
 
 A list of postings is linked in two steps so that a large group never emits its pairs. First every member is compared with the head of one
@@ -43,12 +43,16 @@ WIDE_FROM, CROWDED = 1 << 24, 512
 BLOCK = 1 << 16
 #: By similarity: words of a shingle, and the least resemblance (shared distinct shingles over all).
 SIMILAR_WORDS, RESEMBLANCE = 5, 0.8
+#: Bits of a node's number, and the thousandths of its shingles by which texts count as equally central.
+NODE_BITS, LIKE_CENTRAL = 53, 16
+#: Shingles that two alike texts share among their first at least, if they share as many.
+MEETINGS = 3
 #: Shingles that are counted together, and the count from which and the number up to which common ones are ordered by their counts.
 #: They decide how long lists get, not what is found.
 COUNTED, COMMON_FROM, COMMON_MOST = 1 << 22, 3, 200_000
 #: Documents that are compared with one in a task, turns of comparing members with the head of their list, and pairs for each posting
 #: that may be left for all pairs to be compared after fewer turns.
-SHARE_ROWS, STAR_TURNS, PAIRS_EACH = 256, 3, 8
+SHARE_ROWS, STAR_TURNS, PAIRS_EACH = 256, 3, 1
 
 
 def sets_of_positions(width: int) -> list[tuple[int, ...]]:
@@ -118,7 +122,7 @@ def _mixed(member: DataFrame) -> DataFrame:
     """Members of lists that hold several components, with the list's members and its largest component; settled."""
     parts = member.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     lists = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return settle(member.join(lists.select("key", F.col("main.part").alias("main"), F.col("main.n").alias("in_main"), "members"), "key"))
+    return settle(member.join(lists.select("key", F.col("main.part").alias("main"), "members"), "key"))
 
 
 def _apart(mixed: DataFrame, *more: str) -> DataFrame:
@@ -173,8 +177,9 @@ def set_print(shingles: np.ndarray) -> bytes:
 
 
 def prefix_size(n: int) -> int:
-    """Of n shingles in an order that holds for all texts, how many first ones hold one that a text of enough resemblance has among its own."""
-    return n - math.ceil(RESEMBLANCE * n - 1e-6) + 1 if n else 0
+    """Of n shingles in an order that holds for all texts, how many first ones hold ``MEETINGS`` that a text of enough resemblance has among
+    its own first; all, if that is more than there are."""
+    return min(n, n - math.ceil(RESEMBLANCE * n - 1e-6) + MEETINGS)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -283,24 +288,28 @@ def _least_shared(x: Column, y: Column) -> Column:
 
 
 def _possible(u: str, v: str) -> Column:
-    """Whether texts that share the shingle at these places can be alike: others are shared on the same side of it in either text."""
+    """Whether two texts that share the shingle at these places can be alike by it: of as many shingles as alike texts of these sizes share,
+    the first ``MEETINGS`` lie in so much of either text's beginning."""
     at = lambda p: F.col(p).bitwiseAND(F.lit((1 << 32) - 1))
-    return F.least(at(u), at(v)) + F.least(_size(u) - at(u), _size(v) - at(v)) >= _least_shared(_size(u), _size(v))
+    least = _least_shared(_size(u), _size(v))
+    return (at(u) < _size(u) - least + MEETINGS) & (at(v) < _size(v) - least + MEETINGS)
 
 
 def tallied(meetings: DataFrame) -> DataFrame:
-    """Count filtering: pairs (u, v) that meet often enough, with their number of meetings; ``meetings`` has u, v, size_u and size_v for each
-    shared posting. What two alike texts don't share among their first shingles must be among the rest of one of them."""
-    rest = lambda n: F.ceil(RESEMBLANCE * F.col(n) - 1e-6) - 1  # noqa: E731 - the size less that of the prefix
-    least = _least_shared(F.col("size_u"), F.col("size_v")) - F.greatest(rest("size_u"), rest("size_v"))
+    """Count filtering: pairs (u, v) that meet as often as alike texts of their sizes do at least; ``meetings`` has u, v, size_u and size_v for
+    each shared posting by which they can be alike."""
+    least = F.least(F.lit(MEETINGS), _least_shared(F.col("size_u"), F.col("size_v")))
     met = meetings.groupBy("u", "v").agg(F.count(F.lit(1)).alias("tally"), F.max("size_u").alias("size_u"), F.max("size_v").alias("size_v"))
     return met.where(F.col("tally") >= least).select("u", "v", "tally")
 
 
 def _starred(member: DataFrame, turn: int) -> DataFrame:
-    """Of each list one head; each member that isn't in its head's component, with the head that it meets most often."""
-    mask = F.lit(int(np.random.default_rng(turn).integers(1 << 62)) if turn else 0)
-    heads = member.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).bitwiseXOR(mask).alias("head"))
+    """Of each list one head, a text with few rare shingles, which is like most others; each member that isn't in its head's component, with
+    the head that it meets most often. Heads of later turns are others of those."""
+    share = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) * ((1 << 10) - 1) / _size("place")
+    mask = F.lit(int(np.random.default_rng(turn).integers(1 << NODE_BITS)) if turn else 0)
+    packed = F.shiftleft(F.floor(share / (1 if turn == 0 else LIKE_CENTRAL)), NODE_BITS).bitwiseOR(F.col("node").bitwiseXOR(mask))
+    heads = member.groupBy("key").agg(F.min(packed).bitwiseAND(F.lit((1 << NODE_BITS) - 1)).bitwiseXOR(mask).alias("head"))
     with_head = member.join(heads, "key")
     of_head = with_head.where("node = head").select("key", F.col("place").alias("head_place"), F.col("part").alias("head_part"))
     met = with_head.where("node <> head").join(of_head, "key").where((F.col("part") != F.col("head_part")) & _possible("place", "head_place"))
@@ -324,11 +333,10 @@ def link_similar(reps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
         part = settle(components(links))
         member = met.join(part, "node", "left").select("key", "node", "place", F.coalesce("component", "node").alias("part"))
         mixed = _mixed(member)
-        lists = mixed.groupBy("key", "members", "in_main").agg(F.lit(1))
-        left = lists.agg(F.sum((F.col("members") - F.col("in_main")) * F.col("members"))).first()[0] or 0
-        if left <= PAIRS_EACH * postings:
+        early = mixed.where(_possible("place", "place")).groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("part") != F.col("main")).cast("long")).alias("small"))
+        if (early.agg(F.sum(F.col("all") * F.col("small"))).first()[0] or 0) <= PAIRS_EACH * postings:
             break
-        member = mixed.drop("main", "in_main", "members")
+        member = mixed.drop("main", "members")
     mixed = _mixed(member) if part is None else mixed
     crossing = _apart(mixed, "place").where(_possible("place_a", "place"))
     pair = (F.greatest("node_a", "node").alias("u"), F.least("node_a", "node").alias("v"))
