@@ -22,21 +22,44 @@ def test_language_on_odd_rows(docs, nothing):
     assert out.columns == docs.columns and {1, 7, 10} <= {r["doc_id"] for r in out.collect()} and not {4, 5, 6, 15} & {r["doc_id"] for r in out.collect()}
 
 
-def test_products_are_those_of_bundles(corpus):
-    """The sum of a text's trigram products is the product of its bundled vector."""
-    model, letters = L.learn(corpus), L.letter_vectors()
-    k, n = L.counted("the quick brown fox and the dog", model.table)
-    seen = model.products[k].any(1)
-    bundle = n[seen] @ L.ngram_vectors(k[seen], letters).astype(float)
-    norm = np.linalg.norm(bundle)
-    assert norm == pytest.approx(np.sqrt(float(n[seen] @ n[seen]) * L.DIMENSIONS), rel=0.1)
+def plain_cosine(text, prototype):
+    """Letter by letter, by the definitions."""
+    low, n = "".join(c if c.isalpha() else " " for c in (text or "").lower()), L.DIMENSIONS
+    low = " " + " ".join(low.split()) + " "
+    of = lambda c: L.letter_vectors(np.array([ord(c) if c != " " else 0]))[0].tolist()
+    letters, bundle = {c: of(c) for c in set(low)}, [0] * n
+    for a, b, c in zip(low, low[1:], low[2:], strict=False):
+        if b != " ":
+            x, y, z = letters[a], letters[b], letters[c]
+            bundle = [s + x[(i - 2) % n] * y[(i - 1) % n] * z[i] for i, s in enumerate(bundle)]
+    return float(np.dot(bundle, prototype) / np.linalg.norm(bundle))
+
+
+def test_scores_are_cosines_of_bundles(spark, corpus):
+    model = L.learn(corpus)
+    texts = [(k, t) for k, t in enumerate(["the quick brown fox and the dog", "Der Hund, und die Katze!", "12 中文字 и кот", "é", *(r["text"][:400] for r in corpus.where("text is not null").limit(4).collect())])]
+    got = {r["doc_id"]: r for r in L.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for k, t in texts:
+        cosines = [plain_cosine(t, p) for p in model.prototypes]
+        assert got[k]["score"] == pytest.approx(min(1, max(0, max(cosines))), abs=1e-6) and got[k]["lang_pred"] == model.languages[int(np.argmax(cosines))]
+
+
+def test_letters_of_any_script_count(spark):
+    """Languages of other scripts than most of the learned texts."""
+    pools = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзиклмнопрст", "el": "αβγδεζηθικλμνοπρστ", "zh": "".join(map(chr, range(0x4E00, 0x4E14))), "ja": "".join(map(chr, range(0x3042, 0x3060, 2))), "ko": "".join(map(chr, range(0xAC00, 0xAC14)))}
+    rng = np.random.default_rng(1)
+    text = lambda pool: "".join(rng.choice(list(pool + " "), 300))
+    rows = [(k, lang, text(pools[lang])) for k, lang in enumerate(["en"] * 300 + [x for x in pools if x != "en"] * 20)]
+    got = L.predict(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()
+    want = {k: lang for k, lang, _ in rows}
+    assert np.mean([r["lang_pred"] == want[r["doc_id"]] for r in got]) > 0.99
 
 
 def test_windows_count_alike(monkeypatch):
-    table, text = L.letter_table("abcdehilmnorst"), "The cat. And 12 hats, then more! " * 50
-    whole = L.counted(text, table)
+    text = "The cat. And 12 hats, then more! " * 50
+    whole = L.counted(text)
     monkeypatch.setattr(L, "WINDOW", 37)
-    parts = L.counted(text, table)
+    parts = L.counted(text)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
@@ -54,8 +77,8 @@ def test_the_lexicon_does_not_depend_on_partitions(spark):
     """Ordinary words are in many clean texts that no toxic one shares a partition with."""
     rows = [(k, f"plain words of every day {'blarg' if k % 10 == 0 else 'calm'}", int(k % 10 == 0)) for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    found = [X.learn(df.select("doc_id", "text").repartitionByRange(n, "doc_id"), df.select("doc_id", "toxic")).lexicon for n in (1, 200)]
-    assert found == [{"blarg"}] * 2
+    found = [X.learn(df.select("doc_id", "text").repartitionByRange(n, "doc_id"), df.select("doc_id", "toxic")).lexicon for n in (1, 8, 200)]
+    assert found == [{"blarg"}] * 3
 
 
 def test_toxicity_on_odd_rows(spark, docs, labels, nothing):
@@ -73,6 +96,55 @@ def test_features_see_what_they_name():
     assert X.features("SHOUT")[7] == 1 and X.features("word " * 300_000)[13] > 12
 
 
+def plain_features(text, lexicon):
+    """By the definitions, over the whole text at once."""
+    import math
+    import re
+
+    low, n = text.lower(), 0
+    words = re.findall(r"[^\W\d_]+(?:[0134579@$!|*]+[^\W\d_]+)*", low)
+    n, raw = max(1, len(words)), text.encode()
+    hit = [w in X.INSULTS or w in lexicon for w in words]
+    you = [w in X.YOU for w in words]
+    near = sum(h and any(you[max(0, k - X.NEAR) : k + X.NEAR + 1]) for k, h in enumerate(hit))
+    upper, lower = sum(65 <= b < 91 for b in raw), sum(97 <= b < 123 or b >= 192 for b in raw)
+    odd = [w for w in set(words) if X.DISGUISED.search(w)]
+    clear = lambda w: X.DISGUISED.sub("", w.translate(X.LEET))
+    hidden = sum(words.count(w) for w in odd if clear(w) in X.INSULTS or clear(w) in lexicon)
+    marks = sum(35 <= b < 48 or 91 <= b < 97 or 58 <= b < 65 for b in raw)
+    insults, learned = sum(w in X.INSULTS for w in words), sum(w in lexicon for w in words)
+    kinds = len({w for w, h in zip(words, hit, strict=True) if h})
+    rates = [insults / n, learned / n, *(math.log1p(v) for v in (insults, learned, kinds, near)), sum(you) / n, upper / max(1, upper + lower)]
+    return [*rates, text.count("!") / n, text.count("?") / n, marks / n, len(odd) / n, math.log1p(hidden), math.log1p(len(words))]
+
+
+def test_scores_against_a_plain_scorer(spark, corpus, labels):
+    """Features, trees and calibration step by step, as the definitions have them."""
+    model = X.learn(corpus, labels)
+    rows = [(k, t) for k, t in enumerate(["you are an idiot! a m0ron", "", "Sind SIE da?", *(r["text"] for r in corpus.where("text is not null").limit(40).collect())])]
+    got = {r["doc_id"]: r["score"] for r in X.score(spark.createDataFrame(rows, "doc_id long, text string"), labels.where("false")).collect()}
+    assert set(got) == {k for k, _ in rows}
+    for _, text in rows:
+        x = plain_features(text, model.lexicon)
+        margin = model.trees.start
+        for tree in model.trees.trees:
+            node = 0
+            while node < len(tree.feature):
+                node = 2 * node + 1 + int(x[tree.feature[node]] > tree.cut[node])
+            margin += tree.value[node - len(tree.feature)]
+        at, value = model.scale.at, model.scale.value
+        want = float(np.interp(margin, at, value))
+        assert X.features(text, model.lexicon).tolist() == pytest.approx(x) and model.score([text])[0] == pytest.approx(min(1, max(0, want)))
+
+
+def test_windows_part_no_word_and_keep_distances(monkeypatch):
+    text = "you are so very much a moron and we know it m0ron idiot! " * 40
+    whole = X.features(text)
+    for width in (1, 7, 50, 333):
+        monkeypatch.setattr(X, "WINDOW", width)
+        assert "".join(X.windows(text)) == text and X.features(text).tolist() == whole.tolist()
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))

@@ -16,7 +16,8 @@ def brute(spark):
     docs = spark.read.parquet(f"{PLACE}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     model = L.learn(docs)
-    rows = {k: t for k, t in rows.items() if (p := model.predict(t))[0] != "und" and p[1] >= L.REJECT_BELOW}
+    found = dict(zip(rows, model.predict(rows.values()), strict=True))
+    rows = {k: t for k, t in rows.items() if found[k][0] != "und" and found[k][1] >= L.REJECT_BELOW}
     best = {}
     for k, t in rows.items():
         best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), k))
