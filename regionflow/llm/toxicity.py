@@ -19,9 +19,9 @@ from .common import held_out, whole
 
 #: Labelled rows learned from at most, taken by the smallest hash of doc_id; and how many of them give words to the lexicon.
 LEARN_MOST, WORDS_FROM = 16_000, 4_000
-#: A learned word is in so many toxic texts at least, has at least this share of toxic ones among its texts; words kept at most.
-WORD_TEXTS, WORD_SHARE, WORDS_MOST = 8, 0.6, 500
-#: Words between an insult and a second person that still count as near; characters handled at a time.
+#: A learned word is in so many toxic texts at least, and has at least this share of toxic ones among its texts. So many texts bound the words.
+WORD_TEXTS, WORD_SHARE = 8, 0.6
+#: Words between an insult and a second person that still count as near; characters handled at a time, up to the next white space.
 NEAR, WINDOW = 6, 1 << 20
 THRESHOLD = 0.3
 #: Fixed words.
@@ -34,38 +34,60 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu
 #: Characters that stand for letters in disguised words.
 LEET = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"[^\W\d_]+(?:[0134579@$!|*]+[^\W\d_]+)*")
+BLANK = re.compile(r"\s")
 DISGUISED = re.compile(r"[0134579@$!|*]")
 FEATURES = 14
 
 
-def _window(text: str, lexicon: frozenset[str], sums: np.ndarray) -> None:
-    """Adds a stretch of text to the raw sums."""
-    words = WORD.findall(text.lower())
-    present = set(words)
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    by = np.bincount(raw, minlength=256)
-    sums[:6] += (len(words), by[65:91].sum(), by[97:123].sum() + by[192:].sum(), by[33], by[63], by[35:48].sum() + by[91:97].sum() + by[58:65].sum())
-    insults = [k for k, w in enumerate(words) if w in INSULTS] if not present.isdisjoint(INSULTS) else []
-    learned = [k for k, w in enumerate(words) if w in lexicon] if not present.isdisjoint(lexicon) else []
-    you = [k for k, w in enumerate(words) if w in YOU] if not present.isdisjoint(YOU) else []
-    hits = np.union1d(insults, learned)
-    near = np.searchsorted(you, hits + NEAR, "right") > np.searchsorted(you, hits - NEAR, "left") if len(you) and len(hits) else np.zeros(1)
-    odd = [w for w in present if DISGUISED.search(w)]
-    plain = {w: DISGUISED.sub("", w.translate(LEET)) for w in odd}
-    hidden = sum(words.count(w) for w, p in plain.items() if p in INSULTS or p in lexicon)
-    sums[6:] += (len(insults), len(learned), len(you), near.sum(), len(odd), hidden, len({words[int(k)] for k in hits}))
+def windows(text: str) -> Iterator[str]:
+    """A text in stretches; only white space is cut at, so that no word is parted."""
+    at = 0
+    while len(text) - at > WINDOW and (m := BLANK.search(text, at + WINDOW)):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
+
+
+class Seen:
+    """What the windows of a text hold: sums, and the places of hits and of second persons, counted in words from the text's start."""
+
+    def __init__(self, lexicon: frozenset[str]):
+        self.lexicon, self.sums, self.words, self.places = lexicon, np.zeros(5), 0, ([], [], [])
+        self.kinds: set[str] = set()
+        self.odd: dict[str, int] = {}  # disguised words, and how often each is there
+
+    def add(self, text: str) -> None:
+        words = WORD.findall(text.lower())
+        present = set(words)
+        by = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+        self.sums += (by[65:91].sum(), by[97:123].sum() + by[192:].sum(), by[33], by[63], by[35:48].sum() + by[91:97].sum() + by[58:65].sum())
+        for listed, places in zip((INSULTS, self.lexicon, YOU), self.places, strict=True):
+            if not present.isdisjoint(listed):
+                places += [self.words + k for k, w in enumerate(words) if w in listed]
+        self.kinds |= present & (INSULTS | self.lexicon)
+        for w in present:
+            if DISGUISED.search(w):
+                self.odd[w] = self.odd.get(w, 0) + words.count(w)
+        self.words += len(words)
+
+    def features(self) -> np.ndarray:
+        upper, lower, bang, ask, marks = self.sums
+        insults, learned, you = (np.array(p, np.int64) for p in self.places)
+        hits = np.union1d(insults, learned)
+        near = (np.searchsorted(you, hits + NEAR, "right") > np.searchsorted(you, hits - NEAR, "left")).sum()
+        plain = {w: DISGUISED.sub("", w.translate(LEET)) for w in self.odd}
+        hidden = sum(self.odd[w] for w, p in plain.items() if p in INSULTS or p in self.lexicon)
+        n, letters = max(self.words, 1), max(upper + lower, 1.0)
+        logs = np.log1p([len(insults), len(learned), len(self.kinds), near])
+        return np.array([len(insults) / n, len(learned) / n, *logs, len(you) / n, upper / letters, bang / n, ask / n, marks / n, len(self.odd) / n, np.log1p(hidden), np.log1p(self.words)])
 
 
 def features(text: str | None, lexicon: frozenset[str] = frozenset()) -> np.ndarray:
     """Dense features of a whole text: rates by word or letter, and logarithms of counts. Null and empty texts give zeros."""
-    sums = np.zeros(13)
-    for at in range(0, len(text or ""), WINDOW):
-        _window(text[at : at + WINDOW], lexicon, sums)
-    words, upper, lower, bang, ask, marks, insults, learned, you, near, odd, hidden, kinds = sums
-    n, letters = max(words, 1.0), max(upper + lower, 1.0)
-    return np.array(
-        [insults / n, learned / n, np.log1p(insults), np.log1p(learned), np.log1p(kinds), np.log1p(near), you / n, upper / letters, bang / n, ask / n, marks / n, odd / n, np.log1p(hidden), np.log1p(words)]
-    )
+    seen = Seen(lexicon)
+    for part in windows(text or ""):
+        seen.add(part)
+    return seen.features()
 
 
 @dataclass
@@ -101,13 +123,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_MOST) -> Model:
     Trees learn from three quarters of them and are calibrated on the rest. With one class only, or none, the score is its share."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows are broadcast
-    some = docs.select("doc_id", "text").join(F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(most, WORDS_FROM))), "doc_id")
+    # at most ``most`` rows are broadcast; of rows that share a doc_id one text is learned from
+    of = lambda ids: docs.select("doc_id", whole().alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows, some = of(chosen), of(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(most, WORDS_FROM)))
     # every word of every partition is counted, so that shares don't depend on how rows are dealt out
     found = some.select("text", "toxic").mapInPandas(_words, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    found = found.where((F.col("bad") >= WORD_TEXTS) & (F.col("bad") >= WORD_SHARE * F.col("n"))).orderBy(F.desc("bad"), "word").limit(WORDS_MOST)
+    found = found.where((F.col("bad") >= WORD_TEXTS) & (F.col("bad") >= WORD_SHARE * F.col("n")))
     lexicon = frozenset(r["word"] for r in found.collect())
-    data = rows.select("doc_id", "toxic", "text").mapInPandas(partial(_features, lexicon=lexicon), "doc_id long, toxic int, x array<double>").orderBy("doc_id").limit(2 * most).toPandas()
+    data = rows.select("doc_id", "toxic", "text").mapInPandas(partial(_features, lexicon=lexicon), "doc_id long, toxic int, x array<double>").orderBy("doc_id").toPandas()
     if not len(data):
         return Model(lexicon, Boosted(), Isotonic())
     x, y = np.array(data["x"].tolist()), data["toxic"].to_numpy(float)
