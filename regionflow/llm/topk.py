@@ -30,16 +30,16 @@ LOOKED_UP_MOST = 100_000
 STEP, COORDINATES_FROM, COORDINATES = 1.05, 0.8, 4
 #: Products of doubles are exact below this.
 EXACT = 2.0**53
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_uid long, query_id long, vec_id long, uid long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v, dim and norm of the vectors that take part: not null, not empty, all components finite."""
+    """uid, vec_id, v, dim and norm of the vectors that take part: not null, not empty, all components finite."""
     x = F.col("embedding").cast("array<double>")
     fit = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False)))
     rows = fit.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(scale * e).cast("long")).alias("v"))
     squares = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
-    return rows.select("vec_id", "v", F.size("v").alias("dim"), F.sqrt(squares).alias("norm"))
+    return rows.select(F.monotonically_increasing_id().alias("uid"), "vec_id", "v", F.size("v").alias("dim"), F.sqrt(squares).alias("norm"))
 
 
 def matrix(v: pd.Series) -> np.ndarray:
@@ -72,7 +72,7 @@ def _pilot(parts: Iterator[pd.DataFrame], ids: np.ndarray, sample: np.ndarray, k
             same = (q["dim"] == sample.shape[1]).to_numpy()
             if same.any() and len(ids) > k:
                 s = products(matrix(q.loc[same, "v"]), sample)
-                s[q.loc[same, "vec_id"].to_numpy()[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+                s[q.loc[same, "uid"].to_numpy()[:, None] == ids[None, :]] = np.iinfo(np.int64).min
                 bound[same] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
             yield q.assign(bound=bound)
 
@@ -100,22 +100,23 @@ def _kept(q: np.ndarray, q_norm: float, need: float, c: np.ndarray, norms: np.nd
 
 def _block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best of a block for each query that came to it."""
-    out = [(np.empty(0, np.int64),) * 3]
+    out = [(np.empty(0, np.int64),) * 5]
     if len(queries) and len(block):
-        block = block.sort_values(["norm", "vec_id"], ascending=[False, True])
-        c, ids, norms = matrix(block["v"]), block["vec_id"].to_numpy(), block["norm"].to_numpy()
+        block = block.sort_values(["norm", "vec_id", "uid"], ascending=[False, True, True])
+        c, ids, uids, norms = matrix(block["v"]), block["vec_id"].to_numpy(), block["uid"].to_numpy(), block["norm"].to_numpy()
         for at in range(0, len(queries), QUERIES_AT_ONCE):
             part = queries.iloc[at : at + QUERIES_AT_ONCE]
             q, local = matrix(part["v"]), part["bound"].to_numpy() / np.maximum(part["norm"].to_numpy() * norms[0], 1e-300)
             whole = products(q, c) if (local < COORDINATES_FROM).any() else None
-            for i, (vec_id, norm, bound) in enumerate(zip(part["vec_id"], part["norm"], part["bound"], strict=True)):
+            for i, (uid, vec_id, norm, bound) in enumerate(zip(part["uid"], part["vec_id"], part["norm"], part["bound"], strict=True)):
                 places = np.arange(len(c)) if local[i] < COORDINATES_FROM else _kept(q[i], norm, float(bound), c, norms)
                 scores = whole[i] if local[i] < COORDINATES_FROM else products(q[i : i + 1], c[places])[0]
-                keep = (scores >= bound) & (ids[places] != vec_id)
+                keep = (scores >= bound) & (uids[places] != uid)
                 places, scores = places[keep], scores[keep]
                 top = best(scores, ids[places], k)
-                out.append((np.full(len(top), vec_id, np.int64), ids[places][top], scores[top]))
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                own = np.full((2, len(top)), [[uid], [vec_id]], np.int64)
+                out.append((*own, ids[places][top], uids[places][top], scores[top]))
+    return pd.DataFrame(dict(zip((c.split(" ")[0] for c in RESULT.split(", ")), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
@@ -123,10 +124,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     with all other rows, ties to the smaller vec_id; all of them if there are fewer.
 
     Vectors that are null or empty, or hold null or non-finite components, take no part, nor do rows without vec_id. Vectors of
-    different dimension are not compared. Of rows with one vec_id and the same vector one takes part; an empty table gives an empty
-    result; further columns are ignored.
+    different dimension are not compared. Repeated rows are rows: each is a candidate of the others, and each query row has its own ranks.
+    An empty table gives an empty result; further columns are ignored.
     """
-    rows = settle(quantised(vectors, scale).dropDuplicates(["vec_id", "v"]))
+    rows = settle(quantised(vectors, scale))
     bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(STEP))).otherwise(-1)
     rows = rows.withColumn("bucket", bucket)
     stats = rows.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest"))
@@ -134,21 +135,20 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     queries = rows.where(F.col("vec_id") % every == 0)
     shares = settle(queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARE_ROWS).cast("int").alias("shares")))
     small = F.broadcast if stats.count() <= LOOKED_UP_MOST else (lambda df: df)  # there are no more shares than buckets
-    # by vector too: one vec_id may stand before many vectors
-    turn = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+    turn = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")  # noqa: E731 - not by vec_id, which may stand before many rows
     dealt = rows.join(small(stats.select("dim", "bucket", "blocks")), ["dim", "bucket"]).withColumn("block", turn("blocks"))
     dealt = dealt.join(small(shares), "dim").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    pilot = rows.orderBy(F.desc("norm"), F.xxhash64("vec_id"), "vec_id").limit(PILOT_ROWS).toPandas()  # PILOT_ROWS at most
-    pilot = pilot[pilot["dim"] == pilot["dim"].mode().iloc[0]].drop_duplicates("vec_id") if len(pilot) else pilot
+    pilot = rows.orderBy(F.desc("norm"), F.xxhash64("vec_id"), "vec_id", "uid").limit(PILOT_ROWS).toPandas()  # PILOT_ROWS at most
+    pilot = pilot[pilot["dim"] == pilot["dim"].mode().iloc[0]] if len(pilot) else pilot
     sample = matrix(pilot["v"]) if len(pilot) else np.empty((0, 0), np.int64)
-    kinds = "vec_id long, v array<long>, dim int, norm double, share int"
+    kinds = "uid long, vec_id long, v array<long>, dim int, norm double, share int"
     asked = queries.join(small(shares), "dim").withColumn("share", turn("shares")).select(*[c.split(" ")[0] for c in kinds.split(", ")])
-    bounded = asked.mapInPandas(partial(_pilot, ids=pilot["vec_id"].to_numpy(), sample=sample, k=k), kinds + ", bound long")
+    bounded = asked.mapInPandas(partial(_pilot, ids=pilot["uid"].to_numpy(), sample=sample, k=k), kinds + ", bound long")
     possible = (F.col("bound") <= 0) | (F.col("norm") * F.col("longest") * (1 + 1e-9) >= F.col("bound"))
     sent = bounded.join(small(stats.select("dim", "bucket", "longest", "blocks")), "dim").where(possible)
     sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = ["dim", "bucket", "block", "share"]
-    near = sent.select(*place, "vec_id", "v", "norm", "bound").groupBy(*place).cogroup(dealt.select(*place, "vec_id", "v", "norm").groupBy(*place))
+    near = sent.select(*place, "uid", "vec_id", "v", "norm", "bound").groupBy(*place).cogroup(dealt.select(*place, "uid", "vec_id", "v", "norm").groupBy(*place))
     return ranked(near.applyInPandas(partial(_cogrouped, k=k), RESULT), k)
 
 
@@ -160,5 +160,5 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     """Ranks from 1 within each query's k best; a query has k rows from each block at most."""
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
