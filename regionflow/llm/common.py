@@ -12,19 +12,24 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 
 
-#: Rows that Spark's Parquet reader decodes at a time: whole texts are long, and a batch is held in memory twice over.
-READER_ROWS = 256
+#: Rows that Spark's Parquet reader decodes at a time, and rows and bytes that are handed to Python at a time: whole texts are long, and a
+#: batch is held in memory more than once.
+READER_ROWS, ARROW_ROWS, ARROW_BYTES = 256, 1000, 16 << 20
 
 
-def decode_few(spark: SparkSession) -> None:
-    """Has what this session plans from now on decode ``READER_ROWS`` rows at a time."""
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs`` in a session of their own, which is as the caller's except that it handles few rows at a time. The caller's stays as it is."""
+    spark = docs.sparkSession
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for name, value in (("parquet.columnarReaderBatchSize", READER_ROWS), ("execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        own.conf.set(f"spark.sql.{name}", value)
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, docs._jdf.queryExecution().analyzed())
+    return DataFrame(rows, own)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the corpus, by a path that any of Spark's readers can open."""
-    decode_few(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 #: A settled table has at most so many files for each core, unless they would grow beyond so many bytes of input.

@@ -15,7 +15,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from .pretokens import groups
 
 MARK = "▁"
 #: Characters of a chunk; words, of so many characters at most, and pairs of pieces that are kept between batches.
-CHUNK, WORD_MOST, KNOWN_MOST, PAIRS_MOST = 16_384, 64, 800_000, 2_000_000
+CHUNK, WORD_MOST, KNOWN_MOST, PAIRS_MOST = 16_384, 64, 400_000, 500_000
 #: A piece's place in the text, start and end; None is the place before a mark, which no piece spans.
 State = tuple[int, int] | None
 
@@ -318,8 +318,8 @@ class Encoder:
 
     def __call__(self, texts: Iterable[str], chunk: int = CHUNK) -> Iterator[bytes]:
         for group in groups(texts):
-            if len(self.known) > KNOWN_MOST:
-                self.known.clear()
+            if len(self.known) > KNOWN_MOST:  # frequent words come early
+                self.known = dict(islice(self.known.items(), KNOWN_MOST // 2))
             for t in group:
                 marked = MARK + t.replace(" ", MARK) if t else ""
                 yield self.words(marked) if len(marked) <= chunk else scan(self.lattice, marked, self.words, chunk)
