@@ -158,7 +158,7 @@ def corroborated(vehicles: DataFrame, plates: DataFrame) -> DataFrame:
 def associate(dets: DataFrame, tracks: DataFrame, p: Params) -> DataFrame:
     """The track each detection continues: of its class and frame, the best overlap that reaches ``iou_match``, the later track among
     equals; without one, the nearest centre within a gate that grows with size and speed, the earlier among equals. Tracks have
-    track_ord and speed. Each detection by itself; the tracker's order of events is in ``tracker``."""
+    track_ord and speed; a det_id tells detections of one frame and class apart. Each detection by itself; the tracker's order of events is in ``tracker``."""
     d, t = dets.alias("d"), tracks.alias("t")
     a, b = Box.of("d."), Box.of("t.")
     diag = lambda x: F.sqrt(x.w.cast("double") * x.w + x.h.cast("double") * x.h)
@@ -166,7 +166,7 @@ def associate(dets: DataFrame, tracks: DataFrame, p: Params) -> DataFrame:
     near = (distance(a, b) <= gate) if p.track_assoc_motion_gain > 0 or p.track_assoc_min_gate_px > 0 else F.lit(False)
     pairs = d.join(t, [*FRAME, "cls"]).select(*FRAME, "cls", "det_id", "track_ord", iou(a, b).alias("iou"), distance(a, b).alias("dist"), near.alias("near"))
     hit = F.col("iou") >= F.lit(float(p.iou_match))
-    order = W.partitionBy("det_id").orderBy(F.when(hit, 0).otherwise(1), F.when(hit, -F.col("iou")), F.when(hit, -F.col("track_ord")), "dist", "track_ord")
+    order = W.partitionBy(*FRAME, "cls", "det_id").orderBy(F.when(hit, 0).otherwise(1), F.when(hit, -F.col("iou")), F.when(hit, -F.col("track_ord")), "dist", "track_ord")
     best = pairs.where(hit | F.col("near")).withColumn("nth", F.row_number().over(order)).where("nth = 1")
     return best.select(*FRAME, "cls", "det_id", "track_ord", F.when(F.col("iou") >= F.lit(float(p.iou_match)), "iou").otherwise("gate").alias("stage"))
 
