@@ -13,12 +13,19 @@ FRAME = ("clip_id", "frame_idx")
 
 def painted(boxes: DataFrame, groups: tuple[str, ...] = FRAME) -> DataFrame:
     """Pixels that rectangles cover, each counted once. A rectangle holds its far corner: x..x+w and y..y+h. Rectangles are (x1, y1,
-    x2, y2) with far corners excluded here; every row of pixels is swept from left to right."""
-    rows = boxes.where("x2 > x1 AND y2 > y1").withColumn("yy", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)))
-    sweep = W.partitionBy(*groups, "yy").orderBy("x1", "x2").rowsBetween(W.unboundedPreceding, -1)
+    x2, y2) with far corners excluded here. Between any two neighbouring edges in y a group's rectangles are the same: each such strip is
+    swept from left to right, however many rows of pixels it has."""
+    group = W.partitionBy(*groups)
+    edges = F.array_sort(F.array_union(F.collect_set("y1").over(group), F.collect_set("y2").over(group)))
+    own = boxes.where("x2 > x1 AND y2 > y1").withColumn("edges", edges)
+    # of a frame's edges those inside the rectangle, each with the next
+    inside = F.filter("edges", lambda y: (y >= F.col("y1")) & (y <= F.col("y2")))
+    rows = own.select(*groups, "x1", "x2", inside.alias("ys")).select(*groups, "x1", "x2", "ys", F.explode(F.sequence(F.lit(1), F.size("ys") - 1)).alias("k"))
+    rows = rows.select(*groups, "x1", "x2", F.element_at("ys", F.col("k")).alias("y"), (F.element_at("ys", F.col("k") + 1) - F.element_at("ys", F.col("k"))).alias("high"))
+    sweep = W.partitionBy(*groups, "y").orderBy("x1", "x2").rowsBetween(W.unboundedPreceding, -1)
     reached = F.max("x2").over(sweep)
     new = F.greatest(F.lit(0), F.col("x2") - F.greatest(F.col("x1"), F.coalesce(reached, F.col("x1"))))
-    return rows.withColumn("new", new).groupBy(*groups).agg(F.sum("new").cast("long").alias("pixels"))
+    return rows.withColumn("new", new.cast("long") * F.col("high")).groupBy(*groups).agg(F.sum("new").cast("long").alias("pixels"))
 
 
 def rectangles(boxes: DataFrame, width: int, height: int) -> DataFrame:

@@ -6,6 +6,7 @@ in each worker.
 
 from __future__ import annotations
 
+import importlib.util
 import logging
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
@@ -14,12 +15,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..params import PERSON_CLASSES, VEHICLE_CLASSES, Params, step
 from ..schema import CLASSES
 from .pixels import gray, letterboxed, to_image
-from .tracker import TRACK_ROWS, ClipTracker, next_run, overlap, track_rows
+from .tracker import TRACK_ROWS, ClipTracker, by_clip, in_order, next_run, overlap, shrunk, smaller, to_small, track_rows, with_detections
 
 log = logging.getLogger(__name__)
 BoxT = tuple[int, int, int, int]
@@ -55,6 +57,12 @@ def providers(available: Iterable[str]) -> list[str]:
     return [p for p in ("CUDAExecutionProvider",) if p in set(available)] + ["CPUExecutionProvider"]
 
 
+def threads_for(wanted: int) -> int:
+    """Threads of a session: as many as asked for; else all cores, but in a Spark task the cores that the task has."""
+    task = TaskContext.get()
+    return wanted or (task.cpus() if task else 0)
+
+
 @lru_cache(maxsize=8)
 def _session(path: str, threads: int):
     import onnxruntime as ort
@@ -119,9 +127,10 @@ class OnnxDetector:
 
     def detect(self, image: np.ndarray, conf: float) -> list[BoxT]:
         square, scale, px, py = letterboxed(image, self.size)
-        tensor = square[:, :, ::-1].astype(np.float32).transpose(2, 0, 1)[None] / 255
+        colour = square[:, :, ::-1] if square.ndim == 3 else np.repeat(square[:, :, None], 3, 2)  # models want three channels
+        tensor = colour.astype(np.float32).transpose(2, 0, 1)[None] / 255
         try:
-            session = _session(self.path, self.threads)
+            session = _session(self.path, threads_for(self.threads))
             raw = session.run(None, {session.get_inputs()[0].name: tensor})[0]
         except Exception as e:
             log.warning("inference failed: %s", e)
@@ -130,22 +139,61 @@ class OnnxDetector:
         return decode(raw, conf, scale, px, py, w, h, iou=self.iou, min_aspect=self.min_aspect, max_aspect=self.max_aspect, classes=self.classes)
 
 
-def build(paths: Mapping[str, str | None], p: Params) -> dict[str, Detector]:
-    """Detectors for the kinds whose models were found. Without a face model nothing may run; others are left out with a warning."""
-    if not paths.get("face"):
-        raise RuntimeError("no face model: refusing to run without one")
-    common = {"size": p.plate_infer_size, "iou": p.plate_iou, "threads": p.plate_threads}
-    out: dict[str, Detector] = {"face": OnnxDetector(paths["face"], **common)}
-    wanted = {"plate": True, "vehicle": p.track_cabin_frac > 0, "person": p.track_person}
-    special = {"plate": {"min_aspect": p.plate_min_aspect, "max_aspect": p.plate_max_aspect}, "vehicle": {"classes": VEHICLE_CLASSES}, "person": {"classes": PERSON_CLASSES}}
-    for kind, on in wanted.items():
-        if on and paths.get(kind):
-            out[kind] = OnnxDetector(paths[kind], **common, **special[kind])
-        elif on:
+@dataclass(frozen=True)
+class PackagedFaceDetector:
+    """Faces by the network that the public ``deface`` package brings along, at a fixed input size. Weaker than a face model outdoors."""
+
+    shape: tuple[int, int] = (640, 360)
+
+    def detect(self, image: np.ndarray, conf: float) -> list[BoxT]:
+        colour = image if image.ndim == 3 else np.repeat(image[:, :, None], 3, 2)
+        found, _ = _packaged(self.shape)(colour, threshold=conf)
+        h, w = image.shape[:2]
+        corners = ((max(0, round(float(x1))), max(0, round(float(y1))), min(w, round(float(x2))), min(h, round(float(y2)))) for x1, y1, x2, y2, _ in found)
+        return [(x1, y1, x2 - x1, y2 - y1) for x1, y1, x2, y2 in corners if x2 > x1 and y2 > y1]
+
+
+@lru_cache(maxsize=2)
+def _packaged(shape: tuple[int, int]):
+    from deface.centerface import CenterFace
+
+    return CenterFace(in_shape=shape)
+
+
+#: What a kind's detector has besides its model: when it is wanted, and its own options.
+KINDS: dict[str, tuple[Callable[[Params], bool], Callable[[Params], dict]]] = {
+    "face": (lambda p: True, lambda p: {}),
+    "plate": (lambda p: True, lambda p: {"min_aspect": p.plate_min_aspect, "max_aspect": p.plate_max_aspect}),
+    "vehicle": (lambda p: p.track_cabin_frac > 0, lambda p: {"classes": VEHICLE_CLASSES}),
+    "person": (lambda p: p.track_person, lambda p: {"classes": PERSON_CLASSES}),
+}
+
+
+def build(paths: Mapping[str, str | None], p: Params, kinds: Iterable[str] = tuple(KINDS)) -> dict[str, Detector]:
+    """Detectors for the kinds whose models were found; others are left out with a warning. Without a face model the packaged detector
+    takes its place, and where there is none either nothing may run: a detector that finds no face is no detector."""
+    out: dict[str, Detector] = {}
+    for kind in kinds:
+        wanted, options = KINDS[kind]
+        if not wanted(p):
+            continue
+        if path := paths.get(kind):
+            out[kind] = OnnxDetector(path, size=p.plate_infer_size, iou=p.plate_iou, threads=p.plate_threads, **options(p))
+        elif kind != "face":
             log.warning("no %s model: %ss are not detected", kind, kind)
+        elif importlib.util.find_spec("deface"):
+            log.warning("no face model: falling back to a weaker detector")
+            out[kind] = PackagedFaceDetector(p.face_infer_shape)
+        else:
+            raise RuntimeError("no face model, nor the deface package to fall back on: refusing to run without a face detector")
     return out
 
 
+def build_for_images(paths: Mapping[str, str | None], **changes) -> dict[str, Detector]:
+    """Face and plate detectors for stills, to be built once and used for many; ``changes`` are parameters."""
+    return build(paths, Params.of(**changes), ("face", "plate"))
+
+
 def grid(width: int, height: int, tile_px: int, share: float) -> list[tuple[int, int, int, int]]:
     """Tiles of one frame, as ``boxes.tiles`` has them."""
     nx, ny = max(1, round(width / tile_px)), max(1, round(height / tile_px))
@@ -241,43 +289,44 @@ class Cadence:
         self.run = next_run(self.run, fast, self.p.plate_boost_speed_px, self.p.plate_boost_max_run, any(c in ("plate", "vehicle") for c, _ in dets))
 
 
-def run_clip(frames: Iterable[tuple[int, np.ndarray]], fps: float, p: Params, find: Callable[[int, np.ndarray, str], list[BoxT]]) -> ClipTracker | None:
-    """Detects and tracks a clip in order. ``find`` gives the boxes of a class in a frame, from a model or from a table."""
-    tracker, cadence = None, Cadence(p, fps)
-    for idx, image in frames:
-        h, w = image.shape[:2]
-        tracker = tracker or ClipTracker(w, h, p, cadence.face)
-        dets = [(k, b) for k in cadence.kinds(idx) for b in find(idx, image, k)]
-        tracker.step(idx, gray(image), dets)
-        cadence.after(tracker, dets)
-    return tracker
-
-
-def _clip(rows: pd.DataFrame, detectors: dict[str, Detector] | None, p: Params, fps: float) -> pd.DataFrame:
-    rows = rows.sort_values("frame_idx")
-    if not len(rows):
-        return track_rows("", [])
-    first = rows.iloc[0]
-    tiles = grid(int(first["width"]), int(first["height"]), p.tile_px, p.tile_overlap)
-    known = {} if detectors is not None else {int(r.frame_idx): r.dets for r in rows.itertuples()}
-
-    def find(idx: int, image: np.ndarray, kind: str) -> list[BoxT]:
-        if detectors is not None:
-            return detect_kind(kind, image, detectors.get(kind), p, tiles)
-        listed = known[idx] if known[idx] is not None else []
-        return [(d["x"], d["y"], d["w"], d["h"]) for d in sorted(listed, key=lambda d: d["det_ord"]) if d["cls"] == kind]
+class ClipRun:
+    """Detects and tracks a clip, frame by frame in order."""
 
-    images = ((int(r.frame_idx), to_image(r.pixels, r.width, r.height, r.channels)) for r in rows.itertuples())
-    tracker = run_clip(images, fps, p, find)
-    return track_rows(first["clip_id"], tracker.all_tracks() if tracker else [])
+    def __init__(self, fps: float, p: Params):
+        self.p, self.cadence = p, Cadence(p, fps)
+        self.tracker: ClipTracker | None = None
+
+    def frame(self, idx: int, width: int, height: int, small: np.ndarray, find: Callable[[str], list[BoxT]]) -> None:
+        """``find`` gives the boxes of a class, from a model or from a table; it is asked for what the cadence looks at."""
+        self.tracker = self.tracker or ClipTracker(width, height, self.p, self.cadence.face)
+        dets = [(kind, b) for kind in self.cadence.kinds(idx) for b in find(kind)]
+        self.tracker.advance(idx, small, dets)
+        self.cadence.after(self.tracker, dets)
+
+
+def _run(parts: Iterator[pd.DataFrame], detectors: dict[str, Detector] | None, p: Params, fps: float) -> Iterator[pd.DataFrame]:
+    """Whole frames with detectors, or small images with listed detections."""
+    clip, run, tiles = None, None, []
+    for r, new in by_clip(parts):
+        if new:
+            if run:
+                yield track_rows(clip, run.tracker.all_tracks())
+            clip, run, tiles = r.clip_id, ClipRun(fps, p), grid(r.width, r.height, p.tile_px, p.tile_overlap)
+        if detectors is not None:
+            image = to_image(r.pixels, r.width, r.height, r.channels)
+            small, find = smaller(gray(image), p.track_downscale), lambda kind, image=image: detect_kind(kind, image, detectors.get(kind), p, tiles)
+        else:
+            listed = sorted(r.dets if r.dets is not None else [], key=lambda d: d["det_ord"])
+            small, find = to_small(r.small, r.width, r.height, p), lambda kind, listed=listed: [(d["x"], d["y"], d["w"], d["h"]) for d in listed if d["cls"] == kind]
+        run.frame(int(r.frame_idx), r.width, r.height, small, find)
+    if run:
+        yield track_rows(clip, run.tracker.all_tracks())
 
 
 def detect_and_track(frames: DataFrame, detectors: dict[str, Detector], p: Params, fps: float, eager: bool = False) -> DataFrame:
-    """Track rows of every clip. Lazy: models run inside the clip's task, only on frames that the cadence asks for. Eager: models run on
-    all frames, spread over the cluster, and the tracker leaves out what the cadence wouldn't have seen. Both give the same."""
+    """Track rows of every clip. Lazy: whole frames come to the clip's task, a batch at a time, and models run there on frames that the
+    cadence asks for. Eager: models run on all frames where they are read, spread over the cluster; small images and detections travel, and
+    the tracker leaves out what the cadence wouldn't have seen. Both give the same."""
     if not eager:
-        return frames.groupBy("clip_id").applyInPandas(partial(_clip, detectors=detectors, p=p, fps=fps), TRACK_ROWS)
-    from pyspark.sql import functions as F
-
-    lists = detect(frames, detectors, p).groupBy("clip_id", "frame_idx").agg(F.collect_list(F.struct("cls", "det_ord", "x", "y", "w", "h")).alias("dets"))
-    return frames.join(lists, ["clip_id", "frame_idx"], "left").groupBy("clip_id").applyInPandas(partial(_clip, detectors=None, p=p, fps=fps), TRACK_ROWS)
+        return in_order(frames, partial(_run, detectors=detectors, p=p, fps=fps), TRACK_ROWS)
+    return in_order(with_detections(shrunk(frames, p), detect(frames, detectors, p)), partial(_run, detectors=None, p=p, fps=fps), TRACK_ROWS)

@@ -154,13 +154,13 @@ def blur_frames(frames: DataFrame, masks: DataFrame, strength: int = 12, base: i
 def _cover(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         share = [covered(np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width), r.x1, r.y1, r.x2, r.y2) for r in p.itertuples()]
-        yield p[["clip_id", "frame_idx", "det_id"]].assign(coverage=share)
+        yield p[["clip_id", "frame_idx", "det_id", "x", "y", "w", "h"]].assign(coverage=share)
 
 
 def measured(cabins: DataFrame, masks: DataFrame) -> DataFrame:
-    """Coverage of cabins (clip_id, frame_idx, det_id, x1, y1, x2, y2) by painted masks."""
+    """Coverage of cabins (x1, y1, x2, y2) of vehicles (clip_id, frame_idx, det_id and a box) by painted masks."""
     joined = cabins.join(masks, ["clip_id", "frame_idx"])
-    return joined.mapInPandas(_cover, "clip_id string, frame_idx int, det_id long, coverage double")
+    return joined.mapInPandas(_cover, "clip_id string, frame_idx int, det_id long, x int, y int, w int, h int, coverage double")
 
 
 def check_counts(frames: DataFrame, masks: DataFrame) -> None:

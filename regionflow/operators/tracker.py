@@ -1,13 +1,14 @@
 """The per-clip tracker: strictly in frame order, one state machine for batch and stream.
 
 Tracks live between detections by optical flow. A frame's steps: propagate, retire, take in detections in their order, retire what
-they supersede, drop weaker duplicates, corroborate vehicles, emit.
+they supersede, drop weaker duplicates, corroborate vehicles, emit. Flow needs a small gray image alone: it is made where the frame is
+read, and only that travels to the clip's task, which goes through it frame by frame.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -185,7 +186,10 @@ class ClipTracker:
 
     def step(self, frame: int, image: np.ndarray, dets: list[tuple[str, BoxT]]) -> list[tuple[Track, BoxT]]:
         """One frame; ``image`` is gray in native pixels. Returns what is shown, in order of creation."""
-        small = resize_linear(image, max(1, self.width // self.p.track_downscale), max(1, self.height // self.p.track_downscale))
+        return self.advance(frame, smaller(image, self.p.track_downscale), dets)
+
+    def advance(self, frame: int, small: np.ndarray, dets: list[tuple[str, BoxT]]) -> list[tuple[Track, BoxT]]:
+        """As ``step``, with the image as ``smaller`` makes it."""
         now = flow.pyramid(small, self.p.track_lk_levels)
         if self.before is not None:
             for t in self.tracks:
@@ -274,17 +278,61 @@ def _ordered(dets) -> list[tuple[str, BoxT]]:
     return [(d["cls"], (d["x"], d["y"], d["w"], d["h"])) for d in listed]
 
 
-def _track_clip(rows: pd.DataFrame, params: Params, face_interval: int) -> pd.DataFrame:
-    rows = rows.sort_values("frame_idx")
-    tracker = None
-    for r in rows.itertuples():
-        tracker = tracker or ClipTracker(r.width, r.height, params, face_interval)
-        tracker.step(int(r.frame_idx), gray(to_image(r.pixels, r.width, r.height, r.channels)), _ordered(r.dets))
-    return track_rows(rows["clip_id"].iloc[0], tracker.all_tracks() if tracker else [])
+def smaller(image: np.ndarray, downscale: int) -> np.ndarray:
+    h, w = image.shape[:2]
+    return resize_linear(image, max(1, w // downscale), max(1, h // downscale))
 
 
-def track_clips(frames: DataFrame, dets: DataFrame, params: Params = BARE, face_interval: int = 1) -> DataFrame:
-    """Tracks of every clip. A clip is one task, because its frames follow from each other; clips run side by side."""
+SMALL = "clip_id string, frame_idx int, width int, height int, small binary"
+
+
+def _shrink(parts: Iterator[pd.DataFrame], downscale: int) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        images = [smaller(gray(to_image(r.pixels, r.width, r.height, r.channels)), downscale).tobytes() for r in p.itertuples()]
+        yield p[["clip_id", "frame_idx", "width", "height"]].assign(small=images)
+
+
+def shrunk(frames: DataFrame, p: Params) -> DataFrame:
+    """Small gray images of all frames, made where they are read."""
+    return frames.mapInPandas(partial(_shrink, downscale=p.track_downscale), SMALL)
+
+
+def to_small(data: bytes, width: int, height: int, p: Params) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(max(1, height // p.track_downscale), max(1, width // p.track_downscale))
+
+
+def in_order(rows: DataFrame, through: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Each clip's rows through one task in frame order, a batch at a time, because its frames follow from each other; clips run side by
+    side. What the task holds of a clip is its state alone."""
+    return rows.repartition("clip_id").sortWithinPartitions("clip_id", "frame_idx").mapInPandas(through, schema)
+
+
+def by_clip(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[object, bool]]:
+    """Sorted rows one by one, and whether a new clip begins."""
+    before = None
+    for p in parts:
+        for r in p.itertuples():
+            yield r, r.clip_id != before
+            before = r.clip_id
+
+
+def _track(parts: Iterator[pd.DataFrame], params: Params, face_interval: int) -> Iterator[pd.DataFrame]:
+    clip, tracker = None, None
+    for r, new in by_clip(parts):
+        if new:
+            if tracker:
+                yield track_rows(clip, tracker.all_tracks())
+            clip, tracker = r.clip_id, ClipTracker(r.width, r.height, params, face_interval)
+        tracker.advance(int(r.frame_idx), to_small(r.small, r.width, r.height, params), _ordered(r.dets))
+    if tracker:
+        yield track_rows(clip, tracker.all_tracks())
+
+
+def with_detections(frames: DataFrame, dets: DataFrame) -> DataFrame:
     lists = dets.groupBy("clip_id", "frame_idx").agg(F.collect_list(F.struct("cls", "det_ord", "x", "y", "w", "h")).alias("dets"))
-    joined = frames.join(lists, ["clip_id", "frame_idx"], "left")
-    return joined.groupBy("clip_id").applyInPandas(partial(_track_clip, params=params, face_interval=face_interval), TRACK_ROWS)
+    return frames.join(lists, ["clip_id", "frame_idx"], "left")
+
+
+def track_clips(frames: DataFrame, dets: DataFrame, params: Params = BARE, face_interval: int = 1) -> DataFrame:
+    """Tracks of every clip, from the detections given."""
+    return in_order(with_detections(shrunk(frames, params), dets), partial(_track, params=params, face_interval=face_interval), TRACK_ROWS)

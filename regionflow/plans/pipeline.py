@@ -14,17 +14,28 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Box, cabin_corners
 from ..operators import boxes, coverage, detectors, pixels, tracks
 from ..params import BLUR_STRENGTH, BLUR_WIDTH, DILATION_PX, FEATHER_PX, ROAD, Params, step
+from ..schema import MASKS
 from ..sources import clips, sidecar
+from ..sources.models import ModelSpec, chosen, resolve
 
 log = logging.getLogger(__name__)
 #: Rates taken for clips that don't tell theirs: of the coverage check.
 CHECK_FPS, CHECK_SAMPLE_FPS = 60.0, 4.0
 
 
+@dataclass(frozen=True)
+class Leak:
+    """A vehicle that would be shown: the frame, the share of its cabin under the mask, and its box."""
+
+    frame: int
+    coverage: float
+    box: tuple[int, int, int, int]
+
+
 @dataclass(frozen=True)
 class Report:
     vehicle_frames: int
-    leaks: tuple[tuple[int, float], ...]
+    leaks: tuple[Leak, ...]
 
     @property
     def ok(self) -> bool:
@@ -35,7 +46,7 @@ class CoverageError(RuntimeError):
     """A vehicle would be shown; nothing was rendered."""
 
     def __init__(self, report: Report):
-        worst = ", ".join(f"frame {f} ({c:.0%})" for f, c in sorted(report.leaks, key=lambda x: x[1])[:5])
+        worst = ", ".join(f"frame {x.frame} ({x.coverage:.0%})" for x in sorted(report.leaks, key=lambda x: x.coverage)[:5])
         super().__init__(f"{len(report.leaks)} of {report.vehicle_frames} vehicle sightings with a plate are not covered: {worst}")
         self.report = report
 
@@ -71,20 +82,26 @@ def verify(frames: DataFrame, masks: DataFrame, found: Mapping[str, detectors.De
     if "plate" in found:
         vehicles = boxes.corroborated(vehicles, seen.where("cls = 'plate'"))
     corners = cabin_corners(Box.of(), p.track_cabin_frac, width, height)
-    cabins = vehicles.select("clip_id", "frame_idx", "det_id", *[c.cast("int").alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)])
+    cabins = vehicles.select("clip_id", "frame_idx", "det_id", "x", "y", "w", "h", *[c.cast("int").alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)])
     shares = pixels.measured(cabins, masks)
-    n = shares.count()
-    leaks = shares.where(coverage.leaks(F.col("coverage"), min_coverage)).select("frame_idx", "coverage").collect()  # sightings of one clip
-    return Report(n, tuple((r["frame_idx"], r["coverage"]) for r in leaks))
+    leak = F.when(coverage.leaks(F.col("coverage"), min_coverage), F.struct("frame_idx", "coverage", "x", "y", "w", "h"))
+    found = shares.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(leak)).alias("leaks")).first()  # sightings of one clip, in one pass
+    return Report(found["n"], tuple(Leak(r["frame_idx"], r["coverage"], (r["x"], r["y"], r["w"], r["h"])) for r in found["leaks"]))
 
 
 def redact(
-    spark: SparkSession, source: str | Path, output: str | Path | None = None, *, found: Mapping[str, detectors.Detector], work_dir: str | Path | None = None,
+    spark: SparkSession, source: str | Path, output: str | Path | None = None, *, found: Mapping[str, detectors.Detector] | None = None,
+    models: Mapping[str, ModelSpec] | None = None, cache: str | Path | None = None, work_dir: str | Path | None = None,
     params: Mapping | None = None, box_dilation_px: int = DILATION_PX, feather_px: int = FEATHER_PX, blur_strength: int = BLUR_STRENGTH, check: bool = True,
     min_coverage: float = 0.5, reuse: bool = True, match_params: bool = False, render: bool = True, fps: float = 0.0, eager: bool = False,
+    encoding: Mapping | None = None,
 ) -> Result:
-    """Redacts one clip. A stored timeline is used for a source of the same hash; with ``match_params`` only for the same parameters."""
+    """Redacts one clip. A stored timeline is used for a source of the same hash; with ``match_params`` only for the same parameters.
+    Detectors are those ``found``, or are built from the default models, of which ``models`` replaces some. Masks are written once, as a
+    table in the work folder; the output is a table, or a clip where its name ends in a clip's format (``encoding``: crf, preset, extra)."""
     source, p = Path(source), Params.of(ROAD, **(params or {}))
+    if found is None:
+        found = detectors.build(paths_of(chosen(models), cache), p)
     work = Path(work_dir) if work_dir else source.parent
     work.mkdir(parents=True, exist_ok=True)
     about, digest = clips.probe(source), clips.file_hash(source)
@@ -113,8 +130,10 @@ def redact(
         raise ValueError("a mask needs a size and frames")
     flat = [(source.stem, f, k, *b) for f, v in stored.frame_boxes.items() for k, b in enumerate(v)]
     timeline_boxes = spark.createDataFrame(flat, "clip_id string, frame_idx int, ord int, x int, y int, w int, h int")
-    masks = pixels.render_masks(frames, timeline_boxes, feather_px)
-    pixels.check_counts(frames, masks)
+    place_of_masks = str(work / f"{source.stem}_masks.parquet")
+    pixels.render_masks(frames, timeline_boxes, feather_px).write.mode("overwrite").parquet(place_of_masks)
+    masks = spark.read.schema(MASKS).parquet(place_of_masks)
+    pixels.check_counts(frames, masks)  # what was written against what is read from the clip
     report = None
     if check and "vehicle" in found:
         report = verify(frames, masks, found, p, about.width, about.height, fps, min_coverage)
@@ -125,7 +144,11 @@ def redact(
     out = None
     if render:
         out = pixels.blur_frames(frames, masks, blur_strength, BLUR_WIDTH)
-        out.write.mode("overwrite").parquet(str(output or work / f"{source.stem}_redacted.parquet"))
+        target = Path(output or work / f"{source.stem}_redacted.parquet")
+        if target.suffix and target.suffix != ".parquet":
+            clips.export(out, target, fps, **({} if target.suffix in clips.WRITERS else {"sound": str(source), **(encoding or {})}))
+        else:
+            out.write.mode("overwrite").parquet(str(target))
     return Result(place, masks, out, stored.source_frame_count, faces, plates, report)
 
 
@@ -139,7 +162,5 @@ def regions(frames: DataFrame, found: Mapping[str, detectors.Detector], p: Param
     return joined.select("clip_id", "frame_idx", "ts", F.concat(pick("face"), pick("plate")).alias("boxes"), pick("face").alias("faces"), pick("plate").alias("plates"))
 
 
-def paths_of(specs: Sequence) -> dict[str, str | None]:
-    from ..sources.models import resolve
-
-    return {s.name: str(found) if (found := resolve(s)) else None for s in specs}
+def paths_of(specs: Sequence[ModelSpec], cache: str | Path | None = None) -> dict[str, str | None]:
+    return {s.name: str(path) if (path := resolve(s, Path(cache) if cache else None)) else None for s in specs}
