@@ -1,81 +1,187 @@
-"""Queries on drawn frames; they have no SQL counterpart."""
+"""Queries on pixels. Their frames are drawn from rows of the tables: no footage is needed, and SQL can tell what must come out.
+
+The clips of the tracking queries show a patch that moves by a steady pace; there SQL tells where it is, and a box counts as right within
+``NEAR`` pixels. The other queries are exact.
+"""
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import drawn
-from ..operators import detectors, pixels, tracker, tracks
-from ..operators.detectors import FixedDetector
+from ..operators import detectors, pixels, tracker
+from ..operators.detectors import BrightDetector, FixedDetector
 from ..params import BARE, Params
 from ..schema import FRAMES
+from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
-CLIPS, LENGTH, WIDTH, HEIGHT = 3, 12, 240, 136
+#: Clips of a moving patch: frames, rate, size of a frame and of the patch, frames between given detections, and pixels a box may be off.
+LENGTH, FPS, WIDTH, HEIGHT, PATCH, EVERY, NEAR = 12, 12.0, 240, 136, 48, 6, 2
+#: Masks are painted at a fourth of the detections' size.
+SHRINK = 4
+#: Stills with an edge, and the blur over it.
+EDGE_WIDTH, EDGE_HEIGHT, STRENGTH, BASE = 64, 6, 12, 192
 
+# where the patch is, for each nation
+PLACES = """SELECT CAST(n_nationkey AS STRING) AS clip_id, k AS frame_idx, 20 + 3 * n_nationkey + (n_nationkey % 5) * k AS px, 30 + n_nationkey AS py
+  FROM {nation} LATERAL VIEW explode(sequence(0, 11)) f AS k"""
+S_PLACES = "(SELECT CAST(n_nationkey AS VARCHAR) AS clip_id, CAST(k AS INTEGER) AS frame_idx, 20 + 3 * n_nationkey + (n_nationkey % 5) * k AS px, 30 + n_nationkey AS py FROM nation, range(0, 12) f(k))"
 
-def _frames(spark: SparkSession) -> DataFrame:
-    rows = []
-    for c in range(CLIPS):
-        for k, image in enumerate(drawn.clip(LENGTH, 30 + 10 * c, 4 + c, 40, width=WIDTH, height=HEIGHT)):
-            rows.append((f"clip{c}", k, k / 12.0, WIDTH, HEIGHT, 1, bytearray(image.tobytes())))
-    return spark.createDataFrame(rows, FRAMES)
 
+def _draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split(" ")[0] for c in FRAMES.split(", ")]
+    for p in parts:
+        yield pd.DataFrame([(r.clip_id, r.frame_idx, r.frame_idx / FPS, WIDTH, HEIGHT, 1, drawn.frame(r.px, r.py, WIDTH, HEIGHT, PATCH).tobytes()) for r in p.itertuples()], columns=names)
 
-def _detections(spark: SparkSession) -> DataFrame:
-    rows = [(f"clip{c}", k, "plate", 0, 30 + 10 * c + (4 + c) * k, 40, 48, 48, 0.9) for c in range(CLIPS) for k in range(0, LENGTH, 6)]
-    return spark.createDataFrame(rows, "clip_id string, frame_idx int, cls string, det_ord int, x int, y int, w int, h int, score float")
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PLACES, nation=X.table(spark, sf_dir, "nation"))
 
-def track_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracker.track_clips(_frames(spark), _detections(spark), BARE)
 
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _places(spark, sf_dir).mapInPandas(_draw, FRAMES)
 
-def _timeline(spark: SparkSession) -> DataFrame:
-    found = tracker.track_clips(_frames(spark), _detections(spark), BARE)
-    return tracks.timeline(found.withColumn("ord", F.col("track_id")), 4, WIDTH, HEIGHT)
 
+def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = _places(spark, sf_dir).where(F.col("frame_idx") % EVERY == 0)
+    return seen.select("clip_id", "frame_idx", F.lit("plate").alias("cls"), F.lit(0).alias("det_ord"), F.col("px").cast("int").alias("x"), F.col("py").cast("int").alias("y"), F.lit(PATCH).alias("w"), F.lit(PATCH).alias("h"))
 
-def render_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = pixels.render_masks(_frames(spark), _timeline(spark), 4)
-    return masks.select("clip_id", "frame_idx", F.sha2("mask", 256).alias("mask_sha256"))
 
+def _followed(spark: SparkSession, sf_dir: str, rows: DataFrame, dx: int = 0, dw: int = 0) -> DataFrame:
+    """Track rows, and whether each box is where the patch is."""
+    off = lambda c, v: F.abs(F.col(c) - v) <= NEAR
+    right = off("x", F.col("px") + dx) & off("y", F.col("py")) & off("w", F.lit(PATCH - dw)) & off("h", F.lit(PATCH))
+    return rows.join(_places(spark, sf_dir), ["clip_id", "frame_idx"], "left").select("clip_id", "track_id", "cls", "frame_idx", "anchor", F.coalesce(right, F.lit(False)).alias("followed"))
 
-def blur_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _frames(spark)
-    out = pixels.blur_frames(frames, pixels.render_masks(frames, _timeline(spark), 4))
-    return out.select("clip_id", "frame_idx", F.sha2("pixels", 256).alias("pixels_sha256"))
 
+def s_followed(every: int) -> str:
+    return f"SELECT clip_id, 0 AS track_id, 'plate' AS cls, frame_idx, CAST(frame_idx % {every} = 0 AS INTEGER) AS anchor, true AS followed FROM {S_PLACES}"
 
-def detect_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stills: each frame by itself, through the detectors' protocol, in tiles."""
-    found = {"face": FixedDetector((((10, 20, 12, 12), 0.9),)), "plate": FixedDetector((((5, 5, 20, 8), 0.5), ((0, 0, 90, 60), 0.8)))}
-    return detectors.detect(_frames(spark).where("frame_idx = 0"), found, Params.of(tile_px=80, plate_max_area_frac=0.05))
+
+def track_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks between detections that are given every sixth frame."""
+    return _followed(spark, sf_dir, tracker.track_clips(_frames(spark, sf_dir), _detections(spark, sf_dir), BARE))
 
 
 def detect_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.detect_and_track(_frames(spark), {"plate": detectors.BrightDetector()}, Params.of(BARE, plate_max_area_frac=0.0), 12.0)
+    """Detector and tracker together, by cadence: every second frame is looked at. The detector doesn't see the patch's first column."""
+    rows = detectors.detect_and_track(_frames(spark, sf_dir), {"plate": BrightDetector()}, Params.of(BARE, plate_max_area_frac=0.0), FPS)
+    return _followed(spark, sf_dir, rows, 1, 1)
 
 
 def track_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tracker over a stream that is read to its end."""
+    """The tracker over a stream that is read to its end. Its files lie in the folder of checkpoints, which a cluster shares."""
     from ..streaming.tracker import track_stream as tracked
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    lists = _detections(spark).groupBy("clip_id", "frame_idx").agg(F.collect_list("cls").alias("cls"), F.collect_list(F.array("x", "y", "w", "h")).alias("boxes"))
-    frames = _frames(spark).drop("ts").join(lists, ["clip_id", "frame_idx"], "left").withColumn("last", F.col("frame_idx") == LENGTH - 1)
-    place = tempfile.mkdtemp(prefix="regionflow-stream-", dir=os.environ.get("REGIONFLOW_SHARED"))
+    lists = _detections(spark, sf_dir).groupBy("clip_id", "frame_idx").agg(F.collect_list("cls").alias("cls"), F.collect_list(F.array("x", "y", "w", "h")).alias("boxes"))
+    frames = _frames(spark, sf_dir).drop("ts").join(lists, ["clip_id", "frame_idx"], "left").withColumn("last", F.col("frame_idx") == LENGTH - 1)
+    place = _shared(spark)
     frames.write.mode("overwrite").parquet(f"{place}/in")
     stream = spark.readStream.schema(frames.schema).parquet(f"{place}/in")
     run = tracked(stream).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(tracker.TRACK_ROWS).parquet(f"{place}/out")
+    return _followed(spark, sf_dir, spark.read.schema(tracker.TRACK_ROWS).parquet(f"{place}/out"))  # without the count of late frames
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors see: under spark.checkpoint.dir; a folder of this machine in local mode alone."""
+    named, name = spark.sparkContext.getConf().get("spark.checkpoint.dir"), f"regionflow-stream-{os.urandom(8).hex()}"
+    if named:
+        return f"{named.rstrip('/')}/{name}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix=name)
+
+
+# masks, blur and stills
+def _painted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        rows = []
+        for r in p.itertuples():
+            each = (np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width) == 255).sum(1)
+            rows.append((r.clip_id, r.frame_idx, int(each.sum()), int(each @ np.arange(r.height))))
+        yield pd.DataFrame(rows, columns=["clip_id", "frame_idx", "pixels", "rows"])
+
+
+def render_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks without feathering of every frame with detections: how many pixels are painted, and the sum of their rows."""
+    small = lambda c: F.floor(F.col(c) / SHRINK).cast("int").alias(c)
+    d = X.det(spark, sf_dir).select(F.col("clip_id").cast("string").alias("clip_id"), "frame_idx", "cls", F.col("det_id").alias("ord"), *map(small, "xywh"))
+    frames = d.select("clip_id", "frame_idx").distinct().withColumns({"width": F.lit(X.WIDTH // SHRINK), "height": F.lit(X.HEIGHT // SHRINK)})
+    masks = pixels.render_masks(frames, d.where("cls <> 'vehicle'"), 0)
+    return masks.mapInPandas(_painted, "clip_id string, frame_idx int, pixels long, rows long")
+
+
+S_RENDER = f"""SELECT CAST(clip_id AS VARCHAR) AS clip_id, frame_idx, coalesce(pixels, 0)::BIGINT AS pixels, coalesce(rows, 0)::BIGINT AS rows FROM (SELECT DISTINCT clip_id, frame_idx FROM det) LEFT JOIN (
+  SELECT clip_id, frame_idx, count(*) AS pixels, sum(yy) AS rows FROM (SELECT DISTINCT clip_id, frame_idx, yy, unnest(range(x1, x2)) AS xx FROM (SELECT *, unnest(range(y1, y2)) AS yy FROM (
+    SELECT clip_id, frame_idx, greatest(0, x // {SHRINK}) AS x1, greatest(0, y // {SHRINK}) AS y1, least({X.WIDTH // SHRINK}, x // {SHRINK} + w // {SHRINK} + 1) AS x2, least({X.HEIGHT // SHRINK}, y // {SHRINK} + h // {SHRINK} + 1) AS y2 FROM det WHERE cls <> 'vehicle'))) GROUP BY clip_id, frame_idx) USING (clip_id, frame_idx)"""
+
+
+def _edges(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split(" ")[0] for c in FRAMES.split(", ")]
+    for p in parts:
+        images = (np.tile((np.arange(EDGE_WIDTH) >= r.edge) * np.uint8(255), (EDGE_HEIGHT, 1)) for r in p.itertuples())
+        yield pd.DataFrame([(r.clip_id, 0, 0.0, EDGE_WIDTH, EDGE_HEIGHT, 1, i.astype(np.uint8).tobytes()) for r, i in zip(p.itertuples(), images, strict=True)], columns=names)
+
+
+def _summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        yield pd.DataFrame({"clip_id": p["clip_id"], "total": [int(np.frombuffer(x, np.uint8).sum(dtype=np.int64)) for x in p["pixels"]]})
+
+
+def blur_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stills with an upright edge, one for each supplier, blurred under a mask that crosses it: the sum of their pixels."""
+    of = X.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("clip_id"), (20 + F.col("s_suppkey") % 24).alias("edge"), (F.col("s_suppkey") % 40).cast("int").alias("x"), (F.col("s_suppkey") % 17 + 3).cast("int").alias("w"))
+    frames = of.mapInPandas(_edges, FRAMES)
+    masked = of.select("clip_id", F.lit(0).alias("frame_idx"), F.lit(0).alias("ord"), "x", F.lit(0).alias("y"), "w", F.lit(EDGE_HEIGHT).alias("h"))
+    return pixels.blur_frames(frames, pixels.render_masks(frames, masked, 0), STRENGTH, BASE).mapInPandas(_summed, "clip_id string, total long")
+
+
+_RADIUS = max(2, round(STRENGTH * EDGE_WIDTH / BASE))
+S_BLUR = f"""WITH taps AS (SELECT i + j AS t, count(*) AS n FROM range(-{_RADIUS}, {_RADIUS} + 1) a(i), range(-{_RADIUS}, {_RADIUS} + 1) b(j) GROUP BY t),
+  p AS (SELECT s_suppkey, 20 + s_suppkey % 24 AS edge, c.x, c.x BETWEEN s_suppkey % 40 AND s_suppkey % 40 + s_suppkey % 17 + 3 AS masked FROM supplier, range(0, {EDGE_WIDTH}) c(x)),
+  v AS (SELECT s_suppkey, x, any_value(masked) AS masked, any_value(x >= edge) AS bright, round_even(255.0::DOUBLE * sum(n) FILTER (x + t >= edge) / {(2 * _RADIUS + 1) ** 2}, 0) AS soft FROM p, taps GROUP BY s_suppkey, x)
+  SELECT CAST(s_suppkey AS VARCHAR) AS clip_id, CAST({EDGE_HEIGHT} * sum(CASE WHEN masked THEN coalesce(soft, 0) WHEN bright THEN 255 ELSE 0 END) AS BIGINT) AS total FROM v GROUP BY s_suppkey"""
+
+#: Stills are a tenth of the tables' sizes, as are their tiles.
+TENTH, TILE_PX = 10, 128
+FACE_AT, PLATE_AT, TOO_LARGE = (1, 2, 6, 6), (0, 0, 12, 4), (0, 0, 90, 60)
+
+
+def _blank(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split(" ")[0] for c in FRAMES.split(", ")]
+    for p in parts:
+        yield pd.DataFrame([(f"{r.width}x{r.height}", 0, 0.0, r.width, r.height, 1, bytes(r.width * r.height)) for r in p.itertuples()], columns=names)
+
+
+def detect_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stills of many sizes through the detectors' protocol, in tiles, with the gate on large plates."""
+    sizes = X.sizes(spark, sf_dir).select((F.col("width") / TENTH).cast("int").alias("width"), (F.col("height") / TENTH).cast("int").alias("height")).distinct()
+    found = {"face": FixedDetector(((FACE_AT, 0.9), (FACE_AT, 0.3))), "plate": FixedDetector(((PLATE_AT, 0.5), (TOO_LARGE, 0.8)))}
+    return detectors.detect(sizes.mapInPandas(_blank, FRAMES), found, Params.of(tile_px=TILE_PX))
+
+
+def s_detect_image(tiles: str) -> str:
+    size = f"(SELECT DISTINCT width // {TENTH} AS width, height // {TENTH} AS height FROM sizes)"
+    box = lambda cls, b, rule: f"SELECT width || 'x' || height AS clip_id, 0 AS frame_idx, '{cls}' AS cls, CAST(tile_ord AS INTEGER) AS det_ord, CAST(x0 + {b[0]} AS INTEGER) AS x, CAST(y0 + {b[1]} AS INTEGER) AS y, {b[2]} AS w, {b[3]} AS h FROM t WHERE {rule}"
+    gate = f"{PLATE_AT[2] * PLATE_AT[3]} <= 0.01::DOUBLE * height * width"
+    return f"WITH t AS ({tiles.replace('FROM sizes', f'FROM {size}')}) {box('face', FACE_AT, 'true')} UNION ALL {box('plate', PLATE_AT, gate)}"
 
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (track_clip, render_mask, blur_composite, detect_image, detect_track, track_stream)}
+
+
+def oracle_sql(tiles: Callable[[int], str]) -> dict[str, str]:
+    """SQL over the derived relations; ``tiles`` gives that of a grid."""
+    looked = round(FPS / Params().sample_fps)
+    return {"track_clip": s_followed(EVERY), "track_stream": s_followed(EVERY), "detect_track": s_followed(looked), "render_mask": S_RENDER, "blur_composite": S_BLUR, "detect_image": s_detect_image(tiles(TILE_PX))}

@@ -50,9 +50,8 @@ def test_same_with_other_partitions(spark, name):
     assert found[0] == found[1]
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_runs(spark, name):
-    assert catalog.queries()[name](spark, SMALL).count() > 0
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_entry(spark):

@@ -1,5 +1,7 @@
-import json
 import hashlib
+import importlib.machinery
+import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +14,8 @@ from regionflow.params import BARE, Params
 from regionflow.plans import pipeline
 from regionflow.sources import clips, models, sidecar
 
+from conftest import SMALL
+
 
 def test_painting():
     mask = P.paint(32, 32, [(4, 4, 8, 8)])
@@ -94,7 +98,9 @@ def test_clip_source(spark, tmp_path):
     assert len(rows) == 13 and all(bytes(rows[c, k]["pixels"]) == frames[k].tobytes() for c in "ab" for k in range(6))
     assert rows["b", 3]["ts"] == 0.25 and rows["a", 3]["ts"] == 3.0
     assert spark.read.format("clips").option("every", 4).load(str(tmp_path / "a.npy")).count() == 2
-    assert clips.probe(tmp_path / "b.y4m") == clips.Clip(12.0, 6, 64, 48, 1) and clips.probe(tmp_path / "none.npy").count == 0
+    assert clips.probe(tmp_path / "b.y4m") == clips.Clip(12.0, 6, 64, 48, 1) 
+    with pytest.raises(ValueError, match="Could not open video"):
+        clips.probe(tmp_path / "none.npy")
     with pytest.raises(ValueError, match="Could not open video"):
         clips.open_clip(str(tmp_path / "none.avi"))
 
@@ -142,8 +148,8 @@ def test_eager_is_lazy(spark):
 def test_stream_equals_batch(spark):
     from regionflow.plans import pixel_queries as Q
 
-    batch = sorted(map(tuple, Q.track_clip(spark, "").collect()))
-    assert sorted(map(tuple, Q.track_stream(spark, "").collect())) == batch
+    batch = sorted(map(tuple, Q.track_clip(spark, SMALL).collect()))
+    assert sorted(map(tuple, Q.track_stream(spark, SMALL).collect())) == batch
 
 
 VEHICLE, PLATE, FACE = (40, 20, 100, 60), (70, 40, 30, 12), (150, 80, 16, 16)
@@ -195,13 +201,140 @@ def test_regions(spark):
 def test_command_line(capsys, tmp_path):
     assert cli.main(["--check-deps"]) == 0
     with pytest.raises(SystemExit):
-        cli.models(["hat=/x"])
+        cli.main(["a.npy", "--model", "hat=/x"])
+    with pytest.raises(SystemExit):
+        cli.main(["a.npy", "--model", "face"])
     with pytest.raises(SystemExit):
-        cli.models(["face"])
-    assert cli.main([str(tmp_path / "none.npy")]) == 1  # no face model
+        cli.main([])
+    assert cli.main([str(tmp_path / "none.npy"), *(f"--model={k}=/no/such" for k in models.KINDS)]) == 1
     assert "no face model" in capsys.readouterr().err
 
 
+def test_command_line_redacts(spark, tmp_path, monkeypatch, capsys):
+    source = write_clip(tmp_path / "clip.npy", np.random.default_rng(0).integers(0, 255, (3, 120, 200, 3), np.uint8))
+    monkeypatch.setattr(D, "build", lambda paths, p: found())
+    assert cli.main([str(source), "--fps", "3", "-o", str(tmp_path / "out.npy"), "--work-dir", str(tmp_path / "w"), "--model=face=/x"]) == 0
+    assert "3 frames" in capsys.readouterr().out and clips.probe(tmp_path / "out.npy") == clips.Clip(0.0, 3, 200, 120, 3)
+
+
+def test_no_face_model_falls_back_or_refuses(monkeypatch):
+    import sys
+    import types
+
+    paths = {"face": None, "plate": "/p"}
+    with pytest.raises(RuntimeError, match="no face model"):
+        D.build(paths, Params())
+
+    class CenterFace:
+        def __init__(self, in_shape):
+            self.shape = in_shape
+
+        def __call__(self, image, threshold):
+            return [(1.4, 2.5, 11.6, 300, 0.9), (5, 5, 5, 9, 0.9)], []
+
+    package = types.ModuleType("deface")
+    package.__spec__, package.__path__ = importlib.machinery.ModuleSpec("deface", None), []
+    inner = types.ModuleType("deface.centerface")
+    inner.CenterFace = CenterFace
+    monkeypatch.setitem(sys.modules, "deface", package)
+    monkeypatch.setitem(sys.modules, "deface.centerface", inner)
+    built = D.build(paths, Params())
+    assert set(built) == {"face", "plate"} and built["face"].detect(np.zeros((50, 60), np.uint8), 0.4) == [(1, 2, 11, 48)]
+    assert set(D.build_for_images({"face": "/f", "plate": "/p"}, plate_iou=0.3)) == {"face", "plate"}
+
+
+def test_gray_frames_reach_the_model(monkeypatch):
+    seen = []
+
+    class Session:
+        def get_inputs(self):
+            return [type("I", (), {"name": "in"})()]
+
+        def run(self, _, feed):
+            seen.append(feed["in"])
+            return [anchors((175, 347.5, 50, 15, 0.9))]
+
+    monkeypatch.setattr(D, "_session", lambda path, threads: Session())
+    for image in (np.zeros((720, 1280), np.uint8), np.zeros((720, 1280, 3), np.uint8)):
+        assert D.OnnxDetector("/m").detect(image, 0.4) == [(300, 400, 100, 30)]
+    assert all(x.shape == (1, 3, 640, 640) for x in seen) and (seen[0] == seen[1]).all()
+
+
+def test_colour_clips(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    image = np.repeat(np.repeat(rng.integers(30, 220, (6, 8, 3), np.uint8), 4, 0), 4, 1)  # even blocks, so that shared chroma is exact
+    back = clips.from_yuv(*clips.to_yuv(image))
+    assert np.abs(back.astype(int) - image).max() <= 2
+    y, u, v = clips.to_yuv(image)
+    bodies = {"444": [y, u, v], "422": [y, u[:, ::2], v[:, ::2]], "420jpeg": [y, u[::2, ::2], v[::2, ::2]], "411": [y, u[:, ::4], v[:, ::4]]}
+    for kind, planes in bodies.items():
+        data = f"YUV4MPEG2 W32 H24 F5:1 C{kind}\n".encode() + 2 * (b"FRAME\n" + b"".join(p.tobytes() for p in planes))
+        (tmp_path / f"{kind}.y4m").write_bytes(data)
+        clip = clips.open_clip(str(tmp_path / f"{kind}.y4m"))
+        assert clip.probe() == clips.Clip(5.0, 2, 32, 24, 3) and all((f == back).all() for f in clip.read(0, 2))
+    with pytest.raises(ValueError):
+        clips.Y4mFile(b"YUV4MPEG2 W32 H24 F5:1 C420p10\n")
+    (tmp_path / "s.ppm").write_bytes(b"P6\n# drawn\n32 24\n255\n" + image[:, :, ::-1].tobytes())
+    assert (next(clips.open_clip(str(tmp_path / "s.ppm")).read(0, 1)) == image).all()
+    rows = clips.load(spark, [f"file://{tmp_path}/420jpeg.y4m", f"file://{tmp_path}/s.ppm"]).collect()  # through Spark's own reader
+    assert {(r["clip_id"], r["frame_idx"]): bytes(r["pixels"]) == (back if r["clip_id"] != "s" else image).tobytes() for r in rows} == {("420jpeg", 0): True, ("420jpeg", 1): True, ("s", 0): True}
+
+
+def test_clips_written_back(spark, tmp_path):
+    frames = np.random.default_rng(3).integers(0, 255, (5, 16, 24, 3), np.uint8)
+    write_clip(tmp_path / "a.npy", frames)
+    clips.register(spark)
+    df = spark.read.format("clips").load(str(tmp_path / "a.npy")).repartition(3)
+    assert clips.export(df, tmp_path / "b.npy") == 5 and (np.load(tmp_path / "b.npy") == frames).all()
+    masks = P.render_masks(df, spark.createDataFrame([("a", 2, 0, 3, 3, 5, 5)], "clip_id string, frame_idx int, ord int, x int, y int, w int, h int"), 0)
+    assert clips.export(masks, tmp_path / "m.y4m", 12.0, "mask") == 5
+    read = list(clips.open_clip(str(tmp_path / "m.y4m")).read(0, 5))
+    assert [int((m == 255).sum()) for m in read] == [0, 0, 36, 0, 0]  # gray clips are lossless
+    assert clips.export(df, tmp_path / "c.y4m") == 5 and clips.probe(tmp_path / "c.y4m").channels == 3
+    with pytest.raises(RuntimeError, match="ffmpeg"):
+        clips.export(df, tmp_path / "d.mp4")
+    with pytest.raises(ValueError):
+        clips.export(df.where("false"), tmp_path / "e.npy")
+
+
+def test_leaks_have_their_box(spark, tmp_path):
+    source = write_clip(tmp_path / "clip.npy", np.zeros((2, 120, 200, 3), np.uint8))
+    class Counting:
+        def detect(self, image, conf):
+            Path(tmp_path / f"seen{len(list(tmp_path.glob('seen*')))}-{np.random.default_rng().integers(1 << 60)}").touch()
+            return [VEHICLE]
+
+    frames = clips.load(spark, f"file://{source}")
+    masks = P.render_masks(frames, spark.createDataFrame([("clip", 0, 0, *VEHICLE)], "clip_id string, frame_idx int, ord int, x int, y int, w int, h int"), 0)
+    r = pipeline.verify(frames, masks, {"vehicle": Counting()}, Params.of(track_cabin_frac=0.6), 200, 120, 4.0)
+    assert r.vehicle_frames == 2 and r.leaks == (pipeline.Leak(1, 0.0, VEHICLE),)
+    assert len(list(tmp_path.glob("seen*"))) == 2  # each frame is looked at once
+
+
+def test_association_within_a_frame(spark):
+    """Detectors number detections from 0 in every frame."""
+    dets = spark.createDataFrame([("c", f, "plate", 0, 10, 10, 20, 20) for f in (0, 1)], "clip_id string, frame_idx int, cls string, det_id int, x int, y int, w int, h int")
+    held = spark.createDataFrame([("c", f, "plate", 3, 0.0, 11, 10, 20, 20) for f in (0, 1)], "clip_id string, frame_idx int, cls string, track_ord int, speed double, x int, y int, w int, h int")
+    from regionflow.operators import boxes
+
+    assert boxes.associate(dets, held, Params()).count() == 2
+
+
+def test_streams_give_up_missing_frames_and_count_late_ones(spark, tmp_path):
+    from regionflow.streaming import tracker as S
+
+    images = drawn.clip(9, 20, 2, 30, width=120, height=90)
+    rows = [("c", k, 120, 90, 1, bytearray(images[k].tobytes()), ["plate"], [[20 + 2 * k, 30, 48, 48]], k == 8) for k in (0, 1, 3, 4, 5, 6, 7)]
+    late = [("c", 2, 120, 90, 1, bytearray(images[2].tobytes()), None, None, False), ("c", 8, 120, 90, 1, bytearray(images[8].tobytes()), None, None, True)]
+    for n, part in enumerate((rows, late)):
+        spark.createDataFrame(part, S.INPUT).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(S.INPUT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    run = S.track_stream(stream, waiting_most=3).writeStream.format("memory").queryName("tracked").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = spark.sql("SELECT * FROM tracked").collect()
+    assert sorted(r["frame_idx"] for r in got) == [0, 1, 3, 4, 5, 6, 7, 8] and {r["late"] for r in got} == {1}
+
+
 def test_speed_is_kept_per_class():
     t = tracker.ClipTracker(64, 48)
     assert t.max_speed("plate") == 0.0
