@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import re
 import shutil
 import subprocess
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 from pathlib import Path
 
 import numpy as np
@@ -150,7 +151,45 @@ class StillFile:
         yield from [self.image][begin:end]
 
 
+class EncodedFile:
+    """Any other format, decoded by an ffmpeg on the path. Frames follow from each other, so a clip is read from its start by one task."""
+
+    def __init__(self, source: str | bytes):
+        if isinstance(source, bytes):
+            raise ValueError("encoded clips are read from a disk that all workers see")
+        self.source, self.programs = source, [shutil.which(name) for name in ("ffprobe", "ffmpeg")]
+        if None in self.programs:
+            raise ValueError(f"Could not open video: {source} (no ffmpeg to decode it)")
+
+    @cached_property
+    def about(self) -> Clip:
+        asked = ["-v", "error", "-count_frames", "-select_streams", "v:0", "-show_entries", "stream=width,height,avg_frame_rate,nb_read_frames", "-of", "json"]
+        said = subprocess.run([self.programs[0], *asked, self.source], capture_output=True, text=True)
+        found = json.loads(said.stdout or "{}").get("streams")
+        if said.returncode or not found:
+            raise _refuse(self.source)
+        num, _, den = found[0].get("avg_frame_rate", "0/1").partition("/")
+        return Clip(float(num) / float(den) if float(den or 0) else 0.0, int(found[0].get("nb_read_frames", 0)), int(found[0]["width"]), int(found[0]["height"]), 3)
+
+    def probe(self) -> Clip:
+        return self.about
+
+    def read(self, begin: int, end: int) -> Iterator[np.ndarray]:
+        shape = (self.about.height, self.about.width, 3)
+        size = shape[0] * shape[1] * 3
+        command = [self.programs[1], "-nostats", "-loglevel", "error", "-i", self.source, "-f", "rawvideo", "-pix_fmt", "bgr24", "-frames:v", str(end), "-"]
+        with subprocess.Popen(command, stdout=subprocess.PIPE) as run:
+            for k in range(end):
+                data = run.stdout.read(size)
+                if len(data) < size:
+                    raise RuntimeError(f"{self.source}: only {k} of {end} frames were decoded")
+                if k >= begin:
+                    yield np.frombuffer(data, np.uint8).reshape(shape)
+
+
 READERS: dict[str, Callable] = {".npy": ArrayFile, ".y4m": Y4mFile, ".pgm": StillFile, ".ppm": StillFile}
+#: Endings of formats that need a decoder.
+READERS |= dict.fromkeys((".mp4", ".mkv", ".mov", ".avi", ".webm", ".m4v", ".png", ".jpg", ".jpeg"), EncodedFile)
 
 
 def _suffix(path: str) -> str:
@@ -187,8 +226,9 @@ class ClipReader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         out = []
         for path in self.paths:
-            about = open_clip(path).probe()
-            each = max(1, min(FRAMES_A_TASK, BYTES_A_TASK // max(1, about.width * about.height * about.channels)))
+            clip = open_clip(path)
+            about = clip.probe()
+            each = max(1, about.count) if isinstance(clip, EncodedFile) else max(1, min(FRAMES_A_TASK, BYTES_A_TASK // max(1, about.width * about.height * about.channels)))
             out += [Range(path, k, min(about.count, k + each)) for k in range(0, about.count, each)]
         return out
 

@@ -101,8 +101,10 @@ def test_clip_source(spark, tmp_path):
     assert clips.probe(tmp_path / "b.y4m") == clips.Clip(12.0, 6, 64, 48, 1) 
     with pytest.raises(ValueError, match="Could not open video"):
         clips.probe(tmp_path / "none.npy")
-    with pytest.raises(ValueError, match="Could not open video"):
-        clips.open_clip(str(tmp_path / "none.avi"))
+    (tmp_path / "some.avi").write_bytes(b"x")
+    for name in ("none.avi", "some.avi", "some.xyz"):  # absent, without a decoder, of no known format
+        with pytest.raises(ValueError, match="Could not open video"):
+            clips.open_clip(str(tmp_path / name))
 
 
 def test_sidecar(tmp_path):
@@ -338,3 +340,36 @@ def test_streams_give_up_missing_frames_and_count_late_ones(spark, tmp_path):
 def test_speed_is_kept_per_class():
     t = tracker.ClipTracker(64, 48)
     assert t.max_speed("plate") == 0.0
+
+
+FAKE = """#!{python}
+import json, sys
+if "ffprobe" in sys.argv[0]:
+    print(json.dumps({{"streams": [{{"width": 4, "height": 3, "avg_frame_rate": "25/2", "nb_read_frames": "6"}}]}}))
+elif "-i" in sys.argv and sys.argv[-1] == "-":
+    n = int(sys.argv[sys.argv.index("-frames:v") + 1])
+    sys.stdout.buffer.write(b"".join(bytes([k]) * 36 for k in range(n)))
+else:
+    open(sys.argv[-1], "wb").write(repr(sys.argv[1:-1]).encode() + sys.stdin.buffer.read())
+"""
+
+
+def test_other_formats_go_through_an_encoder(spark, tmp_path, monkeypatch):
+    """With a stand-in for the program: what it is asked for, and that its frames come out in order."""
+    import os
+    import sys
+
+    for name in ("ffprobe", "ffmpeg"):
+        (tmp_path / name).write_text(FAKE.format(python=sys.executable))
+        (tmp_path / name).chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}{os.pathsep}{os.environ['PATH']}")
+    (tmp_path / "a.mp4").write_bytes(b"x")
+    assert clips.probe(tmp_path / "a.mp4") == clips.Clip(12.5, 6, 4, 3, 3)
+    assert [int(f[0, 0, 0]) for f in clips.open_clip(str(tmp_path / "a.mp4")).read(2, 5)] == [2, 3, 4]
+    assert len(clips.ClipReader({"path": str(tmp_path / "a.mp4")}).partitions()) == 1
+    frames = np.zeros((2, 3, 4, 3), np.uint8)
+    n = clips.write_clip(tmp_path / "out.mp4", frames, clips.Clip(12.5, 2, 4, 3, 3), sound=str(tmp_path / "a.mp4"), crf=20, preset="fast", extra=["-movflags", "x"])
+    said = (tmp_path / "out.mp4").read_bytes()
+    assert n == 2 and said.endswith(bytes(72)) and all(w in said for w in (b"'20'", b"'fast'", b"'-movflags'", b"'1:a?'", b"'copy'", b"'libx264'"))
+    clips.write_clip(tmp_path / "m.mkv", frames[..., 0], clips.Clip(0.0, 2, 4, 3, 1))
+    assert b"ffv1" in (tmp_path / "m.mkv").read_bytes()
