@@ -34,6 +34,15 @@ def overlap(a: BoxT, b: BoxT) -> float:
     return both / union if union > 0 else 0.0
 
 
+def overlaps(a: BoxT, boxes: np.ndarray) -> np.ndarray:
+    """``overlap`` with each of several boxes."""
+    x, y, w, h = boxes.T
+    wide = np.minimum(a[0] + a[2], x + w) - np.maximum(a[0], x)
+    both = np.maximum(wide, 0) * np.maximum(np.minimum(a[1] + a[3], y + h) - np.maximum(a[1], y), 0)
+    union = a[2] * a[3] + w * h - both
+    return np.where(union > 0, both / np.maximum(union, 1), 0.0)
+
+
 def middle(b: BoxT) -> tuple[float, float]:
     return b[0] + b[2] / 2, b[1] + b[3] / 2
 
@@ -150,18 +159,18 @@ class ClipTracker:
     def match(self, box: BoxT, cls: str) -> Track | None:
         """Best overlap first, the later among equals; else the nearest centre within the gate, the earlier among equals."""
         own = [t for t in self.tracks if t.cls == cls]
-        best, least = None, self.p.iou_match
-        for t in own:
-            if (v := overlap(box, t.box)) >= least:
-                best, least = t, v
-        if best is not None or (self.p.track_assoc_motion_gain <= 0 and self.p.track_assoc_min_gate_px <= 0):
-            return best
-        nearest = math.inf
-        for t in own:
-            reach = max(self.p.track_assoc_motion_gain * max(math.hypot(*box[2:]), math.hypot(*t.box[2:])), self.p.track_assoc_min_gate_px) + t.speed
-            if (d := apart(box, t.box)) <= reach and d < nearest:
-                best, nearest = t, d
-        return best
+        if not own:
+            return None
+        held, speed = np.array([t.box for t in own], np.int64), np.array([t.speed for t in own])
+        shared = overlaps(box, held)
+        if shared.max() >= self.p.iou_match:
+            return own[len(own) - 1 - int(shared[::-1].argmax())]
+        if self.p.track_assoc_motion_gain <= 0 and self.p.track_assoc_min_gate_px <= 0:
+            return None
+        far = np.hypot(held[:, 0] + held[:, 2] / 2 - box[0] - box[2] / 2, held[:, 1] + held[:, 3] / 2 - box[1] - box[3] / 2)
+        size = np.maximum(np.hypot(held[:, 2], held[:, 3]), math.hypot(*box[2:]))
+        far[far > np.maximum(self.p.track_assoc_motion_gain * size, self.p.track_assoc_min_gate_px) + speed] = np.inf
+        return own[int(far.argmin())] if np.isfinite(far.min()) else None
 
     def take(self, frame: int, image: np.ndarray, dets: list[tuple[str, BoxT]]) -> set[int]:
         """Detections in their order; later ones may match what earlier ones began. Returns the tracks they touched."""
