@@ -21,14 +21,22 @@ from .common import settle, whole
 
 #: Fixed texts: notices that are customary for each family.
 TEMPLATES = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3 or later.", "Released under the AGPL license.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "agpl": [
+        "This program is licensed under the GNU Affero General Public License, version 3 or later.", "Released under the AGPL license.", "SPDX-License-Identifier: AGPL-3.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages.",
         "Released under the BSD License.", "Licensed under the 3-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "cc0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0, dedicated to the public domain.", "SPDX-License-Identifier: CC0-1.0"],
@@ -37,27 +45,34 @@ TEMPLATES = {
     "cc-by-sa": ["This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/.",
         "Released under the GPL v2 license.", "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1 or later.", "Released under the LGPL license.", "SPDX-License-Identifier: LGPL-2.1-only"],
     "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "Released under the MIT License.", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     ],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "proprietary": ["All rights reserved.", "Copyright 2020 by the company. All rights reserved. No part of this publication may be reproduced without prior written permission."],
-    "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
 }
 #: Paragraphs that speak of a licence of no family above, and paragraphs that only use its words.
 OTHER = ["Licensed under the Fair Harbour Public License, version 7.", "Released under the Meadow License.", "See the LICENSE file for the terms.", "This software is distributed under license from the vendor.", "Licensed under our own terms.", "SPDX-License-Identifier: LicenseRef-Custom", "Copyright 2019 the authors."]
 NONE = ["The driver showed a license at the gate.", "Permission slips are due on Friday.", "The warranty of the car had run out.", "She was given permission to leave.", "The gnu is a large antelope.", "A fishing licence is cheap in spring.", "The copyright office moved to the public square.", "Redistribution of wealth was debated in the house.", "The Apache helicopter landed.", "Mozilla hired two engineers."]
-#: A paragraph that has none of these has no class but ``none``: part of the model.
-GATE = r"(?i)licen[cs]|copyright|permission|redistribut|all rights reserved|public domain|creative commons|\bcc.by\b|\bcc0\b|spdx"
+#: A paragraph that has none of these has no class but ``none``: part of the model. Phrases of several words may be parted by a line's end.
+PHRASES = r"all\s+rights\s+reserved|public\s+domain|creative\s+commons"
+GATE = rf"(?i)licen[cs]|copyright|permission|redistribut|{PHRASES}|\bcc.by\b|\bcc0\b|spdx|free to copy|\bmpl\b"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: Variations of each template, features at most, the share of a template's word pairs that confirms, and the share of calibration
-#: variations that may be taken for another family.
-VARIATIONS, FEATURES_MOST, CONFIRM, MISTAKES = 40, 4096, 0.5, 0.01
+#: Variations of each template, the share of a template's word pairs that confirms, and the share of calibration variations that may be
+#: taken for another family.
+VARIATIONS, CONFIRM, MISTAKES = 30, 0.5, 0.01
 SEED = 5
 
 
@@ -101,7 +116,7 @@ def train() -> Model:
     texts = [(c, t) for c in sorted(TEMPLATES) for t in TEMPLATES[c]] + [("unknown", t) for t in OTHER] + [("none", t) for t in NONE]
     sample = [(c, _varied(t, rng)) for c, t in texts for _ in range(VARIATIONS)] + [(c, t) for c, t in texts]
     known = {g for _, t in texts for g in grams(t)}
-    features = tuple(sorted(known))[:FEATURES_MOST]
+    features = tuple(sorted(known))
     place = {g: k for k, g in enumerate(features)}
     x = np.zeros((len(sample), len(features)))
     for i, (_, t) in enumerate(sample):
@@ -109,9 +124,10 @@ def train() -> Model:
     y = np.eye(len(classes))[[classes.index(c) for c, _ in sample]]
     fit = rng.random(len(sample)) < 0.75
     w, b = np.zeros((len(features), len(classes))), np.zeros(len(classes))
+    learned, wanted = x[fit], y[fit]
     for _ in range(400):
-        e = (_softmax(x[fit] @ w + b) - y[fit]) / fit.sum()
-        w -= 4.0 * (x[fit].T @ e + 1e-5 * w)
+        e = (_softmax(learned @ w + b) - wanted) / len(wanted)
+        w -= 4.0 * (learned.T @ e + 1e-5 * w)
         b -= 4.0 * e.sum(0)
     z, t = x[~fit] @ w + b, y[~fit]
     heat = min(np.geomspace(0.25, 4, 33), key=lambda h: -np.log((_softmax(z / h) * t).sum(1).clip(1e-12)).mean())
@@ -123,7 +139,7 @@ def train() -> Model:
 
 
 def _weights(docs: DataFrame, model: Model) -> DataFrame:
-    """(feature, pick, w): FEATURES_MOST + 1 times the classes at most. The feature "" that every paragraph has carries the bias."""
+    """(feature, pick, w): the templates' words and word pairs times the classes. The feature "" that every paragraph has carries the bias."""
     rows = [(f, k, float(w)) for f, row in zip(("", *model.features), (model.bias, *model.weights), strict=True) for k, w in enumerate(row)]
     return docs.sparkSession.createDataFrame(rows, "feature string, pick int, w double")
 
@@ -153,7 +169,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     since = lambda some: F.aggregate(some, F.lit(""), lambda t, x: F.when(blank(x), "").otherwise(F.concat_ws(" ", t, x)))
     near = lambda i: since(F.slice("lines", F.greatest(i + 1 - REACH, F.lit(1)), F.least(i, F.lit(REACH))))
     later = lambda i: since(F.transform(F.reverse(F.slice("lines", i + 2, REACH)), F.reverse))  # noqa: E731 - backwards, as far as letters
-    part = lambda x, i: F.when(x.rlike(GATE), F.struct(x.alias("part"), near(i).alias("before"), F.reverse(later(i)).alias("after")))
+    parted = lambda x, i: F.concat_ws("\n", x, F.get("lines", i + 1)).rlike(f"(?i){PHRASES}") & ~F.coalesce(F.get("lines", i + 1).rlike(GATE), F.lit(True))
+    part = lambda x, i: F.when(x.rlike(GATE) | parted(x, i), F.struct(x.alias("part"), near(i).alias("before"), F.reverse(later(i)).alias("after")))
     gated = F.filter(F.transform("lines", part), lambda x: x.isNotNull())
     kept = F.when(whole().rlike(GATE), lines).otherwise(F.expr("CAST(array() AS array<string>)"))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), kept.alias("lines"))

@@ -99,6 +99,76 @@ def test_wrapped_notices(spark):
     assert not wrong, wrong
 
 
+def plain_families(text, model):
+    """Families of a text's lines, by the definitions and without Spark."""
+    import math
+
+    lines, out = text.split("\n"), []
+    words = lambda t: re.findall(Z.TOKEN, t.lower())
+    grams = lambda w: [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))]
+    gate, phrase = re.compile(Z.GATE), re.compile(f"(?i){Z.PHRASES}")
+    blank = lambda x: not x.strip(" \t\n\x0b\f\r")
+    for i, line in enumerate(lines):
+        later = lines[i + 1] if i + 1 < len(lines) else None
+        if not gate.search(line) and not (later is not None and phrase.search(line + "\n" + later) and not gate.search(later)):
+            continue
+        before, after = [], []
+        for x in reversed(lines[max(0, i - Z.REACH) : i]):
+            if blank(x):
+                break
+            before = words(x) + before
+        for x in lines[i + 1 : i + 1 + Z.REACH]:
+            if blank(x):
+                break
+            after += words(x)
+        found, own = [], words(line)
+        for kind, (b, a) in enumerate([(0, 0), *Z.SIDES]):
+            lead, tail = before[len(before) - b :] if b and len(before) > b else before[: len(before) if b else 0], after[:a]
+            unit, rest = set(grams([*lead, *own, *tail])), {*grams(lead), *grams(tail)}
+            z = model.bias.copy()
+            for g in unit:
+                if g in model.features:
+                    z = z + model.weights[model.features.index(g)]
+            z = z / model.heat
+            pick = int(max(range(len(z)), key=lambda k: (z[k], k)))
+            p, name = 1 / sum(math.exp(v - z[pick]) for v in z), model.classes[pick]
+            shared = 0.0
+            for t in Z.TEMPLATES.get(name, []):
+                whole = Z.pairs(t)
+                share, side = sum(g in unit for g in whole) / len(whole), sum(g in rest for g in whole) / len(whole)
+                if kind == 0 or share > side + 1e-9:
+                    shared = max(shared, share)
+            sure = name in Z.TEMPLATES and p >= model.least and shared >= Z.CONFIRM
+            rank = (3 if sure else 1) if kind == 0 else (2 if sure else 0)
+            found.append((rank, round(shared, 9), p, "none" if name == "none" else name if sure else "unknown"))
+        out.append(max(found)[3])
+    return ",".join(sorted(set(out) - {"none"}))
+
+
+def test_against_a_plain_classifier(spark, corpus):
+    model = Z.train()
+    texts = [r["text"] for r in corpus.where("text is not null").collect()]
+    texts = [t for t in texts if re.search(Z.GATE, t)][:40]
+    texts += ["\n".join(textwrap.wrap(t, w)) for w in (30, 60) for ts in Z.TEMPLATES.values() for t in ts]
+    texts += ["All rights\nreserved.", "words\n\nAll rights reserved\nby the house", "the public\ndomain", " \n"]
+    got = {r["doc_id"]: r["families"] for r in Z.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    wrong = [(t, got[k], want) for k, t in enumerate(texts) if got[k] != (want := plain_families(t, model))]
+    assert len(texts) > 100 and not wrong, wrong[:3]
+
+
+def test_no_template_is_lost_at_the_gate():
+    """Wrapped at any usual width, at least one line of every template passes."""
+    gate, lost = re.compile(Z.GATE), []
+    for c, ts in Z.TEMPLATES.items():
+        for t in ts:
+            for width in (30, 50, 72, 100):
+                lines = textwrap.wrap(t, width)
+                joined = "\n".join(lines)
+                if not any(gate.search(x) for x in lines) and not re.search(f"(?i){Z.PHRASES}", joined):
+                    lost.append((c, width, t))
+    assert not lost, lost
+
+
 def test_sql(spark):
     con, place = duckdb.connect(), "/root/testdata/sf0.001"
     for t in ("documents", "embeddings"):
