@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, shuffle_width, whole
+from .common import settle, whole
 from .pretokens import PATTERN, Splitter, TokenizerFile, byte_letters
 
 CAPACITY, END_ID = 1024, 2
-#: Ranks are dealt out over so many times the session's shuffle partitions, so that a frequent length is no hot key.
-SALTS_PER_PARTITION = 16
+#: Pieces of one length are ranked in groups of so many, or of the inverse share of all pieces if that is more: no length is a hot key, and
+#: there are no more groups than this besides one for each length.
+GROUP_ROWS, GROUPS_MOST = 256, 10_000
 
 
 def dominant(hist: np.ndarray, j: int) -> Counter | None:
@@ -202,11 +203,14 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END_ID
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     pieces = settle(rows.mapInArrow(partial(_pieces, path=path, capacity=capacity, end=end), PIECES).withColumn("uid", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    salted = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS_PER_PARTITION * shuffle_width(spark))))
-    counts = settle(salted.groupBy("length", "salt").count())
+    short = pieces.where(F.col("length") < capacity)
+    found = {r["length"]: r["count"] for r in short.groupBy("length").count().collect()}  # one row for each length
     hist = np.zeros(capacity + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():  # one row for each length
-        hist[r["length"]] = r["n"]
+    hist[list(found)] = list(found.values())
+    each = max(GROUP_ROWS, int(hist.sum()) // GROUPS_MOST)
+    salts = spark.createDataFrame([(n, -(-k // each)) for n, k in found.items()], "length long, salts long")
+    salted = short.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")))
+    counts = settle(salted.groupBy("length", "salt").count())
     before = counts.select("length", "salt", (F.sum("count").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("before"))
     nth = F.row_number().over(W.partitionBy("length", "salt").orderBy("uid")) - 1
     ranked = salted.withColumn("nth", nth).join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
