@@ -13,6 +13,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters that are split into pre-tokens at a time; a text is only cut before white space that follows something else, which no
 #: pre-token spans.
 WINDOW = 1 << 20
+#: Symbols whose pairs are looked up at a time.
+BLOCK = 1 << 20
 #: Texts are handled together up to so many characters; known pre-tokens are forgotten beyond so many.
 GROUP_CHARS, KNOWN_MOST = 1 << 22, 600_000
 
@@ -77,18 +79,23 @@ class Merger:
     lowest-ranked pair wherever it stands, all sequences at once. Sequences without a pair are done."""
 
     def __init__(self, file: TokenizerFile):
-        self.first = np.array([file.vocab[c] for c in byte_letters()], np.int64)
+        self.first = np.array([file.vocab[c] for c in byte_letters()], np.int32)
         self.width = max(file.vocab.values()) + 1
         keys = np.array([file.vocab[a] * self.width + file.vocab[b] for a, b in file.merges], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order
-        self.made = np.array([file.vocab[a + b] for a, b in file.merges], np.int64)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.made = np.array([file.vocab[a + b] for a, b in file.merges], np.int32)
         self.none = len(keys)
 
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), self.none - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], self.none)
+    def _rank(self, sym: np.ndarray) -> np.ndarray:
+        """The rank of each symbol with the next; a block at a time, for long runs."""
+        rank = np.full(len(sym), self.none, np.int32)
+        for a in range(0, len(sym) - 1, BLOCK):
+            left, right = sym[a : a + BLOCK], sym[a + 1 : a + 1 + BLOCK]
+            key = left[: len(right)].astype(np.int64) * self.width + right
+            at = np.minimum(np.searchsorted(self.keys, key), self.none - 1)
+            rank[a : a + len(key)] = np.where(self.keys[at] == key, self.ranks[at], self.none)
+        return rank
 
     def counts(self, pretokens: list[bytes]) -> np.ndarray:
         """How many symbols of each pre-token survive."""
@@ -101,15 +108,15 @@ class Merger:
         size = sizes[live]
         while len(live):
             ends = np.cumsum(size)
-            rank = np.full(len(sym), self.none, np.int64)
-            rank[:-1] = self._rank(sym[:-1], sym[1:])
+            rank = self._rank(sym)
             rank[ends - 1] = self.none  # a sequence's last symbol starts no pair
             least = np.minimum.reduceat(rank, ends - size)
             hit = (rank < self.none) & (rank == np.repeat(least, size))
             # in a run such as a a a, pairs overlap: every other one counts, from the left
-            place = np.arange(len(sym))
+            place = np.arange(len(sym), dtype=np.int32 if len(sym) < 1 << 31 else np.int64)
             begin = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], place, -1))
-            hit &= (place - begin) % 2 == 0
+            hit &= (place - begin) & 1 == 0
+            del place, begin
             at = np.flatnonzero(hit)
             sym[at] = self.made[rank[at]]
             keep = np.ones(len(sym), bool)
