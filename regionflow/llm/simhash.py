@@ -149,7 +149,8 @@ def _finer(crowded: DataFrame, width: int) -> DataFrame:
 def link_prints(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(node, component) of distinct fingerprints that have links; ``prints`` has print."""
     width = 3 if prints.count() <= WIDE_FROM else 4
-    posted = prints.select(F.col("print").alias("node"), _posted_under(F.col("print"), sets_of_positions(width)).alias("key"))
+    dealt = prints.repartition(shuffle_width(prints.sparkSession))  # fingerprints are few bytes in few partitions, postings many
+    posted = dealt.select(F.col("print").alias("node"), _posted_under(F.col("print"), sets_of_positions(width)).alias("key"))
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1").select("key", "head")
     met = settle(posted.join(lists, "key"))
     stars = met.where((F.col("node") != F.col("head")) & _linked(F.col("node"), F.col("head"))).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()

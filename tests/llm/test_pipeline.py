@@ -47,6 +47,16 @@ def test_run(spark):
     assert got == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for k, t in want.items()}
 
 
+def test_stages_leave_other_columns_alone(spark, docs):
+    """Whatever they are called, columns of a row that stays are as they were."""
+    others = [c for c in docs.columns if c != "text"]
+    before = {tuple(r[c] for c in others) for r in docs.collect()}
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, PLACE)
+        kept = [tuple(r[c] for c in others) for r in out.collect()]
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes and kept and set(kept) <= before
+
+
 def test_stages_keep_the_columns_and_odd_rows(spark, docs, nothing):
     for source in (docs, nothing):
         df = source
