@@ -25,7 +25,7 @@ DIMENSIONS, WINDOW, TRIGRAMS, TEXTS = 4096, 1 << 20, 1024, 256
 #: Learned rows at most, taken by the smallest hash of doc_id; and the seed of letter vectors.
 LEARN_MOST, SEED = 12_000, 20240229
 #: The pipeline rejects texts whose best cosine is lower.
-REJECT_BELOW = 0.1
+REJECT_BELOW = 0.04
 NONE = "und"
 #: Bits of a code point.
 BITS = 21
