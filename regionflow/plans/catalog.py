@@ -44,7 +44,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import pixel_queries
 
-    return _SQL | {name: X.sql(body.replace("WITH ", ", ", 1) if body.startswith("WITH ") else body) for name, body in pixel_queries.oracle_sql(s_tiles).items()}
+    return _SQL | {name: X.sql(body.replace("WITH ", ", ", 1) if body.startswith("WITH ") else body) for name, body in pixel_queries.oracle_sql(s_tiles, _COVER).items()}
 
 
 # SQL of expressions that several queries share

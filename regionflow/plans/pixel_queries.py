@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import drawn
-from ..operators import detectors, pixels, tracker
+from ..functions.geometry import Box, cabin_corners
+from ..operators import boxes, detectors, pixels, tracker, tracks
 from ..operators.detectors import BrightDetector, FixedDetector
 from ..params import BARE, Params
 from ..schema import FRAMES
+from ..sources import clips
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +157,8 @@ S_BLUR = f"""WITH taps AS (SELECT i + j AS t, count(*) AS n FROM range(-{_RADIUS
 #: Stills are a tenth of the tables' sizes, as are their tiles.
 TENTH, TILE_PX = 10, 128
 FACE_AT, PLATE_AT, TOO_LARGE = (1, 2, 6, 6), (0, 0, 12, 4), (0, 0, 90, 60)
+#: Vehicles and people at these places, the least share of a frame's height they have, and the share of it below which vehicles don't count.
+VEHICLES_AT, TALL, STRIP = ((3, 4, 20, 12), (8, 60, 30, 40), (5, 120, 9, 30)), 0.2, 0.3
 
 
 def _blank(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,24 +168,133 @@ def _blank(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def detect_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stills of many sizes through the detectors' protocol, in tiles, with the gate on large plates."""
+    """Stills of many sizes through the detectors' protocol: faces and plates in tiles, vehicles and people whole, each with its gates."""
     sizes = X.sizes(spark, sf_dir).select((F.col("width") / TENTH).cast("int").alias("width"), (F.col("height") / TENTH).cast("int").alias("height")).distinct()
     found = {"face": FixedDetector(((FACE_AT, 0.9), (FACE_AT, 0.3))), "plate": FixedDetector(((PLATE_AT, 0.5), (TOO_LARGE, 0.8)))}
-    return detectors.detect(sizes.mapInPandas(_blank, FRAMES), found, Params.of(tile_px=TILE_PX))
+    found |= {"vehicle": FixedDetector(tuple((b, 0.7) for b in VEHICLES_AT)), "person": FixedDetector(tuple((b, 0.5) for b in VEHICLES_AT))}
+    gates = {"vehicle_min_height_frac": TALL, "vehicle_ignore_bottom_frac": STRIP, "person_min_height_frac": TALL}
+    return detectors.detect(sizes.mapInPandas(_blank, FRAMES), found, Params.of(tile_px=TILE_PX, **gates))
 
 
 def s_detect_image(tiles: str) -> str:
     size = f"(SELECT DISTINCT width // {TENTH} AS width, height // {TENTH} AS height FROM sizes)"
     box = lambda cls, b, rule: f"SELECT width || 'x' || height AS clip_id, 0 AS frame_idx, '{cls}' AS cls, CAST(tile_ord AS INTEGER) AS det_ord, CAST(x0 + {b[0]} AS INTEGER) AS x, CAST(y0 + {b[1]} AS INTEGER) AS y, {b[2]} AS w, {b[3]} AS h FROM t WHERE {rule}"
     gate = f"{PLATE_AT[2] * PLATE_AT[3]} <= 0.01::DOUBLE * height * width"
-    return f"WITH t AS ({tiles.replace('FROM sizes', f'FROM {size}')}) {box('face', FACE_AT, 'true')} UNION ALL {box('plate', PLATE_AT, gate)}"
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, {b[0]} AS x, {b[1]} AS y, {b[2]} AS w, {b[3]} AS h" for k, b in enumerate(VEHICLES_AT))
+    whole = lambda cls, low: f"SELECT width || 'x' || height AS clip_id, 0 AS frame_idx, '{cls}' AS cls, CAST(row_number() OVER (PARTITION BY width, height ORDER BY k) - 1 AS INTEGER) AS det_ord, x, y, w, h FROM {size}, ({rows}) WHERE h >= {TALL}::DOUBLE * height AND y <= {low}"
+    people = [whole("vehicle", f"(1 - {STRIP}::DOUBLE) * height"), whole("person", "height")]
+    return f"WITH t AS ({tiles.replace('FROM sizes', f'FROM {size}')}) {' UNION ALL '.join([box('face', FACE_AT, 'true'), box('plate', PLATE_AT, gate), *people])}"
+
+
+# reading, shrinking, coasting, and the coverage of painted masks
+#: Clips of even gray frames, one for each nation: frames, and a frame's size.
+EVEN_LENGTH, EVEN_WIDTH, EVEN_HEIGHT = 5, 32, 18
+
+
+def _files(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every other clip as YUV4MPEG with colour, the rest as arrays."""
+    import io
+
+    for p in parts:
+        rows = []
+        for key in p["n_nationkey"]:
+            images, out = [np.full((EVEN_HEIGHT, EVEN_WIDTH), (7 * key + k) % 200 + 16, np.uint8) for k in range(EVEN_LENGTH)], io.BytesIO()
+            if key % 2:
+                neutral = np.full(2 * EVEN_WIDTH * EVEN_HEIGHT // 4, 128, np.uint8).tobytes()
+                out.write(f"YUV4MPEG2 W{EVEN_WIDTH} H{EVEN_HEIGHT} F4:1 C420jpeg\n".encode() + b"".join(b"FRAME\n" + i.tobytes() + neutral for i in images))
+            else:
+                np.save(out, np.stack(images))
+            rows.append((f"store://clips/{key}.{'y4m' if key % 2 else 'npy'}", out.getvalue()))
+        yield pd.DataFrame(rows, columns=["path", "content"])
+
+
+def _even(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        values = [np.unique(np.frombuffer(x, np.uint8)) for x in p["pixels"]]
+        yield p.drop(columns="pixels").assign(value=[int(v[0]) if len(v) == 1 else -1 for v in values])
+
+
+def clip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips decoded to frames: their order, times, sizes and the one value that all of a frame's bytes have."""
+    files = X.table(spark, sf_dir, "nation").select("n_nationkey").mapInPandas(_files, "path string, content binary")
+    return clips.decoded(files).mapInPandas(_even, "clip_id string, frame_idx int, ts double, width int, height int, channels int, value int")
+
+
+_EVEN_VALUE = "((7 * n_nationkey + k) % 200 + 16)"
+S_SCAN = f"""SELECT CAST(n_nationkey AS VARCHAR) AS clip_id, CAST(k AS INTEGER) AS frame_idx, CASE WHEN n_nationkey % 2 = 1 THEN k / 4.0::DOUBLE ELSE k::DOUBLE END AS ts, {EVEN_WIDTH} AS width, {EVEN_HEIGHT} AS height,
+  CASE WHEN n_nationkey % 2 = 1 THEN 3 ELSE 1 END AS channels, CAST(CASE WHEN n_nationkey % 2 = 1 THEN least(255, greatest(0, round_even(1.164383::DOUBLE * ({_EVEN_VALUE} - 16), 0))) ELSE {_EVEN_VALUE} END AS INTEGER) AS value
+  FROM nation, range(0, {EVEN_LENGTH}) f(k)"""
+
+
+def _stripes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split(" ")[0] for c in FRAMES.split(", ")]
+    for p in parts:
+        across, down = np.arange(EDGE_WIDTH), np.arange(EDGE_HEIGHT)[:, None]
+        yield pd.DataFrame([(str(k), 0, 0.0, EDGE_WIDTH, EDGE_HEIGHT, 1, ((across * 3 + down * 5 + k) % 251).astype(np.uint8).tobytes()) for k in p["s_suppkey"]], columns=names)
+
+
+def _weighed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        images = [np.frombuffer(x, np.uint8).astype(np.int64) for x in p["small"]]
+        yield pd.DataFrame({"clip_id": p["clip_id"], "total": [int(i.sum()) for i in images], "weighed": [int(i @ np.arange(len(i))) for i in images]})
+
+
+def small_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker's small images, half as wide and high: the sum of their pixels, and the sum weighed by place."""
+    frames = X.table(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(_stripes, FRAMES)
+    return tracker.shrunk(frames, BARE).mapInPandas(_weighed, "clip_id string, total long, weighed long")
+
+
+_AT = lambda dx, dy: f"((2 * x + {dx}) * 3 + (2 * y + {dy}) * 5 + s_suppkey) % 251"
+S_SMALL = f"""SELECT CAST(s_suppkey AS VARCHAR) AS clip_id, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (y * {EDGE_WIDTH // 2} + x)) AS BIGINT) AS weighed FROM (
+  SELECT s_suppkey, x, y, round_even(({_AT(0, 0)} + {_AT(1, 0)} + {_AT(0, 1)} + {_AT(1, 1)}) / 4.0::DOUBLE, 0) AS v FROM supplier, range(0, {EDGE_WIDTH // 2}) a(x), range(0, {EDGE_HEIGHT // 2}) b(y)) GROUP BY s_suppkey"""
+
+#: Frames before the patch goes, how long faces coast, and how long anything may live without a detection.
+SEEN, COASTING, HORIZON = 4, 5, 9
+
+
+def _gone(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in _draw(parts):
+        blank = np.full((HEIGHT, WIDTH), 50, np.uint8).tobytes()
+        yield p.assign(pixels=[x if k < SEEN else blank for x, k in zip(p["pixels"], p["frame_idx"], strict=True)])
+
+
+def coast_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A face and a plate on a patch that goes out of sight: the plate's track ends there, the face coasts on as long as it may."""
+    p = Params.of(BARE, track_max_horizon_frames=3, track_face_coast_frames=COASTING)
+    seen = _detections(spark, sf_dir).where("frame_idx = 0")
+    both = seen.unionByName(seen.withColumn("cls", F.lit("face")))
+    rows = tracker.track_clips(_places(spark, sf_dir).mapInPandas(_gone, FRAMES), both, p)
+    return rows.groupBy("clip_id", "cls").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count(F.lit(1)).alias("n"))
+
+
+S_COAST = f"""SELECT CAST(n_nationkey AS VARCHAR) AS clip_id, cls, 0 AS first_frame, last_frame, last_frame + 1 AS n FROM nation, (SELECT 'face' AS cls, {COASTING} AS last_frame UNION ALL SELECT 'plate', {SEEN - 1})"""
+
+
+def verify_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coverage of vehicle cabins by painted masks, pixel by pixel; ``cabin_coverage`` works the same out from boxes."""
+    d = X.det(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string"))
+    vehicles = boxes.corroborated(d.where("cls = 'vehicle'"), d.where("cls = 'plate'"))
+    corners = cabin_corners(Box.of(), 0.6, X.WIDTH, X.HEIGHT)
+    cabins = vehicles.select("clip_id", "frame_idx", "det_id", *"xywh", *[c.cast("int").alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)])
+    looked = cabins.select("clip_id", "frame_idx").distinct().withColumns({"width": F.lit(X.WIDTH), "height": F.lit(X.HEIGHT)})
+    masked = tracks.timeline(d.where("cls <> 'vehicle'").withColumn("ord", F.col("det_id")), 40, X.WIDTH, X.HEIGHT)
+    return pixels.measured(cabins, pixels.render_masks(looked, masked, 0)).select("clip_id", "frame_idx", "det_id", "coverage")
+
+
+def s_verify(cover: str) -> str:
+    return f"SELECT CAST(clip_id AS VARCHAR) AS clip_id, frame_idx, det_id, coverage FROM ({cover})"
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (track_clip, render_mask, blur_composite, detect_image, detect_track, track_stream)}
+    found = (track_clip, render_mask, blur_composite, detect_image, detect_track, track_stream, clip_scan, small_gray, coast_clip, verify_masks)
+    return {f.__name__: f for f in found}
 
 
-def oracle_sql(tiles: Callable[[int], str]) -> dict[str, str]:
-    """SQL over the derived relations; ``tiles`` gives that of a grid."""
+def oracle_sql(tiles: Callable[[int], str], cover: str) -> dict[str, str]:
+    """SQL over the derived relations; ``tiles`` gives that of a grid, ``cover`` that of cabins' coverage."""
     looked = round(FPS / Params().sample_fps)
-    return {"track_clip": s_followed(EVERY), "track_stream": s_followed(EVERY), "detect_track": s_followed(looked), "render_mask": S_RENDER, "blur_composite": S_BLUR, "detect_image": s_detect_image(tiles(TILE_PX))}
+    return {
+        "track_clip": s_followed(EVERY), "track_stream": s_followed(EVERY), "detect_track": s_followed(looked), "render_mask": S_RENDER, "blur_composite": S_BLUR,
+        "detect_image": s_detect_image(tiles(TILE_PX)), "clip_scan": S_SCAN, "small_gray": S_SMALL, "coast_clip": S_COAST, "verify_masks": s_verify(cover),
+    }

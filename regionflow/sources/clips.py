@@ -279,8 +279,12 @@ def _frames_of(parts: Iterator[pd.DataFrame], fps: float, every: int) -> Iterato
 def load(spark: SparkSession, paths: str | Sequence[str], fps: float = 0.0, every: int = 1) -> DataFrame:
     """Frames of clips in any store that Spark reads (a folder, a pattern or paths). A clip is one task and is read whole: for long clips
     prefer the data source on a shared disk, or frames kept as a table."""
-    files = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths)).select("path", "content")
-    return files.mapInPandas(partial(_frames_of, fps=fps, every=every), FRAMES)
+    return decoded(spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths)), fps, every)
+
+
+def decoded(files: DataFrame, fps: float = 0.0, every: int = 1) -> DataFrame:
+    """Frames of clips that are rows themselves: path, whose ending tells the format, and content."""
+    return files.select("path", "content").mapInPandas(partial(_frames_of, fps=fps, every=every), FRAMES)
 
 
 # sinks
