@@ -109,6 +109,28 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+class Sparse:
+    """A matrix of zeros and ones, by the columns of each row's ones."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.width, self.columns = width, np.concatenate(rows)
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.height, order = len(rows), np.argsort(self.columns, kind="stable")
+        self.by_column, self.row_by_column = self.columns[order], self.row[order]
+
+    def _summed(self, values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+        """Sums of rows with equal keys; keys are sorted."""
+        out, first = np.zeros((n, values.shape[1])), np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        out[key[first]] = np.add.reduceat(values, first)
+        return out
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return self._summed(w[self.columns], self.row, self.height)
+
+    def transposed_times(self, e: np.ndarray) -> np.ndarray:
+        return self._summed(e[self.row_by_column], self.by_column, self.width)
+
+
 @lru_cache(maxsize=1)
 def train() -> Model:
     rng = np.random.default_rng(SEED)
@@ -118,18 +140,16 @@ def train() -> Model:
     known = {g for _, t in texts for g in grams(t)}
     features = tuple(sorted(known))
     place = {g: k for k, g in enumerate(features)}
-    x = np.zeros((len(sample), len(features)))
-    for i, (_, t) in enumerate(sample):
-        x[i, [place[g] for g in grams(t) if g in place]] = 1
+    rows = [np.array(sorted(place[g] for g in grams(t) if g in place), np.int64) for _, t in sample]
     y = np.eye(len(classes))[[classes.index(c) for c, _ in sample]]
     fit = rng.random(len(sample)) < 0.75
     w, b = np.zeros((len(features), len(classes))), np.zeros(len(classes))
-    learned, wanted = x[fit], y[fit]
+    learned, wanted = Sparse([r for r, f in zip(rows, fit, strict=True) if f], len(features)), y[fit]
     for _ in range(400):
-        e = (_softmax(learned @ w + b) - wanted) / len(wanted)
-        w -= 4.0 * (learned.T @ e + 1e-5 * w)
+        e = (_softmax(learned.times(w) + b) - wanted) / len(wanted)
+        w -= 4.0 * (learned.transposed_times(e) + 1e-5 * w)
         b -= 4.0 * e.sum(0)
-    z, t = x[~fit] @ w + b, y[~fit]
+    z, t = Sparse([r for r, f in zip(rows, fit, strict=True) if not f], len(features)).times(w) + b, y[~fit]
     heat = min(np.geomspace(0.25, 4, 33), key=lambda h: -np.log((_softmax(z / h) * t).sum(1).clip(1e-12)).mean())
     p = _softmax(z / heat)
     wrong = np.sort(p[(p.argmax(1) != t.argmax(1)) & (p.argmax(1) < len(classes) - 2)].max(1, initial=0))
