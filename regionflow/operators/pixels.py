@@ -151,15 +151,23 @@ def blur_frames(frames: DataFrame, masks: DataFrame, strength: int = 12, base: i
     return joined.mapInPandas(partial(_blur, strength=strength, base=base), frames.schema)
 
 
+CABIN = ("det_id", "x", "y", "w", "h", "x1", "y1", "x2", "y2")
+
+
 def _cover(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
-        share = [covered(np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width), r.x1, r.y1, r.x2, r.y2) for r in p.itertuples()]
-        yield p[["clip_id", "frame_idx", "det_id", "x", "y", "w", "h"]].assign(coverage=share)
+        rows = []
+        for r in p.itertuples():
+            mask = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width)
+            rows += [(r.clip_id, r.frame_idx, *(c[k] for k in CABIN[:5]), covered(mask, *(c[k] for k in CABIN[5:]))) for c in r.cabins]
+        yield pd.DataFrame(rows, columns=["clip_id", "frame_idx", *CABIN[:5], "coverage"])
 
 
 def measured(cabins: DataFrame, masks: DataFrame) -> DataFrame:
-    """Coverage of cabins (x1, y1, x2, y2) of vehicles (clip_id, frame_idx, det_id and a box) by painted masks."""
-    joined = cabins.join(masks, ["clip_id", "frame_idx"])
+    """Coverage of cabins (x1, y1, x2, y2) of vehicles (clip_id, frame_idx, det_id and a box) by painted masks. A frame's cabins are put
+    together first, so that its mask moves once."""
+    lists = cabins.groupBy("clip_id", "frame_idx").agg(F.collect_list(F.struct(*CABIN)).alias("cabins"))
+    joined = masks.join(lists, ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", "width", "height", "mask", "cabins")
     return joined.mapInPandas(_cover, "clip_id string, frame_idx int, det_id long, x int, y int, w int, h int, coverage double")
 
 
