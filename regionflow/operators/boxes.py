@@ -55,9 +55,12 @@ def sampled(frame_idx: Column, every: int) -> Column:
 
 def boost_run(frames: DataFrame, trigger: Column, max_run: int) -> DataFrame:
     """For each frame how many more are to be looked at because of a trigger: falls by one a frame, starts anew at each trigger.
-    Needs one row per frame."""
-    seen = F.last(F.when(trigger, F.col("frame_idx")), ignorenulls=True).over(W.partitionBy("clip_id").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0))
-    return frames.withColumn("run", F.coalesce(F.greatest(F.lit(0), F.lit(max_run) - (F.col("frame_idx") - seen)), F.lit(0)).cast("int"))
+    Needs one row per frame. A trigger reaches ``max_run`` frames, so each marks those itself, and a long clip is many tasks."""
+    if max_run <= 0:
+        return frames.withColumn("run", F.lit(0))
+    marked = frames.where(trigger).select("clip_id", "frame_idx", F.explode(F.sequence(F.lit(0), F.lit(max_run - 1))).alias("k"))
+    runs = marked.groupBy("clip_id", (F.col("frame_idx") + F.col("k")).cast("int").alias("frame_idx")).agg(F.max(max_run - F.col("k")).alias("run"))
+    return frames.join(runs, ["clip_id", "frame_idx"], "left").select(*frames.columns, F.coalesce("run", F.lit(0)).cast("int").alias("run"))
 
 
 def samples(frames: DataFrame, fps: float, sample_fps: float) -> DataFrame:
@@ -67,7 +70,8 @@ def samples(frames: DataFrame, fps: float, sample_fps: float) -> DataFrame:
 # greedy folds
 def greedy(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], most: float, extra: Sequence[str] = ()) -> DataFrame:
     """Within each group, boxes in order; a box is kept unless it overlaps a kept one by more than ``most``. A box that only a dropped
-    box overlaps stays, so this is a fold and no anti join. Groups are single frames, so their lists are short."""
+    box overlaps stays, so this is a fold and no anti join. Groups are single frames, and each of a frame's boxes is compared with those kept:
+    thresholds and gates come first, which leave tens of a model's thousands of raw anchors."""
     ranked = F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], *[F.col(c) for c in "xywh"], *[F.col(c) for c in extra])))
     lists = rows.groupBy(*groups).agg(ranked.alias("all"))
     kind = lists.schema["all"].dataType.simpleString()
