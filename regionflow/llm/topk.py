@@ -23,7 +23,7 @@ from .common import settle
 SCALE, K, EVERY = 1024, 10, 100
 #: Rows of a block, of a share of the queries, of the pilot, and queries handled at a time. Queries move once for each block and candidates
 #: once for each share.
-BLOCK_ROWS, SHARE_ROWS, PILOT_ROWS, QUERIES_AT_ONCE = 32_768, 32_768, 4096, 128
+BLOCK_ROWS, SHARE_ROWS, PILOT_ROWS, QUERIES_AT_ONCE = 32_768, 131_072, 4096, 128
 #: Buckets that are looked up by broadcast; more are joined by a shuffle.
 LOOKED_UP_MOST = 100_000
 #: Lengths of a bucket differ by this factor at most; local cosines from which coordinates are pruned, and how many are.

@@ -141,6 +141,23 @@ def test_similar_documents(spark, docs, nothing):
     assert H.similar_documents(nothing).count() == 0 and H.similar_documents(docs).count() == docs.count()
 
 
+def test_a_large_group_does_not_emit_its_pairs(spark, monkeypatch):
+    """Copies of one text with few to many changes, most too far from each other: links are all found, and few pairs are verified."""
+    rng, verified = random.Random(10), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(220)], {}
+    for k in range(240):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5, 8, 8, 10, 10, 12, 12])):
+            copy[rng.randrange(220)] = word()
+        texts[k] = " ".join(copy)
+    whole = H.resembling
+    monkeypatch.setattr(H, "resembling", lambda pairs, *more: verified.append(pairs.count()) or whole(pairs, *more))
+    got = {r["doc_id"]: r["component_id"] for r in H.similar_documents(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    assert got == alike(texts)
+    assert sum(verified) < 8 * len(texts) < len(texts) ** 2 / 20, verified
+
+
 def test_no_similar_pair_is_lost(spark):
     """Pairs a little over the least resemblance, each of texts of their own with one line that all have."""
     rng = random.Random(11)
