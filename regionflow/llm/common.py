@@ -36,6 +36,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 FILES_PER_CORE, FILE_BYTES = 8, 64 << 20
 
 
+def in_few_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most so many partitions that each core has several, or that each reads ``FILE_BYTES``: what is written is no crowd of small files."""
+    read = sum(int(str(leaf.stats().sizeInBytes())) for leaf in _files(df))
+    return df.coalesce(max(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, read // FILE_BYTES))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that the session names, so that a lost executor costs no recomputation of long
     texts. A folder of our own is set only where the session names none and all tasks run in the driver's process. Many small partitions are written as fewer files."""
@@ -50,8 +56,7 @@ def settle(df: DataFrame) -> DataFrame:
     before = conf.get(name)
     conf.set(name, "false")
     try:
-        read = sum(int(str(leaf.stats().sizeInBytes())) for leaf in _files(df))
-        return df.coalesce(max(FILES_PER_CORE * context.defaultParallelism, read // FILE_BYTES)).checkpoint()
+        return in_few_files(df).checkpoint()
     finally:
         conf.set(name, before)
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, language, licenses, packing, pieces, secrets, simhash, token_counts, topk, toxicity
-from .common import read
+from .common import in_few_files, read
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -57,7 +58,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten operators' queries; that of the pipeline is in corpus_pipeline."""
     ops = (op1_exact_dedup, op2_secret_scan, op3_token_counts, op4_license_scan, op5_language_id, op6_simhash, op7_packing, op8_sentencepiece, op9_toxicity, op10_top_k)
-    return {f.__name__: f for f in ops}
+    return {f.__name__: partial(_written, f) for f in ops}
+
+
+def _written(query: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's result in few files, should it be written."""
+    return in_few_files(query(spark, sf_dir))
 
 
 OP1 = r"""

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOOKED_UP_MOST, settle, shuffle_width, unused, whole
+from .common import LOOKED_UP_MOST, join_groups, settle, shuffle_width, unused, whole
 from .components import components
 
 #: Words of a shingle, differing bits of a link, and the seed of the shingles' XXH64.
@@ -49,7 +49,7 @@ NODE_BITS, LIKE_CENTRAL = 53, 16
 MEETINGS = 3
 #: Shingles that are counted together, and the count from which and the number up to which common ones are ordered by their counts.
 #: They decide how long lists get, not what is found.
-COUNTED, COMMON_FROM, COMMON_MOST = 1 << 22, 3, 200_000
+COUNTED, COMMON_FROM, COMMON_MOST = 1 << 21, 3, 200_000
 #: Documents that are compared with one in a task, turns of comparing members with the head of their list, and pairs for each posting
 #: that may be left for all pairs to be compared after fewer turns.
 SHARE_ROWS, STAR_TURNS, PAIRS_EACH = 256, 3, 1
@@ -352,17 +352,19 @@ def similar_rows(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
     """doc_id, print (of the set of shingles) and component_id of every row, as ``similar_documents`` links them."""
     rows = settle(prefixes(docs, words).withColumn("uid", F.monotonically_increasing_id()))
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("least")
-    nodes = rows.groupBy("print").agg(F.min("uid").alias("node"), least).select("print", "node", F.col("least.doc_id").alias("least_id"), F.col("least.mark").alias("mark"))
-    nodes = settle(nodes)
+    nodes = rows.groupBy("print").agg(F.min("uid").alias("node"), least, F.count(F.lit(1)).alias("n"))
+    nodes = settle(nodes.select("print", "node", "n", F.col("least.doc_id").alias("least_id"), F.col("least.mark").alias("mark")))
     reps = rows.withColumnRenamed("uid", "node")
-    copies = rows.select("print", "uid").join(nodes.select("print", "node"), "print").where("uid <> node").select(F.col("uid").alias("node"))
+    several = nodes.where("n > 1").select("print", "node", "n")
+    copies = join_groups(rows.select("print", "uid"), several, "print", "n").where("uid <> node").select(F.col("uid").alias("node"))
     n = copies.count()
     if n:
         reps = reps.join(F.broadcast(copies), "node", "left_anti") if n <= LOOKED_UP_MOST else reps.join(nodes.select("node"), "node", "left_semi")
     part = link_similar(reps.select("node", "size", "first"), nodes.select("node", "least_id", "mark"), docs, words)
-    named = nodes.join(part, "node", "left").select("print", "least_id", F.coalesce("component", "node").alias("part"))
+    named = nodes.join(part, "node", "left").select("print", "n", "least_id", F.coalesce("component", "node").alias("part"))
     ids = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
-    return rows.select("doc_id", "print").join(named.join(ids, "part").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+    named = settle(named.join(ids, "part").select("print", "n", "component_id"))
+    return join_groups(rows.select("doc_id", "print"), named, "print", "n").select("doc_id", "print", "component_id")
 
 
 def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
@@ -379,12 +381,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     an empty table gives an empty result; further columns are ignored.
     """
     rows = settle(fingerprints(docs, words))
-    prints = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")))
+    prints = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
     part = link_prints(prints.select("print")).withColumnRenamed("node", "print")
-    named = prints.join(part, "print", "left").select("print", "least_id", F.coalesce("component", "print").alias("part"))
+    named = prints.join(part, "print", "left").select("print", "n", "least_id", F.coalesce("component", "print").alias("part"))
     ids = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
-    named = named.select("print", "part").join(ids, "part").select("print", "component_id")
-    return rows.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    named = settle(named.select("print", "n", "part").join(ids, "part").select("print", "n", "component_id"))
+    return join_groups(rows, named, "print", "n").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
