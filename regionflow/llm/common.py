@@ -33,7 +33,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: A settled table has at most so many files for each core, unless they would grow beyond so many bytes of input.
-FILES_PER_CORE, FILE_BYTES = 8, 64 << 20
+FILES_PER_CORE, FILE_BYTES = 4, 64 << 20
 
 
 def in_few_files(df: DataFrame) -> DataFrame:
@@ -61,6 +61,12 @@ def settle(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver look for tables that nothing refers to any more, so that Spark's cleaner removes their shuffles and checkpoints now and not
+    at the next chance: a job of many steps else holds the files of all of them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows that are looked up by broadcast at most, where they are short; more are joined by a shuffle.
 LOOKED_UP_MOST = 500_000
 #: Groups that each hold more than the inverse share of all rows. There are fewer of them than this, or their rows would be more than all.

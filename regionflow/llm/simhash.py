@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOOKED_UP_MOST, join_groups, settle, shuffle_width, unused, whole
+from .common import LOOKED_UP_MOST, join_groups, release, settle, shuffle_width, unused, whole
 from .components import components
 
 #: Words of a shingle, differing bits of a link, and the seed of the shingles' XXH64.
@@ -153,6 +153,7 @@ def link_prints(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     posted = dealt.select(F.col("print").alias("node"), _posted_under(F.col("print"), sets_of_positions(width)).alias("key"))
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1").select("key", "head")
     met = settle(posted.join(lists, "key"))
+    release(prints.sparkSession)
     stars = met.where((F.col("node") != F.col("head")) & _linked(F.col("node"), F.col("head"))).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     stars = settle(stars)
     first = settle(components(stars))
@@ -324,6 +325,7 @@ def link_similar(reps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
     rows = reps.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", place.alias("place"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     met = settle(rows.join(shared, "key"))
+    release(docs.sparkSession)
     postings, links, part = met.count(), None, None
     member = met.withColumn("part", F.col("node"))
     for turn in range(STAR_TURNS):
@@ -332,8 +334,10 @@ def link_similar(reps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
             break
         links = found if links is None else links.unionByName(found)
         part = settle(components(links))
-        member = met.join(part, "node", "left").select("key", "node", "place", F.coalesce("component", "node").alias("part"))
+        # lists of one component alone stay so
+        member = member.drop("part").join(part, "node", "left").select("key", "node", "place", F.coalesce("component", "node").alias("part"))
         mixed = _mixed(member)
+        release(docs.sparkSession)
         early = mixed.where(_possible("place", "place")).groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("part") != F.col("main")).cast("long")).alias("small"))
         if (early.agg(F.sum(F.col("all") * F.col("small"))).first()[0] or 0) <= PAIRS_EACH * postings:
             break
@@ -343,6 +347,7 @@ def link_similar(reps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
     pair = (F.greatest("node_a", "node").alias("u"), F.least("node_a", "node").alias("v"))
     crossing = tallied(crossing.select(*pair, _size("place_a").alias("size_u"), _size("place").alias("size_v")))
     crossing = settle(resembling(crossing.select("u", "v"), nodes, docs, words))
+    release(docs.sparkSession)
     if not crossing.isEmpty():
         return components(crossing if links is None else links.unionByName(crossing))
     return part if part is not None else crossing.select(F.col("u").alias("node"), F.col("v").alias("component"))
