@@ -373,3 +373,52 @@ def test_other_formats_go_through_an_encoder(spark, tmp_path, monkeypatch):
     assert n == 2 and said.endswith(bytes(72)) and all(w in said for w in (b"'20'", b"'fast'", b"'-movflags'", b"'1:a?'", b"'copy'", b"'libx264'"))
     clips.write_clip(tmp_path / "m.mkv", frames[..., 0], clips.Clip(0.0, 2, 4, 3, 1))
     assert b"ffv1" in (tmp_path / "m.mkv").read_bytes()
+
+
+def test_idle_clips_end_by_a_timer():
+    """The processor by itself: a frame waits for a missing one, the timer takes it in and ends the clip."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+    from regionflow.operators.tracker import smaller
+    from regionflow.streaming import tracker as S
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+        def listTimers(self):
+            return iter([(t,) for t in self.timers])
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    handle, p = Handle(), S.TrackProcessor(idle_ms=500)
+    p.init(handle)
+    images = drawn.clip(3, 20, 0, 30, width=120, height=90)
+    rows = [("c", k, 120, 90, smaller(images[k], BARE.track_downscale).tobytes(), ["plate"], [[20, 30, 48, 48]], False) for k in (0, 2)]
+    part = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in S.SMALL.split(", ")])
+    times = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 1000)
+    assert not len(pd.concat(p.handleInputRows(("c",), iter([part.iloc[:1]]), times))) and handle.timers == [1500]
+    times.getCurrentProcessingTimeInMs = lambda: 1200
+    assert not len(pd.concat(p.handleInputRows(("c",), iter([part.iloc[1:]]), times))) and handle.timers == [1700]  # frame 1 is missing
+    out = pd.concat(p.handleExpiredTimer(("c",), times, None))
+    assert sorted(out["frame_idx"]) == [0, 2] and set(out["late"]) == {0} and handle.held is None and handle.timers == []
