@@ -27,7 +27,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies."""
+    """Keeps the first document of each group of near copies: those that SimHash's index links, verified by their shingles, and the alike ones
+    that more bits part."""
     return in_few_files(simhash.drop_near_duplicates(small_batches(docs), SHINGLE_WORDS))
 
 

@@ -5,8 +5,9 @@ are posted under every set of three positional bytes: who shares four bytes meet
 meetings of each pair are tallied, pairs under the guaranteed four go, and the rest is verified bit by bit. Postings of single bytes would
 meet in a 256th of all pairs at every size; sets of three meet in a 2**24th. Crowded lists are posted anew under one byte more.
 
-For a similarity instead of a number of bits, texts are posted under their first shingles in an order that holds for all texts, the rarest
-first: two texts of enough resemblance share three of them, as many first ones are posted as that takes. Count filtering tallies for each pair
+For a similarity instead of a number of bits, texts are linked by this index first: fingerprints of their distinct shingles are posted, counted
+and compared bit by bit, and linked pairs are verified by all shingles. Alike texts may differ in more bits than that. Those that are left in
+different components are therefore posted under their first shingles too, in an order that holds for all texts, the rarest first: two texts of enough resemblance share three of them, as many first ones are posted as that takes. Count filtering tallies for each pair
 the postings that it shares at places where alike texts of their sizes do; pairs under the guaranteed three go, and the rest is verified by
 all shingles. Texts with the same set of shingles, however often each is repeated, are one node. No pair is lost whatever the order is; that rare
 ones come first keeps lists short.
@@ -88,6 +89,15 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """As ``fingerprint``, of a text's distinct shingles' hashes: repeats have no weight, as they have none in the resemblance."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), BLOCK):
+        h = shingles[at : at + BLOCK]
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = pa.array([fingerprint(x.as_py(), words) for x in b.column("text")], pa.int64())
@@ -146,8 +156,9 @@ def _finer(crowded: DataFrame, width: int) -> DataFrame:
     return placed.select("node", "part", F.xxhash64("key", "p", byte("p")).alias("key"))
 
 
-def link_prints(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """(node, component) of distinct fingerprints that have links; ``prints`` has print."""
+def print_links(prints: DataFrame, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (u, v) of distinct fingerprints with a head of one of their lists, the components (node, component) that these make, and the
+    links between those components; ``prints`` has print."""
     width = 3 if prints.count() <= WIDE_FROM else 4
     dealt = prints.repartition(shuffle_width(prints.sparkSession))  # fingerprints are few bytes in few partitions, postings many
     posted = dealt.select(F.col("print").alias("node"), _posted_under(F.col("print"), sets_of_positions(width)).alias("key"))
@@ -164,7 +175,12 @@ def link_prints(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     if width < POSITIONS - DISTANCE and not many.isEmpty():  # with one byte more they share enough, without being counted
         many = _mixed(_finer(many, width))
     crossing = few.unionByName(_apart(many).select(*pair).distinct()).where(_linked(F.col("u"), F.col("v"))).distinct()
-    crossing = settle(crossing)
+    return stars, first, settle(crossing)
+
+
+def link_prints(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(node, component) of distinct fingerprints that have links; ``prints`` has print."""
+    stars, first, crossing = print_links(prints, crowded)
     return first if crossing.isEmpty() else components(stars.unionByName(crossing))
 
 
@@ -221,17 +237,18 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, common: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each text's first shingles, the rarest first; ``common`` is sorted."""
     for b in batches:
-        prints, sizes, firsts = [], [], []
+        prints, bits, sizes, firsts = [], [], [], []
         for text in (x.as_py() for x in b.column("text")):
             h = shingle_hashes(text, words)
             prints.append(set_print(h))
+            bits.append(set_fingerprint(h))
             if len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 h = h[np.lexsort((h, np.where(common[at] == h, count[at], 0)))]
             sizes.append(len(h))
             firsts.append(h[: prefix_size(len(h))])
-        cols = [pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), *cols], ["doc_id", "mark", "print", "size", "first"])
+        cols = [pa.array(prints, pa.binary()), pa.array(bits, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), *cols], ["doc_id", "mark", "print", "bits", "size", "first"])
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -240,11 +257,11 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, mark, print, size (distinct shingles) and first: enough of them, in one order for all rows, that any two texts of enough
-    resemblance share one of their first."""
+    """doc_id, mark, print, bits (the fingerprint of the distinct shingles), size (their number) and first: enough of them, in one order for all
+    rows, that any two texts of enough resemblance share one of their first."""
     common, count = common_shingles(docs, words)
     found = partial(_prefixes, words=words, common=common, count=count)
-    return _marked(docs).mapInArrow(found, "doc_id long, mark long, print binary, size long, first array<long>")
+    return _marked(docs).mapInArrow(found, "doc_id long, mark long, print binary, bits long, size long, first array<long>")
 
 
 def _verified(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -280,6 +297,18 @@ def resembling(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
     return grouped.mapInArrow(partial(_verified, words=words), "u long, v long")
 
 
+def near_in_bits(reps: DataFrame) -> DataFrame:
+    """Pairs of nodes (u, v) whose fingerprints are equal or linked: each node with the first of its fingerprint, and of fingerprints each with
+    the nearest head of its lists and one in another component, if it has such links. ``reps`` has node and bits."""
+    prints = settle(reps.groupBy("bits").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+    stars, _, crossing = print_links(prints.select(F.col("bits").alias("print")))
+    nearest = lambda links: links.groupBy("u").agg(F.min(F.struct(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))), "v")).alias("best")).select("u", "best.v")
+    of = lambda end: prints.select(F.col("bits").alias(end), F.col("first").alias(f"{end}_first"))
+    linked = nearest(stars).unionByName(nearest(crossing)).join(of("u"), "u").join(of("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    equal = join_groups(reps.select("bits", "node"), prints.where("n > 1"), "bits", "n").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    return linked.unionByName(equal).distinct()
+
+
 def _size(place: str) -> Column:
     return F.shiftrightunsigned(place, 32)
 
@@ -319,15 +348,23 @@ def _starred(member: DataFrame, turn: int) -> DataFrame:
     return met.groupBy("u").agg(F.max(F.struct("tally", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
 
 
+def _placed(member: DataFrame, part: DataFrame) -> DataFrame:
+    """Members of lists with the components that they are in."""
+    return member.join(part, "node", "left").select("key", "node", "place", F.coalesce("component", "node").alias("part"))
+
+
 def link_similar(reps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, component) of nodes that have links; ``reps`` has node, size and first, ``nodes`` node, least_id and mark."""
+    """(node, component) of nodes that have links; ``reps`` has node, bits, size and first, ``nodes`` node, least_id and mark."""
+    links = settle(resembling(near_in_bits(reps.select("node", "bits")), nodes, docs, words))
+    links, part = (None, None) if links.isEmpty() else (links, settle(components(links)))
+    release(docs.sparkSession)
     place = F.shiftleft(F.col("size"), 32).bitwiseOR(F.col("at").cast("long"))
     rows = reps.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", place.alias("place"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     met = settle(rows.join(shared, "key"))
     release(docs.sparkSession)
-    postings, links, part = met.count(), None, None
-    member = met.withColumn("part", F.col("node"))
+    postings, mixed = met.count(), None
+    member = met.withColumn("part", F.col("node")) if part is None else _placed(met, part)
     for turn in range(STAR_TURNS):
         found = settle(resembling(_starred(member, turn), nodes, docs, words))
         if found.isEmpty():
@@ -335,14 +372,14 @@ def link_similar(reps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
         links = found if links is None else links.unionByName(found)
         part = settle(components(links))
         # lists of one component alone stay so
-        member = member.drop("part").join(part, "node", "left").select("key", "node", "place", F.coalesce("component", "node").alias("part"))
+        member = _placed(member.drop("part"), part)
         mixed = _mixed(member)
         release(docs.sparkSession)
         early = mixed.where(_possible("place", "place")).groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("part") != F.col("main")).cast("long")).alias("small"))
         if (early.agg(F.sum(F.col("all") * F.col("small"))).first()[0] or 0) <= PAIRS_EACH * postings:
             break
         member = mixed.drop("main", "members")
-    mixed = _mixed(member) if part is None else mixed
+    mixed = _mixed(member) if mixed is None else mixed
     crossing = _apart(mixed, "place").where(_possible("place_a", "place"))
     pair = (F.greatest("node_a", "node").alias("u"), F.least("node_a", "node").alias("v"))
     crossing = tallied(crossing.select(*pair, _size("place_a").alias("size_u"), _size("place").alias("size_v")))
@@ -365,7 +402,7 @@ def similar_rows(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
     n = copies.count()
     if n:
         reps = reps.join(F.broadcast(copies), "node", "left_anti") if n <= LOOKED_UP_MOST else reps.join(nodes.select("node"), "node", "left_semi")
-    part = link_similar(reps.select("node", "size", "first"), nodes.select("node", "least_id", "mark"), docs, words)
+    part = link_similar(reps.select("node", "bits", "size", "first"), nodes.select("node", "least_id", "mark"), docs, words)
     named = nodes.join(part, "node", "left").select("print", "n", "least_id", F.coalesce("component", "node").alias("part"))
     ids = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
     named = settle(named.join(ids, "part").select("print", "n", "component_id"))

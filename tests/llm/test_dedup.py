@@ -175,6 +175,38 @@ def test_no_similar_pair_is_lost(spark):
     assert {r["doc_id"]: r["component_id"] for r in H.similar_documents(df).collect()} == {k: k - k % 2 for k in texts}
 
 
+def test_similar_documents_are_linked_by_fingerprint_first(spark, monkeypatch):
+    """SimHash's index links alike texts by itself, with its links verified; shingles' postings find those that more bits part."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts, near, apart = {}, set(), set()
+    for k in range(0, 120, 2):
+        text = [word() for _ in range(400)]
+        copy = [*text, word()] if k % 4 else [*text[:-30], *(word() for _ in range(30))]
+        a, b = (H.set_fingerprint(H.shingle_hashes(" ".join(t), 5)) for t in (text, copy))
+        (near if ((a ^ b) & (2**64 - 1)).bit_count() <= H.DISTANCE else apart).add(k)
+        texts |= {k: " ".join(text), k + 1: " ".join(copy)}
+    line = " ".join(word() for _ in range(4))
+    few = {200: f"{line} x", 201: f"{line} y"}  # fingerprints of one shingle each: not alike
+    df = spark.createDataFrame(sorted((texts | few).items()), "doc_id long, text string")
+    linked = lambda: {r["doc_id"] for r in H.similar_documents(df).collect() if r["component_id"] != r["doc_id"]}
+    assert len(near) > 20 and len(apart) > 20
+    assert linked() == {k + 1 for k in near | apart}
+    starred, pairs = H._starred, H._apart
+    monkeypatch.setattr(H, "_starred", lambda *a: starred(*a).where("false"))
+    monkeypatch.setattr(H, "_apart", lambda m, *more: pairs(m, *more).where(H.F.lit("place" not in more)))
+    assert linked() == {k + 1 for k in near}
+    monkeypatch.setattr(H, "near_in_bits", lambda reps: reps.select(H.F.col("node").alias("u"), H.F.lit(0).cast("long").alias("v")).where("false"))
+    assert not linked()
+
+
+def test_set_fingerprints(spark):
+    for text in ("", "a", "a b c d e f", "x y z w v " * 300 + "end of it"):
+        h = H.shingle_hashes(text, 5)
+        assert H.set_fingerprint(h) & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h.view(np.uint64)) > len(h))
+    assert H.set_fingerprint(H.shingle_hashes("a b c d e f g", 5)) == H.fingerprint("A b c d e f g", 5)
+
+
 def test_repeated_lines_neither_link_nor_part(spark):
     """Texts are as alike as their distinct shingles are, however often a line is repeated."""
     own = lambda a, n: " ".join(f"w{a}x{k}" for k in range(n))
