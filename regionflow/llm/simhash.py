@@ -1,9 +1,10 @@
 """SimHash near-dedup through an inverted index on byte positions.
 
 Two 64-bit fingerprints that differ in at most four bits share at least four of their eight positional bytes. Distinct fingerprints
-are posted under every set of three positional bytes: who shares four bytes meets under four sets, who shares only three under one. The
-meetings of each pair are tallied, pairs under the guaranteed four go, and the rest is verified bit by bit. Postings of single bytes would
-meet in a 256th of all pairs at every size; sets of three meet in a 2**24th. Crowded lists are posted anew under one byte more.
+are posted under 34 of the 56 sets of three positional bytes, two at least of any four bytes: who shares four bytes meets under two sets, who
+shares only three under one at most. The meetings of each pair are tallied, pairs under the guaranteed two go, and the rest is verified bit by
+bit. The other 22 sets would tell no more. Postings of single bytes would meet in a 256th of all pairs at every size; sets of three meet in a
+2**24th. Crowded lists are posted anew under one byte more.
 
 For a similarity instead of a number of bits, texts are linked by this index first: fingerprints of their distinct shingles are posted, counted
 and compared bit by bit, and linked pairs are verified by all shingles. Alike texts may differ in more bits than that. Those that are left in
@@ -38,6 +39,8 @@ from .components import components
 #: Words of a shingle, differing bits of a link, and the seed of the shingles' XXH64.
 WORDS, DISTANCE, SEED = 4, 4, 42
 POSITIONS = 8
+#: Sets of three positions that aren't posted: no four positions hold more than two of them, so that two of any four's sets are left.
+UNPOSTED = frozenset(tuple(map(int, s)) for s in "014 015 026 027 034 037 056 057 125 126 127 135 137 147 236 245 246 345 356 367 457 467".split())
 #: Fingerprints beyond which postings hold four bytes instead of three, and members beyond which a list is posted anew with one byte more.
 WIDE_FROM, CROWDED = 1 << 24, 512
 #: Shingles that are hashed at a time.
@@ -61,9 +64,16 @@ def sets_of_positions(width: int) -> list[tuple[int, ...]]:
     return list(combinations(range(POSITIONS), width))
 
 
-def least_meetings(width: int, distance: int = DISTANCE) -> int:
-    """Under how many sets of positions two fingerprints meet at least that differ in at most so many bits, each in a byte of its own."""
-    return math.comb(POSITIONS - distance, width)
+def posted_sets(width: int) -> list[tuple[int, ...]]:
+    """The sets of so many positions that fingerprints are posted under."""
+    return [s for s in sets_of_positions(width) if s not in UNPOSTED]
+
+
+def least_meetings(width: int, distance: int = DISTANCE, sets: list[tuple[int, ...]] | None = None) -> int:
+    """Under how many sets of positions, all if none are given, two fingerprints meet at least that differ in at most so many bits, each in
+    a byte of its own."""
+    sets = sets_of_positions(width) if sets is None else sets
+    return min(sum(set(s) <= set(same) for s in sets) for same in combinations(range(POSITIONS), POSITIONS - distance))
 
 
 def _hashed(text: str, words: int) -> Iterator[np.ndarray]:
@@ -149,7 +159,7 @@ def counted(meetings: DataFrame, least: int) -> DataFrame:
 
 def _finer(crowded: DataFrame, width: int) -> DataFrame:
     """Members of crowded lists, posted anew under their list and one more byte: who shares enough bytes shares one of the others too."""
-    others = [F.array(*[F.lit(p) for p in range(POSITIONS) if p not in s]) for s in sets_of_positions(width)]
+    others = [F.array(*[F.lit(p) for p in range(POSITIONS) if p not in s]) for s in posted_sets(width)]
     own = F.element_at(F.array(*others), F.shiftrightunsigned("key", 8 * width).cast("int") + 1)
     byte = lambda p: F.expr("shiftrightunsigned(node, 8 * p)").bitwiseAND(F.lit(255))
     placed = crowded.select("node", "part", "key", F.explode(own).alias("p"))
@@ -160,8 +170,9 @@ def print_links(prints: DataFrame, crowded: int = CROWDED) -> tuple[DataFrame, D
     """Links (u, v) of distinct fingerprints with a head of one of their lists, the components (node, component) that these make, and the
     links between those components; ``prints`` has print."""
     width = 3 if prints.count() <= WIDE_FROM else 4
+    sets = posted_sets(width)
     dealt = prints.repartition(shuffle_width(prints.sparkSession))  # fingerprints are few bytes in few partitions, postings many
-    posted = dealt.select(F.col("print").alias("node"), _posted_under(F.col("print"), sets_of_positions(width)).alias("key"))
+    posted = dealt.select(F.col("print").alias("node"), _posted_under(F.col("print"), sets).alias("key"))
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1").select("key", "head")
     met = settle(posted.join(lists, "key"))
     release(prints.sparkSession)
@@ -170,7 +181,7 @@ def print_links(prints: DataFrame, crowded: int = CROWDED) -> tuple[DataFrame, D
     first = settle(components(stars))
     mixed = _mixed(met.drop("head").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
     pair = (F.greatest("node_a", "node").alias("u"), F.least("node_a", "node").alias("v"))
-    few = counted(_apart(mixed.where(F.col("members") <= crowded)).select(*pair), least_meetings(width))
+    few = counted(_apart(mixed.where(F.col("members") <= crowded)).select(*pair), least_meetings(width, sets=sets))
     many = mixed.where(F.col("members") > crowded)
     if width < POSITIONS - DISTANCE and not many.isEmpty():  # with one byte more they share enough, without being counted
         many = _mixed(_finer(many, width))

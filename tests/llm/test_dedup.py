@@ -288,6 +288,41 @@ def test_count_filter_goes_by_meetings(spark):
     assert {r["v"] for r in H.counted(met, H.least_meetings(3)).collect()} == {p for p, n in sharing.items() if n >= 4}
 
 
+def test_posted_sets_tell_who_shares_four_bytes():
+    """Whichever four bytes two fingerprints share, they meet as often as the count filter asks for; who shares three meets less often."""
+    sets = H.posted_sets(3)
+    least = H.least_meetings(3, sets=sets)
+    meetings = lambda same: sum(set(s) <= set(same) for s in sets)
+    assert len(sets) == 34 and least == 2
+    assert all(meetings(same) >= least for n in range(4, 9) for same in H.combinations(range(8), n))
+    assert all(meetings(same) < least for n in range(4) for same in H.combinations(range(8), n))
+    assert H.posted_sets(4) == H.sets_of_positions(4) and H.least_meetings(4, sets=H.posted_sets(4)) == 1
+
+
+def test_a_crowd_of_near_copies_joins_few_postings(spark, monkeypatch):
+    """Joins by list give each fingerprint of a crowd 34 rows at most, and no link is lost."""
+    rng = random.Random(8)
+    p = rng.getrandbits(64)
+    prints = {p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(3, 5))) for _ in range(600)}
+    signed = sorted(int(np.uint64(x).astype(np.int64)) for x in prints)
+    joined, settle = [], H.settle
+
+    def counting(df):
+        out = settle(df)
+        if {"key", "head"} <= set(out.columns) or {"key", "members"} <= set(out.columns):
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "settle", counting)
+    part = {r["node"]: r["component"] for r in H.link_prints(spark.createDataFrame([(x,) for x in signed], "print long")).collect()}
+    assert joined[0] > 20 * len(signed) and max(joined) <= 34 * len(signed)
+    got, want = {}, {}
+    for x, c in plain_components({x: x & (2**64 - 1) for x in signed}).items():
+        want.setdefault(c, set()).add(x)
+        got.setdefault(part.get(x, x), set()).add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
