@@ -88,6 +88,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str | None =
     return of_large.unionByName(rows.join(hot, key, "left_anti").join(groups, key, how))
 
 
+def never_broadcast(side: DataFrame) -> DataFrame:
+    """A side of a join of which neither is broadcast, whatever their sizes. Spark takes what explode makes for as many rows as went in, and would
+    send all postings of a short table to the driver."""
+    return side.hint("merge")
+
+
 def unused(df: DataFrame, n: int) -> list[str]:
     """Names that no column of ``df`` has."""
     longest = max(map(len, df.columns), default=0)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOOKED_UP_MOST, join_groups, release, settle, shuffle_width, unused, whole
+from .common import LOOKED_UP_MOST, join_groups, never_broadcast, release, settle, shuffle_width, unused, whole
 from .components import components
 
 #: Words of a shingle, differing bits of a link, and the seed of the shingles' XXH64.
@@ -174,7 +174,7 @@ def print_links(prints: DataFrame, crowded: int = CROWDED) -> tuple[DataFrame, D
     dealt = prints.repartition(shuffle_width(prints.sparkSession))  # fingerprints are few bytes in few partitions, postings many
     posted = dealt.select(F.col("print").alias("node"), _posted_under(F.col("print"), sets).alias("key"))
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1").select("key", "head")
-    met = settle(posted.join(lists, "key"))
+    met = settle(posted.join(never_broadcast(lists), "key"))
     release(prints.sparkSession)
     stars = met.where((F.col("node") != F.col("head")) & _linked(F.col("node"), F.col("head"))).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     stars = settle(stars)

@@ -323,6 +323,15 @@ def test_a_crowd_of_near_copies_joins_few_postings(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_postings_are_not_broadcast(spark, monkeypatch):
+    """A short table of fingerprints has many postings, of which Spark's estimate knows nothing."""
+    met, whole = [], H.settle
+    monkeypatch.setattr(H, "settle", lambda df: ({"key", "head"} <= set(df.columns) and met.append(df)) or whole(df))
+    prints = spark.range(1000).select(H.F.explode(H.F.array("id", H.F.col("id") + (1 << 40))).alias("print"))
+    H.print_links(prints)
+    assert len(met[0].collect()) > 0 and "BroadcastHashJoin" not in met[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
