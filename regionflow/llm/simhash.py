@@ -372,7 +372,7 @@ def link_similar(reps: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
     place = F.shiftleft(F.col("size"), 32).bitwiseOR(F.col("at").cast("long"))
     rows = reps.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", place.alias("place"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    met = settle(rows.join(shared, "key"))
+    met = settle(rows.join(never_broadcast(shared), "key"))
     release(docs.sparkSession)
     postings, mixed = met.count(), None
     member = met.withColumn("part", F.col("node")) if part is None else _placed(met, part)

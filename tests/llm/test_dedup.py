@@ -332,6 +332,24 @@ def test_postings_are_not_broadcast(spark, monkeypatch):
     assert len(met[0].collect()) > 0 and "BroadcastHashJoin" not in met[0]._jdf.queryExecution().executedPlan().toString()
 
 
+def test_postings_of_shingles_are_not_broadcast(corpus, monkeypatch):
+    class Met(Exception):
+        pass
+
+    def until(df):
+        if set(df.columns) == {"key", "node", "place"}:
+            raise Met(df)
+        return whole(df)
+
+    whole = H.settle
+    monkeypatch.setattr(H, "settle", until)
+    try:
+        H.similar_documents(corpus)
+    except Met as e:
+        (met,) = e.args
+    assert len(met.collect()) > 0 and "BroadcastHashJoin [key" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
