@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -123,17 +123,39 @@ def to_image(pixels: bytes, width: int, height: int, channels: int) -> np.ndarra
 
 
 # operators on tables
-def _render(parts: Iterator[pd.DataFrame], feather_px: int) -> Iterator[pd.DataFrame]:
-    for p in parts:
-        masks = [paint(r.width, r.height, [tuple(b[c] for c in "xywh") for b in (r.boxes if r.boxes is not None else [])], feather_px).tobytes() for r in p.itertuples()]
-        yield p[["clip_id", "frame_idx", "width", "height"]].assign(mask=masks)
+Parts = Iterator[pd.DataFrame]
+#: Bytes of masks that are held at a time, one mask at least: a batch has thousands of rows, whose masks together would fill an executor.
+MASK_BYTES = 16 << 20
+
+
+def _pieces(p: pd.DataFrame) -> Parts:
+    """The rows in order, few enough at a time for ``MASK_BYTES``."""
+    total = np.cumsum([0, *(p["width"].to_numpy(np.int64) * p["height"].to_numpy(np.int64))])
+    at = 0
+    while at < len(p):
+        till = max(at + 1, int(np.searchsorted(total, total[at] + MASK_BYTES, "right")) - 1)
+        yield p.iloc[at:till]
+        at = till
+
 
+def _render(parts: Parts, feather_px: int, then: Callable[[Parts], Parts] | None = None) -> Parts:
+    painted = (
+        p.drop(columns="boxes").assign(mask=[paint(r.width, r.height, [tuple(b[c] for c in "xywh") for b in (r.boxes if r.boxes is not None else [])], feather_px).tobytes() for r in p.itertuples()])
+        for whole in parts for p in _pieces(whole)
+    )
+    return then(painted) if then else painted
 
-def render_masks(frames: DataFrame, timeline_boxes: DataFrame, feather_px: int = 8) -> DataFrame:
-    """A mask for every frame (clip_id, frame_idx, width, height), those without boxes too."""
+
+def _with_boxes(frames: DataFrame, timeline_boxes: DataFrame) -> DataFrame:
     lists = timeline_boxes.groupBy("clip_id", "frame_idx").agg(F.sort_array(F.collect_list(F.struct("ord", "x", "y", "w", "h"))).alias("boxes"))
-    joined = frames.select("clip_id", "frame_idx", "width", "height").join(lists, ["clip_id", "frame_idx"], "left")
-    return joined.mapInPandas(partial(_render, feather_px=feather_px), MASKS)
+    return frames.join(lists, ["clip_id", "frame_idx"], "left")
+
+
+def render_masks(frames: DataFrame, timeline_boxes: DataFrame, feather_px: int = 8, then: Callable[[Parts], Parts] | None = None, schema: str = MASKS) -> DataFrame:
+    """A mask for every frame (clip_id, frame_idx, width, height), those without boxes too; or what ``then`` makes of the masks, a few at a
+    time where they are painted, as rows of ``schema``."""
+    joined = _with_boxes(frames.select("clip_id", "frame_idx", "width", "height"), timeline_boxes)
+    return joined.mapInPandas(partial(_render, feather_px=feather_px, then=then), schema)
 
 
 def _blur(parts: Iterator[pd.DataFrame], strength: int, base: int) -> Iterator[pd.DataFrame]:
@@ -163,12 +185,24 @@ def _cover(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["clip_id", "frame_idx", *CABIN[:5], "coverage"])
 
 
+COVERED = "clip_id string, frame_idx int, det_id long, x int, y int, w int, h int, coverage double"
+
+
+def _by_frame(cabins: DataFrame) -> DataFrame:
+    return cabins.groupBy("clip_id", "frame_idx").agg(F.collect_list(F.struct(*CABIN)).alias("cabins"))
+
+
 def measured(cabins: DataFrame, masks: DataFrame) -> DataFrame:
     """Coverage of cabins (x1, y1, x2, y2) of vehicles (clip_id, frame_idx, det_id and a box) by painted masks. A frame's cabins are put
     together first, so that its mask moves once."""
-    lists = cabins.groupBy("clip_id", "frame_idx").agg(F.collect_list(F.struct(*CABIN)).alias("cabins"))
-    joined = masks.join(lists, ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", "width", "height", "mask", "cabins")
-    return joined.mapInPandas(_cover, "clip_id string, frame_idx int, det_id long, x int, y int, w int, h int, coverage double")
+    joined = masks.join(_by_frame(cabins), ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", "width", "height", "mask", "cabins")
+    return joined.mapInPandas(_cover, COVERED)
+
+
+def measured_as_painted(cabins: DataFrame, frames: DataFrame, timeline_boxes: DataFrame, feather_px: int = 8) -> DataFrame:
+    """As ``measured`` over the masks that ``render_masks`` gives. They are read where they are painted, and none of them moves."""
+    looked = frames.select("clip_id", "frame_idx", "width", "height").join(_by_frame(cabins), ["clip_id", "frame_idx"])
+    return _with_boxes(looked, timeline_boxes).mapInPandas(partial(_render, feather_px=feather_px, then=_cover), COVERED)
 
 
 def check_counts(frames: DataFrame, masks: DataFrame) -> None:

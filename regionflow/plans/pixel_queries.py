@@ -119,8 +119,7 @@ def render_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = lambda c: F.floor(F.col(c) / SHRINK).cast("int").alias(c)
     d = X.det(spark, sf_dir).select(F.col("clip_id").cast("string").alias("clip_id"), "frame_idx", "cls", F.col("det_id").alias("ord"), *map(small, "xywh"))
     frames = d.select("clip_id", "frame_idx").distinct().withColumns({"width": F.lit(X.WIDTH // SHRINK), "height": F.lit(X.HEIGHT // SHRINK)})
-    masks = pixels.render_masks(frames, d.where("cls <> 'vehicle'"), 0)
-    return masks.mapInPandas(_painted, "clip_id string, frame_idx int, pixels long, rows long")
+    return pixels.render_masks(frames, d.where("cls <> 'vehicle'"), 0, _painted, "clip_id string, frame_idx int, pixels long, rows long")
 
 
 S_RENDER = f"""SELECT CAST(clip_id AS VARCHAR) AS clip_id, frame_idx, coalesce(pixels, 0)::BIGINT AS pixels, coalesce(rows, 0)::BIGINT AS rows FROM (SELECT DISTINCT clip_id, frame_idx FROM det) LEFT JOIN (

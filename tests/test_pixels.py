@@ -4,6 +4,7 @@ import json
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from regionflow import cli, drawn
@@ -299,6 +300,16 @@ def test_clips_written_back(spark, tmp_path):
         clips.export(df.where("false"), tmp_path / "e.npy")
 
 
+def test_few_masks_are_held_at_a_time():
+    boxes = pd.DataFrame({"clip_id": "c", "frame_idx": range(200), "width": 1280, "height": 720, "boxes": [None if k % 3 else [dict(zip("xywh", (k, 2, 3, 4), strict=True))] for k in range(200)]})
+    parts = list(P._render(iter([boxes, boxes.head(0)]), 0))
+    assert max(p["mask"].map(len).sum() for p in parts) <= P.MASK_BYTES
+    got = pd.concat(parts)
+    assert list(got["frame_idx"]) == list(range(200)) and [np.frombuffer(m, np.uint8).any() for m in got["mask"]] == [k % 3 == 0 for k in range(200)]
+    huge = boxes.head(2).assign(width=8000, height=4000)  # a single mask may be larger
+    assert [len(p) for p in P._render(iter([huge]), 0)] == [1, 1]
+
+
 def test_leaks_have_their_box(spark, tmp_path):
     source = write_clip(tmp_path / "clip.npy", np.zeros((2, 120, 200, 3), np.uint8))
     class Counting:
