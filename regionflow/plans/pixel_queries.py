@@ -278,7 +278,7 @@ def verify_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cabins = vehicles.select("clip_id", "frame_idx", "det_id", *"xywh", *[c.cast("int").alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)])
     looked = cabins.select("clip_id", "frame_idx").distinct().withColumns({"width": F.lit(X.WIDTH), "height": F.lit(X.HEIGHT)})
     masked = tracks.timeline(d.where("cls <> 'vehicle'").withColumn("ord", F.col("det_id")), 40, X.WIDTH, X.HEIGHT)
-    return pixels.measured(cabins, pixels.render_masks(looked, masked, 0)).select("clip_id", "frame_idx", "det_id", "coverage")
+    return pixels.measured_as_painted(cabins, looked, masked, 0).select("clip_id", "frame_idx", "det_id", "coverage")
 
 
 def s_verify(cover: str) -> str:

@@ -310,6 +310,16 @@ def test_few_masks_are_held_at_a_time():
     assert [len(p) for p in P._render(iter([huge]), 0)] == [1, 1]
 
 
+def test_coverage_as_painted(spark):
+    """The same as over masks that were rendered first, and no mask is a column on the way."""
+    frames = spark.createDataFrame([("c", k, 64, 36) for k in range(9)], "clip_id string, frame_idx int, width int, height int")
+    shown = spark.createDataFrame([("c", k, 0, 3 * k, 2, 9, 9) for k in range(0, 9, 2)], "clip_id string, frame_idx int, ord int, x int, y int, w int, h int")
+    cabins = spark.createDataFrame([("c", k, k * 10 + i, 2, 2, 9, 9, 4 * i, 0, 4 * i + 12, 20) for k in range(8) for i in range(2)], "clip_id string, frame_idx int, det_id long, x int, y int, w int, h int, x1 int, y1 int, x2 int, y2 int")
+    once = P.measured_as_painted(cabins, frames, shown, 2)
+    assert sorted(once.collect()) == sorted(P.measured(cabins, P.render_masks(frames, shown, 2)).collect()) and once.count() == 16
+    assert "mask" not in once._jdf.queryExecution().executedPlan().toString()
+
+
 def test_leaks_have_their_box(spark, tmp_path):
     source = write_clip(tmp_path / "clip.npy", np.zeros((2, 120, 200, 3), np.uint8))
     class Counting:
